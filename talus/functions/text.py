@@ -27,6 +27,12 @@ def _utc(text: Column) -> Column:
     return text.try_cast("timestamp").cast("timestamp_ntz")
 
 
+def parse_iso(c: Column) -> Column:
+    """ISO 8601 date or date-time to a naive UTC timestamp; anything else NULL."""
+    iso_text = F.regexp_replace(F.regexp_replace(c, _HOUR_ONLY, "$1:00:00$2"), ",", ".")
+    return F.when(c.rlike(_ISO), _utc(iso_text))
+
+
 def parse_date(c: Column) -> Column:
     """First successful reading: ISO 8601, then vocab.DATE_FORMATS in order; otherwise NULL.
 
@@ -35,8 +41,7 @@ def parse_date(c: Column) -> Column:
     """
     bare = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
     usable = ~F.lower(bare).isin([*vocab.EMPTY_DATE_WORDS, ""])
-    iso_text = F.regexp_replace(F.regexp_replace(bare, _HOUR_ONLY, "$1:00:00$2"), ",", ".")
-    readings = [F.when(bare.rlike(_ISO), _utc(iso_text))]
+    readings = [parse_iso(bare)]
     for shape, pattern in vocab.DATE_FORMATS:
         if pattern is None:
             value = _utc(bare)
@@ -46,6 +51,15 @@ def parse_date(c: Column) -> Column:
     return F.when(usable, F.coalesce(*readings))
 
 
+def once(**columns: Column) -> Column:
+    """Several computed columns as one generated row.
+
+    The optimizer neither merges a projection into a generator nor pushes a filter below it, so
+    costly parsing runs exactly once per row however often its results are used.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def flag(c: Column, truthy: tuple[str, ...]) -> Column:
     return F.lower(F.trim(c)).isin(*truthy)
 

@@ -34,12 +34,16 @@ def normalize_records(df: DataFrame, source_name: str, index: Column | None = No
     fallback = F.concat(F.lit(f"{source_name}-"), (index if index is not None else F.col("index")).cast("string"))
     return df.select(
         "_order",
-        F.coalesce(get("location_id"), fallback).alias("location_id"),
-        text.to_double(get("latitude")).alias("latitude"),
-        text.to_double(get("longitude")).alias("longitude"),
-        get("date").alias("event_date"),
-        *[text.to_double(get(f)).alias(f) for f in RECORD_NUMBERS],
-        quality.vegetation_fraction(get("vegetation")).alias("vegetation"),
+        text.once(
+            location_id=F.coalesce(get("location_id"), fallback),
+            latitude=text.to_double(get("latitude")),
+            longitude=text.to_double(get("longitude")),
+            event_date=get("date"),
+            **{f: text.to_double(get(f)) for f in RECORD_NUMBERS},
+            vegetation=quality.vegetation_fraction(get("vegetation")),
+        ),
+    ).select(
+        "*",
         F.lit(True).alias("historical_landslide"),
         F.lit(None).cast("string").alias("risk_level"),
         F.lit("landslide_inventory").alias("dataset_kind"),
@@ -88,37 +92,52 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 # ---- ingestion into a stored table --------------------------------------------------------------
 
+def _place(df: DataFrame, mapping: dict[str, str | None]) -> dict[str, Column]:
+    """Both coordinates as text and as numbers."""
+    lat, lon = pick(df, mapping, "latitude"), pick(df, mapping, "longitude")
+    return {"_lat_text": lat, "_lon_text": lon, "_lat": text.to_double(lat), "_lon": text.to_double(lon)}
+
+
+def _paired(name: str) -> Column:
+    # One unreadable coordinate makes both unusable.
+    readable = (F.col("_lat").isNotNull() | F.col("_lat_text").isNull()) & (F.col("_lon").isNotNull() | F.col("_lon_text").isNull())
+    return F.when(readable, F.col(name))
+
+
 def read_events(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     get = lambda f: pick(df, mapping, f)
-    lat, lon = text.to_double(get("latitude")), text.to_double(get("longitude"))
-    # One unreadable coordinate makes both unusable.
-    readable = (lat.isNotNull() | get("latitude").isNull()) & (lon.isNotNull() | get("longitude").isNull())
     return df.select(
         "_order",
-        F.coalesce(get("source_record_id"), get("location_id")).alias("source_record_id"),
-        F.when(readable, lat).alias("latitude"),
-        F.when(readable, lon).alias("longitude"),
-        text.parse_date(get("date")).alias("event_date"),
-        get("event_type").alias("event_type"),
-        get("severity").alias("severity"),
-        get("state").alias("state"),
+        text.once(
+            source_record_id=F.coalesce(get("source_record_id"), get("location_id")),
+            **_place(df, mapping),
+            event_date=text.parse_date(get("date")),
+            event_type=get("event_type"),
+            severity=get("severity"),
+            state=get("state"),
+        ),
         _raw(df),
+    ).select(
+        "_order", "source_record_id", _paired("_lat").alias("latitude"), _paired("_lon").alias("longitude"),
+        "event_date", "event_type", "severity", "state", "raw",
     )
 
 
 def read_rainfall(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     get = lambda f: pick(df, mapping, f)
-    lat, lon = text.to_double(get("latitude")), text.to_double(get("longitude"))
-    readable = (lat.isNotNull() | get("latitude").isNull()) & (lon.isNotNull() | get("longitude").isNull())
     return df.select(
         "_order",
-        get("source_record_id").alias("source_record_id"),
-        get("station_id").alias("station_id"),
-        F.when(readable, lat).alias("latitude"),
-        F.when(readable, lon).alias("longitude"),
-        text.parse_date(get("date")).alias("observed_date"),
-        text.to_double(get("rainfall")).alias("rainfall_mm"),
+        text.once(
+            source_record_id=get("source_record_id"),
+            station_id=get("station_id"),
+            **_place(df, mapping),
+            observed_date=text.parse_date(get("date")),
+            rainfall_mm=text.to_double(get("rainfall")),
+        ),
         _raw(df),
+    ).select(
+        "_order", "source_record_id", "station_id", _paired("_lat").alias("latitude"), _paired("_lon").alias("longitude"),
+        "observed_date", "rainfall_mm", "raw",
     )
 
 
@@ -156,7 +175,7 @@ KEYS = ["k_id", "k_lat", "k_lon", "k_date"]
 def first_rows(usable: DataFrame, date: str) -> DataFrame:
     """First row of every key in file order; one combinable aggregation, no window, no self-join."""
     keyed = usable.select(*usable.columns, *_key(date))
-    rest = [c for c in usable.columns if c != "_order"]
+    rest = [c for c in usable.columns if c not in ("_order", "raw", "reasons")]
     return keyed.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), "_order").alias("_row"), F.min("_order").alias("_order")).select(
         *KEYS, "_order", *[F.col("_row")[c].alias(c) for c in rest]
     )

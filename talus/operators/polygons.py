@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.functions import geo
-from talus.runtime import broadcast_if_small
+from talus.runtime import BROADCAST_ROW_LIMIT, cut_lineage
 
 COVER_CELL_DEGREES = 0.05
 EDGE_LIMIT = 2_000_000
@@ -98,19 +98,31 @@ def cover(polygons: DataFrame, size: float = COVER_CELL_DEGREES) -> DataFrame:
 
 def locate(points: DataFrame, polygons: DataFrame, name: str = "region", size: float = COVER_CELL_DEGREES) -> DataFrame:
     """Adds the first containing feature (`<name>_feature`) and its name; NULL when none contains it."""
-    table = cover(polygons, size).withColumnsRenamed({"row": "_prow", "col": "_pcol"})
-    weight = table.agg(F.sum(F.aggregate("candidates", F.lit(0), lambda n, c: n + 1 + F.coalesce(F.size(c["edges"]), F.lit(0)))))
-    if (weight.first()[0] or 0) <= EDGE_LIMIT:
-        table = broadcast_if_small(table)
+    table = cut_lineage(_lookup(cover(polygons, size)))
+    edges = F.aggregate("candidates", F.lit(0), lambda n, c: n + F.coalesce(F.size(c["edges"]), F.lit(0)))
+    cells, weight = table.agg(F.count("*"), F.coalesce(F.sum(edges), F.lit(0))).first()
+    if cells <= BROADCAST_ROW_LIMIT and weight <= EDGE_LIMIT:
+        table = F.broadcast(table)
     x, y = F.col("longitude"), F.col("latitude")
-    first = F.get(F.filter("candidates", lambda c: c["whole"] | _inside(c["edges"], x, y)), F.lit(0))
+    cast = F.get(F.filter("candidates", lambda c: c["whole"] | _inside(c["edges"], x, y)), F.lit(0))
+    answer = F.struct(F.col("candidates")[0]["feature"].alias("feature"), F.col("candidates")[0]["name"].alias("name"))
     return (
         points.withColumn("_prow", geo.cell(y, size)).withColumn("_pcol", geo.cell(x, size))
         .join(table, ["_prow", "_pcol"], "left")
-        .withColumn("_hit", first)
+        # Only points in cells cut by an edge are ray-cast.
+        .withColumn("_hit", F.when(F.col("settled"), answer).otherwise(
+            F.when(F.col("settled").isNotNull(), F.transform(F.array(cast), lambda c: F.struct(c["feature"].alias("feature"), c["name"].alias("name")))[0])))
         .withColumn(f"{name}_feature", F.col("_hit.feature"))
         .withColumn(name, F.col("_hit.name"))
-        .drop("_prow", "_pcol", "_hit", "candidates")
+        .drop("_prow", "_pcol", "_hit", "candidates", "settled")
+    )
+
+
+def _lookup(table: DataFrame) -> DataFrame:
+    """`settled`: the cell lies wholly inside its first candidate, so its points need no test."""
+    return table.select(
+        F.col("row").alias("_prow"), F.col("col").alias("_pcol"), "candidates",
+        F.col("candidates")[0]["whole"].alias("settled"),
     )
 
 

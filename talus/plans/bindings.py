@@ -317,7 +317,7 @@ class Domain:
             F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("State "), F.pmod(k, F.lit(9)).cast("string"))).alias("State"),
             # file order: position of the row in a total order over its values
             F.struct(
-                row_key, F.col("l_partkey"), F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_extendedprice"),
+                row_key.alias("row_key"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_extendedprice"),
                 F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_returnflag"), F.col("l_linestatus"),
             ).alias("_order"),
         )

@@ -34,7 +34,7 @@ CATALOG = Catalog()
 
 def load() -> Catalog:
     from talus.plans.catalog import (  # noqa: F401 - importing registers the queries
-        spatial,
+        expressions, ingestion, rasters, risk, spatial,
     )
 
     return CATALOG

@@ -164,13 +164,14 @@ def j06(dom: Domain):
     return out.select("id", "state", "district")
 
 
-@query("j07_outside_buffer", f"""SELECT id AS point_id FROM zones z WHERE NOT EXISTS (SELECT 1 FROM haz e
-    WHERE e.latitude BETWEEN z.latitude + {d(0.0031)} - {d(0.03)} AND z.latitude + {d(0.0031)} + {d(0.03)}
-    AND {hav(f"(z.latitude + {d(0.0031)})", 'z.longitude', 'e.latitude', 'e.longitude')} <= {d(0.5)})""")
+@query("j07_outside_buffer", f"""SELECT id AS point_id FROM (SELECT id, 26 + CAST((id * 6007) % 20000 AS DOUBLE) / 10000 AS y,
+    88 + CAST((id * 48611) % 20000 AS DOUBLE) / 10000 AS x FROM zones) z WHERE NOT EXISTS (SELECT 1 FROM haz e
+    WHERE e.latitude BETWEEN y - {d(0.03)} AND y + {d(0.03)} AND {hav('y', 'x', 'e.latitude', 'e.longitude')} <= {d(0.7)})""")
 def j07(dom: Domain):
-    # Zones share their places with events, so the candidates stand a little north of them.
-    moved = dom.zones.select(F.col("id").alias("point_id"), (F.col("latitude") + F.lit(0.0031)).alias("latitude"), "longitude")
-    return spatial.outside_buffer(moved, dom.events, 0.5).select("point_id")
+    # Zones share their places with events, so the candidates get places of their own.
+    place = lambda base, factor: F.lit(base) + F.pmod(F.col("id") * factor, F.lit(20000)).cast("double") / F.lit(10000.0)
+    apart = dom.zones.select(F.col("id").alias("point_id"), place(26.0, 6007).alias("latitude"), place(88.0, 48611).alias("longitude"))
+    return spatial.outside_buffer(apart, dom.events, 0.7).select("point_id")
 
 
 @query("j12_known_states", "SELECT id, state FROM haz WHERE state IN (SELECT name FROM rings WHERE name IS NOT NULL)")

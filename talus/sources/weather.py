@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.functions.text import parse_date
+from talus.functions.text import parse_iso
 
 PAYLOAD_SCHEMA = (
     "payload_id BIGINT, zone_id BIGINT, received_at TIMESTAMP_NTZ, available BOOLEAN, "
@@ -26,16 +26,20 @@ def last_day_precipitation(hourly: Column, reference: Column) -> Column:
     """Sum of the samples of the 24 hours up to the reference; NULL samples and future hours are
     skipped. Without a reference every sample counts; without any sample the answer is NULL."""
     samples = F.arrays_zip(hourly["time"].alias("time"), hourly["precipitation"].alias("mm"))
-    stamped = F.transform(samples, lambda s: F.struct(parse_date(s["time"]).alias("at"), s["mm"].alias("mm")))
-    end = parse_date(reference)
+    stamped = F.transform(samples, lambda s: F.struct(parse_iso(s["time"]).alias("at"), s["mm"].alias("mm")))
+    end = parse_iso(reference)
     day = F.make_dt_interval(F.lit(1))
     used = F.filter(
         stamped,
         lambda s: s["mm"].isNotNull() & s["at"].isNotNull()
         & (end.isNull() | ((s["at"] <= end) & (s["at"] >= end - day))),
     )
-    total = F.aggregate(used, F.lit(0.0), lambda acc, s: acc + s["mm"])
-    return F.when(F.size(used) > 0, F.round(total, 2))
+    return F.aggregate(
+        used,
+        F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mm")),
+        lambda acc, s: F.struct((acc["n"] + 1).alias("n"), (acc["mm"] + s["mm"]).alias("mm")),
+        lambda acc: F.when(acc["n"] > 0, F.round(acc["mm"], 2)),
+    )
 
 
 def readings(payloads: DataFrame) -> DataFrame:
