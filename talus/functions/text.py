@@ -10,17 +10,23 @@ from talus import vocab
 _NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 _HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-]\d{2}:?\d{2})?$"
+_WHITESPACE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85    　"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(_WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:
     """NULL for NULL, empty and whitespace-only text; anything else unchanged."""
-    return F.when(F.regexp_replace(c, r"^\s+|\s+$", "") != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def to_double(c: Column) -> Column:
     """Text to double or NULL. Spark's own cast also takes suffixes such as `1d`, hence the guard."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"(?<=\d)_(?=\d)", "")
-    return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+    bare = strip(c)
+    grouped = F.when(F.contains(bare, F.lit("_")), F.regexp_replace(bare, r"(?<=\d)_(?=\d)", "")).otherwise(bare)
+    return F.when(grouped.rlike(_NUMBER), grouped.try_cast("double"))
 
 
 def _utc(text: Column) -> Column:
@@ -29,7 +35,8 @@ def _utc(text: Column) -> Column:
 
 def parse_iso(c: Column) -> Column:
     """ISO 8601 date or date-time to a naive UTC timestamp; anything else NULL."""
-    iso_text = F.regexp_replace(F.regexp_replace(c, _HOUR_ONLY, "$1:00:00$2"), ",", ".")
+    hour_only = F.length(c) < 16
+    iso_text = F.when(hour_only, F.regexp_replace(c, _HOUR_ONLY, "$1:00:00$2")).otherwise(F.translate(c, ",", "."))
     return F.when(c.rlike(_ISO), _utc(iso_text))
 
 
@@ -39,7 +46,7 @@ def parse_date(c: Column) -> Column:
     A time-zone suffix is converted to UTC. Day-first wins over month-first, except in the formats
     that carry a clock time.
     """
-    bare = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    bare = strip(c.cast("string"))
     usable = ~F.lower(bare).isin([*vocab.EMPTY_DATE_WORDS, ""])
     readings = [parse_iso(bare)]
     for shape, pattern in vocab.DATE_FORMATS:

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.functions.text import once
 from talus.runtime import prepare
 
 
@@ -302,19 +303,21 @@ class Domain:
             .when(F.pmod(k, F.lit(6)) == 4, "")
             .otherwise("soon")
         )
+        cells = {
+            "record_id": F.when(F.pmod(k, F.lit(2)) == 0, F.concat_ws("-", k.cast("string"), F.col("l_linenumber").cast("string"))),
+            "Latitude": lat,
+            "lng": lon,
+            "Date": text_date,
+            "severity": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")),
+            "event_type": F.col("l_linestatus"),
+            "rain_24h": F.col("l_quantity").cast("string"),
+            "Humidity": F.when(F.pmod(k, F.lit(11)) == 0, "140").otherwise(F.pmod(k, F.lit(100)).cast("string")),
+            "NDVI": F.when(F.pmod(k, F.lit(13)) == 0, "1.5").otherwise(F.col("l_discount").cast("string")),
+            "State": F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("State "), F.pmod(k, F.lit(9)).cast("string"))),
+        }
         return self.table("lineitem").select(
             row_key.alias("row_key"),
-            F.when(F.pmod(k, F.lit(2)) == 0, F.concat_ws("-", k.cast("string"), F.col("l_linenumber").cast("string")))
-            .alias("record_id"),
-            lat.alias("Latitude"),
-            lon.alias("lng"),
-            text_date.alias("Date"),
-            F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("severity"),
-            F.col("l_linestatus").alias("event_type"),
-            F.col("l_quantity").cast("string").alias("rain_24h"),
-            F.when(F.pmod(k, F.lit(11)) == 0, "140").otherwise(F.pmod(k, F.lit(100)).cast("string")).alias("Humidity"),
-            F.when(F.pmod(k, F.lit(13)) == 0, "1.5").otherwise(F.col("l_discount").cast("string")).alias("NDVI"),
-            F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("State "), F.pmod(k, F.lit(9)).cast("string"))).alias("State"),
+            once(**cells),
             # file order: position of the row in a total order over its values
             F.struct(
                 row_key.alias("row_key"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_extendedprice"),
