@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus import vocab
-from talus.runtime import cut_lineage
+from talus.runtime import cut_lineage, positions
 
 # A pair of cells with at most this many point pairs is compared point by point.
 DIRECT_PAIRS = 4096
@@ -185,15 +185,16 @@ def _meet(few: DataFrame, many: DataFrame, eps: float, *carry: str) -> DataFrame
     )
 
 
+def _mean(name: str) -> Column:
+    """Exact mean to 6 decimals: summed as decimals, so the order of addition cannot show."""
+    exact = F.sum(F.col(name).cast("decimal(18,10)")) / F.count("*")
+    return F.round(exact, 6).cast("double").alias(name)
+
+
 def number_clusters(clustered: DataFrame) -> DataFrame:
     """One row per cluster: centroid, size and its number 1..k inside the state, in order of the
     smallest event id."""
-    from talus.runtime import positions
-
     groups = clustered.groupBy("state", "cluster").agg(
-        F.round(F.avg("latitude"), 6).alias("latitude"),
-        F.round(F.avg("longitude"), 6).alias("longitude"),
-        F.count("*").alias("event_count"),
-        F.min("id").alias("first_event"),
+        _mean("latitude"), _mean("longitude"), F.count("*").alias("event_count"), F.min("id").alias("first_event"),
     )
     return positions(groups, [F.col("first_event")], ["state"], "cluster_no")

@@ -34,7 +34,7 @@ CATALOG = Catalog()
 
 def load() -> Catalog:
     from talus.plans.catalog import (  # noqa: F401 - importing registers the queries
-        aggregates, expressions, features, ingestion, lists, rasters, risk, spatial,
+        aggregates, expressions, features, ingestion, lists, rasters, risk, sources, spatial, streams,
     )
 
     return CATALOG

@@ -102,7 +102,9 @@ def c01(dom: Domain):
     return clusters(dom).select("id", "cluster")
 
 
-GROUPS = """SELECT state, cluster, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(*) AS event_count, min(id) AS first_event,
+# Coordinates are whole ten-thousandths, so the exact mean is integer arithmetic.
+_MEAN = "CAST((2 * sum(CAST(round({c} * 10000) AS BIGINT)) * 100 + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000"
+GROUPS = "SELECT state, cluster, " + _MEAN.format(c="latitude") + " AS latitude, " + _MEAN.format(c="longitude") + """ AS longitude, count(*) AS event_count, min(id) AS first_event,
     row_number() OVER (PARTITION BY state ORDER BY min(id)) AS cluster_no, count(*) OVER (PARTITION BY state) AS clusters FROM {source} GROUP BY 1, 2"""
 BY_DISTRICT = """SELECT h.*, k.cluster FROM haz h JOIN (SELECT state, coalesce(district, '-') AS dis, min(id) AS cluster FROM haz WHERE state IS NOT NULL GROUP BY 1, 2) k
     ON k.state = h.state AND k.dis = coalesce(h.district, '-')"""

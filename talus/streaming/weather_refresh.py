@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from talus.operators import scoring
+from talus.runtime import cut_lineage
 from talus.sources import weather
 
 ALERT_COLUMNS = ("zone_id BIGINT, title STRING, message STRING, severity STRING, status STRING, is_active BOOLEAN, "
@@ -49,13 +50,14 @@ def refresh_batch(payloads: DataFrame, batch: int, tables: RefreshTables, trigge
     readings = weather.readings(payloads)
     at = F.lit(payloads.agg(F.max("received_at")).first()[0]).cast("timestamp_ntz")
     readings.where("available").write.mode("overwrite").parquet(tables.part("observations", batch))
-    latest = weather.latest_per_zone(readings)
+    # One row per zone from here on; stored once because several tables are written from it.
+    latest = cut_lineage(weather.latest_per_zone(readings))
     zones = spark.read.parquet(tables.zones(batch))
-    scored = scoring.score_zones(scoring.overlay_weather(zones, latest))
+    scored = cut_lineage(scoring.score_zones(scoring.overlay_weather(zones, latest)))
     changed = scored.withColumn("updated_at", F.when(F.col("guarded"), F.col("updated_at")).otherwise(at))
     changed.select(*zones.columns).write.mode("overwrite").parquet(tables.zones(batch + 1))
     alerts = spark.read.parquet(tables.open_alerts(batch))
-    after = scoring.reconcile(scored, alerts, at).select(*alerts.columns)
+    after = cut_lineage(scoring.reconcile(scored, alerts, at).select(*alerts.columns))
     after.where("is_active").write.mode("overwrite").parquet(tables.open_alerts(batch + 1))
     after.where("NOT is_active").write.mode("overwrite").parquet(tables.part("closed_alerts", batch))
     scoring.audit_rows(scored, triggered_by, at).write.mode("overwrite").parquet(tables.part("risk_log", batch))
