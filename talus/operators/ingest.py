@@ -188,13 +188,20 @@ def not_stored(firsts: DataFrame, stored: DataFrame | None, date: str) -> DataFr
     """
     if stored is None:
         return firsts
-    ids = stored.where(F.col("source_record_id") != "").select(F.col("source_record_id").alias("_id")).distinct()
+    nothing = lambda name: F.lit(None).cast(dict(firsts.dtypes)[name]).alias(name)
+    ids = stored.where(F.col("source_record_id") != "").select(
+        F.col("source_record_id").alias("k_id"), *[nothing(k) for k in KEYS[1:]]
+    )
     places = stored.select(
-        F.round("latitude", 6).alias("_lat"), F.round("longitude", 6).alias("_lon"), F.col(date).alias("_date")
-    ).distinct()
-    fresh = firsts.join(ids, F.col("k_id") == F.col("_id"), "left_anti")
-    same = (F.col("k_lat") == F.col("_lat")) & (F.col("k_lon") == F.col("_lon")) & F.col("k_date").eqNullSafe(F.col("_date"))
-    return fresh.join(places, same, "left_anti")
+        nothing("k_id"), F.round("latitude", 6).alias("k_lat"), F.round("longitude", 6).alias("k_lon"), F.col(date).alias("k_date")
+    )
+    # One null-safe anti join on the whole key: rows of either key space stay spread over all tasks,
+    # which two joins would not keep (all rows without an id would share the NULL id).
+    known = ids.unionByName(places).distinct().toDF(*[f"_{k}" for k in KEYS])
+    same = firsts["k_id"].eqNullSafe(known["_k_id"])
+    for k in KEYS[1:]:
+        same = same & firsts[k].eqNullSafe(known[f"_{k}"])
+    return firsts.join(known, same, "left_anti")
 
 
 def accept(rows: DataFrame, stored: DataFrame | None, date: str) -> DataFrame:

@@ -178,15 +178,20 @@ def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: i
             .drop("_lat0", "_lat1", "_lon0", "_lon1")
         )
         found.append(_count_whole_cells(met.where(F.col("_high") <= radius_km), rows, key, cap, timed))
+        cut = met.where(F.col("_high") > radius_km).drop("_low", "_high")
+        if cut.isEmpty():
+            break
+        # Only cells some circle cuts through are looked at again; a single place never is.
+        rows = rows.join(broadcast_if_small(cut.select(*key).distinct()), key, "left_semi")
         level += 1
         step = size / (2 ** level)
-        base = F.shiftright(F.col("_row"), 1) if level == 1 else F.shiftright(F.col("_row"), level)
+        base = F.shiftright(F.col("_row"), level)
         rows = rows.withColumn("_row", geo.cell(F.col("latitude"), step)).withColumn(
             "_col", F.floor(F.col("longitude") / (_row_width(base, size) / F.lit(float(2 ** level)))).cast("long")
         )
         rows = cut_lineage(rows)
         seekers = (
-            met.where(F.col("_high") > radius_km).drop("_low", "_high")
+            cut
             .withColumn("_row", F.explode(F.array(F.col("_row") * 2, F.col("_row") * 2 + 1)))
             .withColumn("_col", F.explode(F.array(F.col("_col") * 2, F.col("_col") * 2 + 1)))
         )

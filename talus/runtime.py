@@ -119,14 +119,14 @@ def positions(df: DataFrame, order: list, group: list[str] | None = None,
 def attach_to_groups(rows: DataFrame, per_group: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join per-group values back to the rows of the groups, NULL keys matching NULL keys.
 
-    `per_group` holds one row per key. It is re-exchanged after its aggregation so that both join
-    inputs are plain shuffle stages: adaptive execution can then split a hot key's rows over many
-    tasks (it cannot when the aggregate's own exchange is reused by the join).
+    `per_group` holds one row per key. The null-safe comparison hashes other expressions than the
+    aggregation that made `per_group`, so both join inputs get exchanges of their own and adaptive
+    execution can split a hot key's rows over many tasks. (A plain equality would reuse the
+    aggregate's exchange, which switches skew splitting off.)
     """
     renamed = per_group.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[c for c in per_group.columns if c not in keys],
-    ).repartition(*[f"_k_{k}" for k in keys])
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in per_group.columns if c not in keys]
+    )
     condition = None
     for k in keys:
         term = rows[k].eqNullSafe(renamed[f"_k_{k}"])
