@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from talus import vocab
 
-_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+_GROUPED = r"^\s*[+-]?\d+(_\d+)+(\.\d+)?\s*$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 _HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-]\d{2}:?\d{2})?$"
-_WHITESPACE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85    　"
+_SOLID = r"[^\s\x1c-\x1f\x85   -     　]"
+_WHITESPACE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85    　"
 
 
 def strip(c: Column) -> Column:
@@ -19,14 +21,14 @@ def strip(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     """NULL for NULL, empty and whitespace-only text; anything else unchanged."""
-    return F.when(strip(c) != "", c)
+    return F.when(c.rlike(_SOLID), c)
 
 
 def to_double(c: Column) -> Column:
     """Text to double or NULL. Spark's own cast also takes suffixes such as `1d`, hence the guard."""
-    bare = strip(c)
-    grouped = F.when(F.contains(bare, F.lit("_")), F.regexp_replace(bare, r"(?<=\d)_(?=\d)", "")).otherwise(bare)
-    return F.when(grouped.rlike(_NUMBER), grouped.try_cast("double"))
+    return F.when(c.rlike(_NUMBER), c.try_cast("double")).when(
+        c.rlike(_GROUPED), F.replace(c, F.lit("_"), F.lit("")).try_cast("double")
+    )
 
 
 def _utc(text: Column) -> Column:
@@ -46,7 +48,11 @@ def parse_date(c: Column) -> Column:
     A time-zone suffix is converted to UTC. Day-first wins over month-first, except in the formats
     that carry a clock time.
     """
-    bare = strip(c.cast("string"))
+    # The one-element array lets every format below reuse the stripped text.
+    return F.get(F.transform(F.array(strip(c.cast("string"))), _read_date), F.lit(0))
+
+
+def _read_date(bare: Column) -> Column:
     usable = ~F.lower(bare).isin([*vocab.EMPTY_DATE_WORDS, ""])
     readings = [parse_iso(bare)]
     for shape, pattern in vocab.DATE_FORMATS:

@@ -22,6 +22,12 @@ def pick(df: DataFrame, mapping: dict[str, str | None], field: str) -> Column:
     return text.blank_to_null(df[column].cast("string"))
 
 
+def number(df: DataFrame, mapping: dict[str, str | None], field: str) -> Column:
+    """The mapped column as a number; blank text is no number anyway."""
+    column = mapping.get(field)
+    return F.lit(None).cast("double") if column is None else text.to_double(df[column].cast("string"))
+
+
 # ---- record normalization (validation pass over an inventory) -----------------------------------
 
 RECORD_NUMBERS = ["rainfall_24h", "rainfall_7d", "humidity", "temperature", "elevation", "slope"]
@@ -36,10 +42,10 @@ def normalize_records(df: DataFrame, source_name: str, index: Column | None = No
         "_order",
         text.once(
             location_id=F.coalesce(get("location_id"), fallback),
-            latitude=text.to_double(get("latitude")),
-            longitude=text.to_double(get("longitude")),
+            latitude=number(df, mapping, "latitude"),
+            longitude=number(df, mapping, "longitude"),
             event_date=get("date"),
-            **{f: text.to_double(get(f)) for f in RECORD_NUMBERS},
+            **{f: number(df, mapping, f) for f in RECORD_NUMBERS},
             vegetation=quality.vegetation_fraction(get("vegetation")),
         ),
     ).select(
@@ -94,8 +100,10 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 def _place(df: DataFrame, mapping: dict[str, str | None]) -> dict[str, Column]:
     """Both coordinates as text and as numbers."""
-    lat, lon = pick(df, mapping, "latitude"), pick(df, mapping, "longitude")
-    return {"_lat_text": lat, "_lon_text": lon, "_lat": text.to_double(lat), "_lon": text.to_double(lon)}
+    return {
+        "_lat_text": pick(df, mapping, "latitude"), "_lon_text": pick(df, mapping, "longitude"),
+        "_lat": number(df, mapping, "latitude"), "_lon": number(df, mapping, "longitude"),
+    }
 
 
 def _paired(name: str) -> Column:
@@ -132,7 +140,7 @@ def read_rainfall(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
             station_id=get("station_id"),
             **_place(df, mapping),
             observed_date=text.parse_date(get("date")),
-            rainfall_mm=text.to_double(get("rainfall")),
+            rainfall_mm=number(df, mapping, "rainfall"),
         ),
         _raw(df),
     ).select(
@@ -257,7 +265,7 @@ def missing_per_column(df: DataFrame) -> DataFrame:
 def bounding_box(df: DataFrame) -> DataFrame:
     """Extent of the rows whose two coordinates both parse; no such row, all NULL."""
     mapping = column_map(df.columns)
-    lat, lon = text.to_double(pick(df, mapping, "latitude")), text.to_double(pick(df, mapping, "longitude"))
+    lat, lon = number(df, mapping, "latitude"), number(df, mapping, "longitude")
     return df.select(lat.alias("lat"), lon.alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL").agg(
         F.min("lat").alias("min_latitude"), F.max("lat").alias("max_latitude"),
         F.min("lon").alias("min_longitude"), F.max("lon").alias("max_longitude"),

@@ -90,6 +90,10 @@ def nearest_station(points: DataFrame, observations: DataFrame, radius_km: float
     return reduce(DataFrame.unionByName, found)
 
 
+def _reports(own: Column, prev: Column, as_of: Column) -> Column:
+    return F.coalesce(own <= as_of, F.lit(False)) | F.coalesce(prev >= _days_before(as_of, vocab.LOOKBACK_DAYS), F.lit(False))
+
+
 def _nearest_within(points: DataFrame, sites: DataFrame, radius_km: float) -> DataFrame:
     size = geo.cell_size_degrees(radius_km)
     near = target_cells(sites, size).withColumnsRenamed({"latitude": "_slat", "longitude": "_slon"})
@@ -98,9 +102,7 @@ def _nearest_within(points: DataFrame, sites: DataFrame, radius_km: float) -> Da
         .select("point_id", "latitude", "longitude", "as_of").withColumn("period", _period(F.col("as_of"))),
         radius_km, size,
     )
-    reports = (F.col("first_own") <= F.col("as_of")) | (
-        F.col("last_prev") >= _days_before(F.col("as_of"), vocab.LOOKBACK_DAYS)
-    )
+    reports = _reports(F.col("first_own"), F.col("last_prev"), F.col("as_of"))
     distance = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_slat"), F.col("_slon"))
     best = F.min(F.struct(F.col("_d").alias("distance_km"), "station_key", "station_id"))
     return (
@@ -145,7 +147,10 @@ def window_columns() -> list[Column]:
     inside = F.col("observed_date") >= _days_before(F.col("as_of"), vocab.ANTECEDENT_DAYS)
     days_ago = (geo.epoch_seconds(F.col("as_of")) - geo.epoch_seconds(F.col("observed_date"))) / F.lit(86400.0)
     decayed = F.col("mm") * F.pow(F.lit(vocab.ANTECEDENT_DECAY), F.greatest(days_ago, F.lit(0.0)))
-    out.append(F.round(F.sum(F.when(inside, decayed)), 2).alias("antecedent_rainfall_index"))
+    # Summed as decimals: decayed values often end in an exact half cent of a millimetre, which the
+    # order of a floating-point sum would round either way.
+    total = F.sum(F.when(inside, decayed.cast("decimal(20,10)")))
+    out.append(F.round(total, 2).cast("double").alias("antecedent_rainfall_index"))
     out.append(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0).cast("long")).alias("antecedent_observation_count"))
     return out
 

@@ -7,6 +7,8 @@ between the poles. Points next to the date line also look on its other side.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,14 +203,28 @@ def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: i
     return total.groupBy("point_id").agg(F.least(F.sum("hits"), F.lit(cap)).cast("long").alias("hits")).where("hits > 0")
 
 
+def _on_sphere(df: DataFrame, prefix: str, lat: str, lon: str) -> DataFrame:
+    flat = F.cos(F.radians(lat))
+    return df.withColumns({
+        f"{prefix}x": flat * F.cos(F.radians(lon)), f"{prefix}y": flat * F.sin(F.radians(lon)), f"{prefix}z": F.sin(F.radians(lat)),
+    })
+
+
 def _compare_rows(seekers: DataFrame, rows: DataFrame, key: list[str], radius_km: float, timed: bool) -> DataFrame:
-    near = rows.withColumnsRenamed({"latitude": "_tlat", "longitude": "_tlon"})
-    pairs = seekers.join(near, key)
+    """Pairwise test inside cells. The straight-line distance settles all but the pairs within a
+    millionth of the radius, which are few; only those need the full formula."""
+    near = _on_sphere(rows, "_t", "latitude", "longitude").withColumnsRenamed({"latitude": "_tlat", "longitude": "_tlon"})
+    pairs = _on_sphere(seekers, "_p", "latitude", "longitude").join(near, key)
     if timed:
         pairs = pairs.where(F.col("ts") <= F.col("as_of"))
-    pairs = pairs.where(
-        geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_tlat"), F.col("_tlon")) <= radius_km
-    )
+    chord = None
+    for axis in "xyz":
+        step = (F.col(f"_p{axis}") - F.col(f"_t{axis}")) * (F.col(f"_p{axis}") - F.col(f"_t{axis}"))
+        chord = step if chord is None else chord + step
+    limit = (2 * math.sin(radius_km / vocab.EARTH_RADIUS_KM / 2)) ** 2
+    exact = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_tlat"), F.col("_tlon")) <= radius_km
+    margin = 1e-6 if radius_km >= 0.01 else 1.0
+    pairs = pairs.where((chord <= limit * (1 - margin)) | ((chord <= limit * (1 + margin)) & exact))
     return pairs.groupBy("point_id").agg(F.sum("_n").alias("hits"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions.text import once
-from talus.runtime import prepare
+from talus.runtime import prepare, spread
 
 
 def _mod(c: Column, factor: int, modulus: int) -> Column:
@@ -262,7 +262,7 @@ class Domain:
     @cached_property
     def payloads(self) -> DataFrame:
         """One landed weather payload per driver event, shaped like the provider's answer."""
-        return weather_payloads(self.table("events"))
+        return weather_payloads(spread(self.table("events")))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -315,7 +315,7 @@ class Domain:
             "NDVI": F.when(F.pmod(k, F.lit(13)) == 0, "1.5").otherwise(F.col("l_discount").cast("string")),
             "State": F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("State "), F.pmod(k, F.lit(9)).cast("string"))),
         }
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem")).select(
             row_key.alias("row_key"),
             once(**cells),
             # file order: position of the row in a total order over its values

@@ -46,7 +46,7 @@ def window_sql() -> str:
         parts.append(f"count(CASE WHEN {inside} THEN 1 END) AS {name}_observation_count")
     inside = "observed_date >= as_of - INTERVAL 15 DAY"
     decay = "coalesce(rainfall_mm, 0) * pow(CAST(0.9 AS DOUBLE), (epoch(as_of) - epoch(observed_date)) / 86400)"
-    parts.append(f"round(sum(CASE WHEN {inside} THEN {decay} END), 2) AS antecedent_rainfall_index")
+    parts.append(f"CAST(round(sum(CASE WHEN {inside} THEN CAST({decay} AS DECIMAL(20, 10)) END), 2) AS DOUBLE) AS antecedent_rainfall_index")
     parts.append(f"count(CASE WHEN {inside} THEN 1 END) AS antecedent_observation_count")
     return ", ".join(parts)
 

@@ -11,6 +11,7 @@ from talus.plans.bindings import Domain
 from talus.plans.catalog import CATALOG
 from talus.plans.catalog.expressions import COORD, REC_MISSING, REC_SCORE
 from talus.plans.catalog.spatial import CONTAINED
+from talus.runtime import spread
 from talus.sources import files, sinks
 
 query = CATALOG.query
@@ -162,7 +163,7 @@ RAW_RAIN = """SELECT l_orderkey * 10 + l_linenumber AS row_key, row_number() OVE
 
 def raw_rain(dom: Domain):
     k, s = F.col("l_orderkey"), F.col("l_suppkey")
-    return dom.table("lineitem").select(
+    return spread(dom.table("lineitem")).select(
         F.when(F.pmod(s, F.lit(7)) != 0, F.concat(F.lit("ST"), s.cast("string"))).alias("STATION"),
         (F.lit(26.0) + F.pmod(s * 7919, F.lit(2000)).cast("double") / F.lit(1000.0)).cast("string").alias("lat"),
         (F.lit(88.0) + F.pmod(s * 104729, F.lit(2000)).cast("double") / F.lit(1000.0)).cast("string").alias("lon"),

@@ -32,8 +32,8 @@ def a01(dom: Domain):
     return rainfall.rainfall_summary(points(dom), dom.rainfall).drop("latitude", "longitude", "as_of")
 
 
-@query("a02_antecedent_index", f"""SELECT point_id, round(sum(CASE WHEN observed_date >= as_of - INTERVAL 15 DAY THEN
-    coalesce(rainfall_mm, 0) * pow({d(0.9)}, (epoch(as_of) - epoch(observed_date)) / 86400) END), 2) AS antecedent_rainfall_index
+@query("a02_antecedent_index", f"""SELECT point_id, CAST(round(sum(CASE WHEN observed_date >= as_of - INTERVAL 15 DAY THEN
+    CAST(coalesce(rainfall_mm, 0) * pow({d(0.9)}, (epoch(as_of) - epoch(observed_date)) / 86400) AS DECIMAL(20, 10)) END), 2) AS DOUBLE) AS antecedent_rainfall_index
     FROM readings30 GROUP BY point_id""", **nearest_views())
 def a02(dom: Domain):
     pts = points(dom)

@@ -64,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores (one unsplittable or small file) over all
+    tasks before costly per-row work. A scan that already has enough splits is left alone."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast when a bounded count shows the side is small; otherwise leave the choice
     (shuffle join, with adaptive skew splitting) to the optimizer."""

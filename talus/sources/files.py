@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus import vocab
+from talus.runtime import spread
 
 
 class DatasetError(ValueError):
@@ -65,7 +66,8 @@ def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = False) -> D
     """
     _exists(spark, path)
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=quoted_newlines, escape='"', encoding="UTF-8")
-    return df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns], _order())
+    rows = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns], _order())
+    return spread(rows) if quoted_newlines else rows
 
 
 _FEATURE = T.StructType([
