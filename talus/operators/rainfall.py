@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,9 @@ from talus.functions import geo
 from talus.operators.spatial import search_cells, target_cells
 from talus.runtime import cut_lineage
 
-# Above this many stations per search cell and period the nearest one is sought in growing circles.
-CROWDED_CELL = 4096
+# Above this many stations in the busiest search cell and period, the nearest one is sought in growing
+# circles, the first of which meets about this many.
+CROWDED_CELL = 8
 PERIOD_SECONDS = float(vocab.LOOKBACK_DAYS * 86400)
 
 
@@ -76,17 +78,25 @@ def nearest_station(points: DataFrame, observations: DataFrame, radius_km: float
 
     Returns (point_id, station_key, station_id, distance_km); distance ties go to the lower key.
     """
-    sites = reporting_sites(observations)
+    sites = cut_lineage(reporting_sites(observations))
     size = geo.cell_size_degrees(radius_km)
     busiest = target_cells(sites, size).groupBy("_row", "_col", "period").count().agg(F.max("count")).first()[0] or 0
     if busiest <= crowded:
         return _nearest_within(points, sites, radius_km)
-    # Crowded area: whoever finds a station in a small circle needs no larger one.
+    # Whoever finds a station in a small circle needs no larger one, so the work per point stays about
+    # the same however densely the stations stand.
+    radii = [radius_km]
+    while radii[0] > max(0.01, 2 * radius_km * math.sqrt(crowded / busiest)):
+        radii.insert(0, radii[0] / 4)
+    if len(radii) == 1:
+        radii.insert(0, radius_km / 2)
     left, found = points, []
-    for radius in (radius_km / 256, radius_km / 64, radius_km / 16, radius_km / 4, radius_km):
-        hit = cut_lineage(_nearest_within(left, sites, radius))
+    for radius in radii:
+        hit = _nearest_within(left, sites, radius)
+        if radius < radius_km:
+            hit = cut_lineage(hit)
+            left = left.join(hit.select("point_id"), "point_id", "left_anti")
         found.append(hit)
-        left = left.join(hit.select("point_id"), "point_id", "left_anti")
     return reduce(DataFrame.unionByName, found)
 
 
