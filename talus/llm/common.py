@@ -92,14 +92,14 @@ def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006 - g
     return kept[base][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], gap_bytes: np.ndarray = _GAP_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words of the texts, in order: (64-bit hash, first byte, byte after the last) per word, the buffer
     of lower-cased bytes that the places refer to, and per text the number of its first word (one entry more, the total).
 
-    Prefix sums give every word's polynomial hash without a loop over words.
+    Words are runs of bytes that `gap_bytes` does not mark, by default the contracts' white space. Prefix sums give every word's polynomial hash without a loop over words.
     """
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    gap = _GAP_BYTE[raw]
+    gap = gap_bytes[raw]
     before = np.empty(len(raw), bool)
     before[0] = True
     before[1:] = gap[:-1]

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are lower-cased words and their prefixes of four and five bytes, hashed into a fixed number of buckets; a text
-either holds a bucket or does not. Buckets that differ between the classes (chi-square over the sample) get a linear
+Terms are lower-cased runs of letters and digits and their prefixes of four and five bytes, hashed into a fixed number of
+buckets; a text holds a bucket with the value 1 + ln(occurrences). Buckets that differ between the classes (chi-square over the sample) get a linear
 weight and a factor; the score is the logistic of bias + sum of weights + sum over pairs of the factors' products, so a
 pair of terms can mean more than both on their own. Labels are learnt from a bounded sample of each class
 (`SAMPLE_PER_CLASS` rows in expectation, by hash of the id); everything else covers all rows.
@@ -28,17 +28,18 @@ PREFIXES = (4, 5)
 FACTORS = 4
 CHI_SQUARE = 25.0
 THRESHOLD = 0.3
+_NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLDS, HELD = 4, 2
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every term occurrence of the texts."""
-    hashes, starts, ends, low, firsts = word_hashes(texts)
+    hashes, starts, ends, low, firsts = word_hashes(texts, _NO_TERM)
     owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
     found = [(owner, hashes)]
     sums = np.cumsum(_BYTE_VALUE[low] * _powers(_BASE, len(low)), dtype=np.uint64)
     for n in PREFIXES:
-        long = np.flatnonzero(ends - starts > n)
+        long = np.flatnonzero(ends - starts >= n)
         at = starts[long]
         ahead = np.where(at > 0, sums[at - 1], np.uint64(0))
         found.append((owner[long], mix((sums[at + n - 1] - ahead) * _powers(_UNBASE, len(low))[at] + np.uint64(n))))
@@ -46,6 +47,10 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             (np.concatenate([h for _, h in found]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
 
 
+def value(times: np.ndarray) -> np.ndarray:
+    return 1 + np.log(times)
+
+
 @dataclass
 class Model:
     slots: np.ndarray    # bucket -> number of its weight, -1 for none
@@ -59,29 +64,30 @@ class Model:
             owner, bucket = terms(texts[a:b])
             slot = self.slots[bucket]
             known = slot >= 0
-            pairs = np.unique(owner[known] * len(self.weights) + slot[known]) if known.any() else np.empty(0, np.int64)
+            pairs, times = np.unique(owner[known] * len(self.weights) + slot[known], return_counts=True)
             doc, slot = np.divmod(pairs, max(1, len(self.weights)))
-            out[a:b] = self._logistic(doc, slot, b - a)
+            out[a:b] = self._logistic(doc, slot, value(times), b - a)
         return out
 
-    def _logistic(self, doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
-        total = self.bias + np.bincount(doc, self.weights[slot], n)
+    def _logistic(self, doc: np.ndarray, slot: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        total = self.bias + np.bincount(doc, self.weights[slot] * x, n)
         for k in range(self.factors.shape[1]):
-            v = self.factors[slot, k]
+            v = self.factors[slot, k] * x
             total += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.05,
-        decay: float = 1e-3) -> Model:
-    """Full-batch Adam on the logistic loss. `samples`: the distinct buckets of every text; `weight`: rows of the whole
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.05,
+        decay: float = 3e-4) -> Model:
+    """Full-batch Adam on the logistic loss. `samples`: every text's distinct buckets and their counts; `weight`: rows of the whole
     table that a sampled row stands for. With one class only, the score is constant."""
     labels = np.asarray(labels, float)
     none = np.full(1 << BUCKET_BITS, -1, np.int32)
     if not len(labels) or labels.min() == labels.max():
         return Model(none, 40.0 if len(labels) and labels[0] else -40.0, np.zeros(0), np.zeros((0, FACTORS)))
-    doc = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
-    bucket = np.concatenate(samples).astype(np.int64)
+    doc = np.repeat(np.arange(len(samples)), [len(s) for s, _ in samples])
+    bucket = np.concatenate([s for s, _ in samples]).astype(np.int64)
+    times = np.concatenate([t for _, t in samples])
     n, n1 = len(labels), labels.sum()
     with_term = np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(float)
     both = np.bincount(bucket, labels[doc], 1 << BUCKET_BITS)
@@ -90,21 +96,22 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, steps
     none[chosen] = np.arange(len(chosen))
     kept = none[bucket] >= 0
     x = np.zeros((n, len(chosen)), np.float32)
-    x[doc[kept], none[bucket[kept]]] = 1
+    x[doc[kept], none[bucket[kept]]] = value(times[kept])
     weight = np.asarray(weight, float)
     weight = np.minimum(weight / weight.min(), 10)
     weight = weight / weight.sum()
+    squares = x * x
     random = np.random.default_rng(7)
     state = [np.zeros(1), np.zeros(len(chosen)), random.normal(0, 0.05, (len(chosen), FACTORS))]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
     for step in range(1, steps + 1):
         bias, w, v = state
         inner = x @ v
-        total = bias + x @ w + 0.5 * (inner ** 2 - x @ (v * v)).sum(1)
+        total = bias + x @ w + 0.5 * (inner ** 2 - squares @ (v * v)).sum(1)
         slope = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels) * weight
         per_term = x.T @ slope
         grads = [slope.sum(keepdims=True), per_term + decay * w,
-                 x.T @ (slope[:, None] * inner) - per_term[:, None] * v + decay * v]
+                 x.T @ (slope[:, None] * inner) - (squares.T @ slope)[:, None] * v + decay * v]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -131,11 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [np.unique(terms([bytes(t)])[1]).astype(np.int32).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "terms": held})
+            held = [np.unique(terms([bytes(t)])[1], return_counts=True) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "terms": [b.astype(np.int32).tobytes() for b, _ in held],
+                                "times": [n.astype(np.int32).tobytes() for _, n in held]})
 
-    rows = texts.mapInPandas(buckets, "label int, terms binary").collect()
-    return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["label"] for r in rows]),
+    rows = sorted(texts.mapInPandas(buckets, "label int, terms binary, times binary").collect())
+    return fit([(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["times"], np.int32)) for r in rows], np.array([r["label"] for r in rows]),
                np.array([max(1.0, counts[r["label"]] / per_class) for r in rows]))
 
 
