@@ -69,16 +69,16 @@ def thresholds(rows: DataFrame) -> DataFrame:
     level = rows.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("rows"), *sketches)
     level = cut_lineage(level)  # a few rows per group, used three times
     quartiles = F.struct("rows", *[f"q_{r}" for r in RATIOS])
-    whole = level.where("level = 3").select(F.lit(1).alias("one"), quartiles.alias("of_all"))
+    overall = level.where("level = 3").first()  # one row, or none without rows
+    bound = lambda r: F.array(*[F.lit(x).cast("double") for x in (overall[f"q_{r}"] if overall and overall[f"q_{r}"] else (None, None))])
     by_lang = level.where("level = 1").select("lang", quartiles.alias("of_lang"))
-    groups = level.where("level = 0").select("lang", "source", quartiles.alias("own"), F.lit(1).alias("one"))
-    joined = attach_to_groups(groups, by_lang, ["lang"]).join(whole, "one")
-    used = F.when(F.col("own.rows") >= GROUP_ROWS, F.col("own")).when(F.col("of_lang.rows") >= GROUP_ROWS, F.col("of_lang")).otherwise(
-        F.col("of_all"))
-    joined = joined.select("lang", "source", used.alias("u"))
+    groups = level.where("level = 0").select("lang", "source", quartiles.alias("own"))
+    joined = attach_to_groups(groups, by_lang, ["lang"])
     bounds = []
     for r, (least, both) in RATIOS.items():
-        q1, q3 = F.col("u")[f"q_{r}"][0], F.col("u")[f"q_{r}"][1]
+        used = F.when(F.col("own.rows") >= GROUP_ROWS, F.col(f"own.q_{r}")).when(
+            F.col("of_lang.rows") >= GROUP_ROWS, F.col(f"of_lang.q_{r}")).otherwise(bound(r))
+        q1, q3 = F.get(used, 0), F.get(used, 1)
         room = SPREAD * F.greatest(q3 - q1, F.lit(least))
         bounds += [(q3 + room).alias(f"high_{r}"), (q1 - room if both else F.lit(float("-inf"))).alias(f"low_{r}")]
     return joined.select("lang", "source", *bounds)
