@@ -26,7 +26,7 @@ GROUP_ROWS = 100
 SPREAD = 6.0
 ACCURACY = 10_000
 # Ratio -> (least quartile range, whether small values are out of bounds as well).
-RATIOS = {"symbol_ratio": (0.012, False), "word_length": (0.5, True), "line_ratio": (0.05, False), "repeat_ratio": (0.05, False)}
+RATIOS = {"symbol_ratio": (0.012, False), "word_length": (0.5, True), "line_ratio": (0.08, False), "repeat_ratio": (0.05, False)}
 
 
 def counted(docs: DataFrame, window: int = WINDOW) -> DataFrame:
