@@ -65,60 +65,78 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.array(divide(np.asarray(quotas, np.int64), shards)).reshape(shards, len(quotas))
 
 
-def _copies(at: Column, size: Column, line: Column, wanted: Column) -> Column:
-    """How often a document is drawn: rounds whose middle of the document lies before the wanted length of the line."""
-    inside = lambda n: (at + n * line + size / 2 < wanted).cast("int")
-    return F.when(line > 0, inside(0) + inside(1)).otherwise(0)
-
-
 def _by_source(rows: DataFrame, facts: list[tuple], schema: str) -> DataFrame:
     """Attach per-source facts (first field: the source) to the rows; one row per source."""
     small = rows.sparkSession.createDataFrame(facts, "_source string, " + schema)
     return rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs -> (row, source, size, key): `key` is the seeded order of a source's documents, uniform over the longs."""
+    return docs.select(row_column(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+                       F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("key"))
+
+
+def _last_keys(summed: DataFrame, small: int, facts: dict) -> dict:
+    """Per source of one size class: the last key drawn in each round and the words drawn. `facts`: source -> (words of
+    the line, where it starts in the running sum, words wanted). A document is drawn in round n if its middle, n lines
+    further on, lies before the wanted length."""
+    placed = _by_source(summed.where(F.col("small") == small), [(s, *f) for s, f in facts.items()],
+                        "line long, line_start long, wanted double")
+    middle = F.col("upto") - F.col("line_start") - F.col("size") / 2
+    inside = [(F.col("line") > 0) & (middle + n * F.col("line") < F.col("wanted")) for n in range(CAP)]
+    rows = placed.groupBy("source").agg(
+        *[F.max(F.when(c, F.col("key"))).alias(f"last{n}") for n, c in enumerate(inside)],
+        F.sum(F.col("size") * sum((c.cast("long") for c in inside), F.lit(0))).alias("words")).collect()
+    return {r["source"]: ([r[f"last{n}"] for n in range(CAP)], r["words"]) for r in rows}
+
+
+def _share(key: int | None) -> float:
+    return 0.0 if key is None else (key + (1 << 63)) / (1 << 64)
+
+
+def drawn(docs: DataFrame, sized: DataFrame | None = None, shards: int = SHARDS, seed: int = SEED,
+          block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs -> (row, size, source_size, target, shards, orders): for every document the shards that its copies go to (none,
     one or two) and their sort keys inside those. A NULL text has size 0; NULL is a source of its own, the last; a source
-    without words has target 0 and gives nothing. Repeated rows are rows of their own."""
-    rows = docs.select(
-        row_column(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"))
-    sizes = {r["source"]: (r["words"], r["most"]) for r in rows.groupBy("source").agg(
-        F.sum("size").alias("words"), F.max("size").alias("most")).collect()}
+    without words has target 0 and gives nothing. Repeated rows share a key and are drawn together.
+
+    Only (source, size, key) is sorted and summed. It yields the last key that each source draws in each round, so the
+    documents themselves are judged by their own key, without a join or a shuffle.
+    """
+    rows = _sized(docs) if sized is None else sized
+    sizes = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
-    want = dict(zip(order, targets([sizes[s][0] for s in order])))
-    rows = _by_source(rows, [(s, sizes[s][0], want[s]) for s in order], "source_size long, target double")
+    want = dict(zip(order, targets([sizes[s] for s in order])))
+    rows = _by_source(rows, [(s, sizes[s], want[s]) for s in order], "source_size long, target double")
     rows = rows.withColumn("small", (F.col("size") * LARGE <= F.col("source_size")).cast("int"))
-    # One running sum over all lines, large documents before the small ones of a source; stored, since used twice.
-    summed = cut_lineage(running_sums(rows, [F.col("source"), F.col("small"), F.col("key")], {"upto": "size"}))
+    # One running sum over all lines, large documents before the small ones of a source; stored, since used three times.
+    summed = cut_lineage(running_sums(rows.select("source", "small", "key", "size"),
+                                      [F.col("source"), F.col("small"), F.col("key")], {"upto": "size"}))
     lines = {(r["source"], r["small"]): (r["words"], r["upto"] - r["words"]) for r in summed.groupBy("source", "small").agg(
         F.sum("size").alias("words"), F.max("upto").alias("upto")).collect()}
-    large_want = {s: want[s] * lines.get((s, 0), (0, 0))[0] / max(1, sizes[s][0]) for s in order}
-    large = _by_source(summed.where("small = 0"), [(s, *lines.get((s, 0), (0, 0)), large_want[s]) for s in order],
-                       "line long, line_start long, wanted double")
-    at = F.col("upto") - F.col("size") - F.col("line_start")
-    got = {r["source"]: r["words"] for r in large.groupBy("source").agg(
-        F.sum(_copies(at, F.col("size"), F.col("line"), F.col("wanted")) * F.col("size")).alias("words")).collect()}
+    line = lambda s, small: lines.get((s, small), (0, 0))
+    large = _last_keys(summed, 0, {s: (*line(s, 0), want[s] * line(s, 0)[0] / max(1, sizes[s])) for s in order})
+    none = ([None] * CAP, 0)
+    rest = {s: want[s] - large.get(s, none)[1] for s in order}
+    small = _last_keys(summed, 1, {s: (*line(s, 1), rest[s]) for s in order})
     block = max(block_words, math.ceil(sum(want.values()) / 1e8))
-    blocks = [int(want[s] // block) + 2 for s in order]
-    per_shard = split(np.array(blocks), shards, seed) if order else np.zeros((shards, 0), np.int64)
+    quotas = [max(1, round(want[s] / block)) for s in order]
+    per_shard = split(np.array(quotas), shards, seed) if order else np.zeros((shards, 0), np.int64)
     facts = []
     for i, s in enumerate(order):
-        n = blocks[i]
+        n = quotas[i]
         step = next(a for a in range(max(1, int(n * 0.618)), 2 * n + 2) if math.gcd(a, n) == 1)
-        bounds = [int(x) for x in np.cumsum(per_shard[:, i])]
-        rest = want[s] - got.get(s, 0)
-        facts.append((s, *lines.get((s, 0), (0, 0)), large_want[s], *lines.get((s, 1), (0, 0)), rest, got.get(s, 0), n, step, bounds))
-    found = _by_source(summed, facts, "l_line long, l_start long, l_wanted double, s_line long, s_start long, s_wanted double, "
-                                      "s_base long, blocks long, step long, bounds array<long>")
-    pick = lambda a, b: F.when(F.col("small") == 0, F.col(a)).otherwise(F.col(b))
-    found = found.withColumns({"line": pick("l_line", "s_line"), "wanted": pick("l_wanted", "s_wanted"),
-                               "base": F.when(F.col("small") == 0, F.lit(0)).otherwise(F.col("s_base")),
-                               "at": F.col("upto") - F.col("size") - pick("l_start", "s_start")})
-    found = found.withColumn("copies", _copies(F.col("at"), F.col("size"), F.col("line"), F.col("wanted")))
-    rounds = F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), F.col("copies"))
-    number = lambda n: F.least(F.floor((F.col("base") + F.col("at") + n * F.col("line")) / block), F.col("blocks") - 1)
+        for is_small, keys in ((0, large.get(s, none)[0]), (1, small.get(s, none)[0])):
+            extent = max([n_ + _share(k) for n_, k in enumerate(keys) if k is not None], default=0.0)
+            facts.append((s, is_small, *keys, extent, n, step, [int(x) for x in np.cumsum(per_shard[:, i])]))
+    limits = rows.sparkSession.createDataFrame(
+        facts, "_source string, _small int, " + "".join(f"last{n} long, " for n in range(CAP))
+        + "extent double, blocks long, step long, bounds array<long>")
+    found = rows.join(limits, F.col("source").eqNullSafe(F.col("_source")) & (F.col("small") == F.col("_small")), "left")
+    rounds = F.filter(F.array(*[F.when(F.col("key") <= F.col(f"last{n}"), F.lit(n)) for n in range(CAP)]), lambda n: n.isNotNull())
+    share = F.col("key") / F.lit(2.0 ** 64) + 0.5
+    number = lambda n: F.least(F.floor((n + share) / F.col("extent") * F.col("blocks")), F.col("blocks") - 1)
     permuted = lambda n: F.pmod(number(n) * F.col("step") + 7, F.col("blocks"))
     shard = lambda n: F.size(F.filter("bounds", lambda b: b <= permuted(n))).cast("int")
     return found.select("row", "size", "source_size", "target", F.transform(rounds, shard).alias("shards"),
@@ -128,7 +146,7 @@ def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words:
 def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(row, shard, order): one row per copy drawn; sorting a shard by `order` shuffles it."""
     copies = F.explode(F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("order")))
-    return drawn(docs, shards).select("row", copies.alias("copy")).select("row", "copy.shard", "copy.order")
+    return drawn(docs, shards=shards).select("row", copies.alias("copy")).select("row", "copy.shard", "copy.order")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -137,6 +155,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = drawn(docs.select("doc_id", "source", "text"))
+    # The text ends at the scan: the sums and the result need its size and key only.
+    found = drawn(docs, _sized(docs.select("doc_id", "source", "text")).withColumn("row", F.struct("row.doc_id")))
     return found.select("row.doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"),
                         "shards")
