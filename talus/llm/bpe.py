@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from talus.llm.common import row_column
 
 END = "\ue000"          # stands for the end-of-word suffix; no byte symbol uses it
-REMEMBERED = 300_000    # words a worker remembers before it starts anew
+REMEMBERED = 200_000    # words a worker remembers before it starts anew
 _NEVER = 1 << 40
 # Below U+0300, but for control characters, normalization is lower-casing and the character classes are settled.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")
@@ -57,7 +57,7 @@ class Encoder:
             left, right = self.vocabulary[self._inner(a)], self.vocabulary[self._inner(b)]
             whole = self.vocabulary[self._inner(a + b)]
             self.rank[left, right], self.parts[whole], self.made_at[whole] = n, (left, right), n
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}   # by left id * 2^20 + right id
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.edges: tuple[dict, dict] = ({}, {})
         self.automaton = ahocorasick.Automaton()
@@ -127,9 +127,10 @@ class Encoder:
                 before = tokens[stop - length]
                 if before < 0:
                     continue
-                fits = compatible.get((before, token))
+                pair = before << 20 | token
+                fits = compatible.get(pair)
                 if fits is None:
-                    fits = compatible[before, token] = self._joins(before, token, _NEVER)
+                    fits = compatible[pair] = self._joins(before, token, _NEVER)
                 if not fits:
                     continue
             tokens[stop], lengths[stop] = token, length
@@ -137,7 +138,7 @@ class Encoder:
         while n:
             out.append(tokens[n])
             n -= lengths[n]
-        if len(compatible) > 3 * REMEMBERED:
+        if len(compatible) > 2 * REMEMBERED:
             compatible.clear()
         return out[::-1]
 
