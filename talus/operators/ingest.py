@@ -205,7 +205,7 @@ def not_stored(firsts: DataFrame, stored: DataFrame | None, date: str) -> DataFr
     )
     # One null-safe anti join on the whole key: rows of either key space stay spread over all tasks,
     # which two joins would not keep (all rows without an id would share the NULL id).
-    known = ids.unionByName(places).distinct().toDF(*[f"_{k}" for k in KEYS])
+    known = ids.unionByName(places).toDF(*[f"_{k}" for k in KEYS])
     same = firsts["k_id"].eqNullSafe(known["_k_id"])
     for k in KEYS[1:]:
         same = same & firsts[k].eqNullSafe(known[f"_{k}"])

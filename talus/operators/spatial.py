@@ -18,6 +18,8 @@ from talus.runtime import broadcast_if_small, cut_lineage
 
 # Cells with more distinct target rows than this are subdivided instead of compared row by row.
 DENSE_ROWS = 2048
+# Length of the periods that whole cells are added up by.
+PERIOD_DAYS = 32
 
 
 def _row_width(row: Column, size: float) -> Column:
@@ -135,17 +137,17 @@ def _box_distances(lat: Column, lon: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: int,
+def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: int | None = None,
                  dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """min(cap, number of targets within the radius and not later than the point's as_of).
+    """Number of targets within the radius and not later than the point's as_of (no more than `cap`, if given).
 
     `points` has point_id, latitude, longitude and (optionally) as_of; `targets` has latitude,
     longitude and, when as_of is used, `ts`. Only points with at least one hit appear in the result
     (point_id, hits).
 
     Copies of a place and time are counted before any join. Sparse cells are compared row by row.
-    Dense cells are never compared pairwise: a cell wholly inside the circle contributes the `cap`
-    earliest times it holds, a cell wholly outside nothing, and only cells the circle cuts through
+    Dense cells are never compared pairwise: a cell wholly inside the circle contributes the totals of
+    the periods before the point's own and the rows of its last day, a cell wholly outside nothing, and only cells the circle cuts through
     are split in four and looked at again, down to single places.
     """
     timed = "as_of" in points.columns
@@ -179,7 +181,7 @@ def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: i
             .where(F.col("_low") <= radius_km)
             .drop("_lat0", "_lat1", "_lon0", "_lon1")
         )
-        found.append(_count_whole_cells(met.where(F.col("_high") <= radius_km), rows, key, cap, timed))
+        found.append(_count_whole_cells(met.where(F.col("_high") <= radius_km), rows, key, timed))
         cut = met.where(F.col("_high") > radius_km).drop("_low", "_high")
         if cut.isEmpty():
             break
@@ -200,7 +202,8 @@ def count_within(points: DataFrame, targets: DataFrame, radius_km: float, cap: i
     total = found[0]
     for part in found[1:]:
         total = total.unionByName(part)
-    return total.groupBy("point_id").agg(F.least(F.sum("hits"), F.lit(cap)).cast("long").alias("hits")).where("hits > 0")
+    hits = F.sum("hits") if cap is None else F.least(F.sum("hits"), F.lit(cap))
+    return total.groupBy("point_id").agg(hits.cast("long").alias("hits")).where("hits > 0")
 
 
 def _on_sphere(df: DataFrame, prefix: str, lat: str, lon: str) -> DataFrame:
@@ -228,19 +231,28 @@ def _compare_rows(seekers: DataFrame, rows: DataFrame, key: list[str], radius_km
     return pairs.groupBy("point_id").agg(F.sum("_n").alias("hits"))
 
 
-def _count_whole_cells(pairs: DataFrame, rows: DataFrame, key: list[str], cap: int, timed: bool) -> DataFrame:
+def _count_whole_cells(pairs: DataFrame, rows: DataFrame, key: list[str], timed: bool) -> DataFrame:
+    """Exact counts of whole cells. Times are added up per period of `PERIOD_DAYS` days and per day: a cell holds one
+    total per period, a period of a cell one per day, so both lists are bounded by the calendar, and only the point's own
+    day is counted by its distinct times."""
     if not timed:
         totals = rows.groupBy(*key).agg(F.sum("_n").alias("_cell"))
         return pairs.join(totals, key).groupBy("point_id").agg(F.sum("_cell").alias("hits"))
-    # Any count up to `cap` is decided by the cap earliest times of the cell.
-    by_time = rows.groupBy(*key, "ts").agg(F.sum("_n").alias("_n"))
-    rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(key)} ORDER BY ts)")
-    first = by_time.withColumn("_rank", rank).where(F.col("_rank") <= cap)
-    lists = first.groupBy(*key).agg(F.collect_list(F.struct("ts", "_n")).alias("_times"))
-    reached = F.aggregate(
-        F.filter("_times", lambda t: t["ts"] <= F.col("as_of")), F.lit(0).cast("long"), lambda acc, t: acc + t["_n"]
-    )
-    return pairs.join(lists, key).withColumn("_cell", reached).groupBy("point_id").agg(F.sum("_cell").alias("hits"))
+    day = lambda c: F.unix_date(F.to_date(c))
+    period = lambda c: F.floor(day(c) / PERIOD_DAYS)
+    times = rows.groupBy(*key, "ts").agg(F.sum("_n").alias("_n")).withColumns({"_day": day("ts"), "_period": period("ts")})
+    days = times.groupBy(*key, "_period", "_day").agg(F.sum("_n").alias("_n"))
+    in_period = days.groupBy(*key, "_period").agg(F.collect_list(F.struct(F.col("_day").alias("at"), "_n")).alias("_list"), F.sum("_n").alias("_n"))
+    in_cell = in_period.groupBy(*key).agg(F.collect_list(F.struct(F.col("_period").alias("at"), "_n")).alias("_list"))
+    own = pairs.select("point_id", "as_of", *key, day("as_of").alias("_day"), period("as_of").alias("_period"))
+    before = lambda name: F.aggregate(
+        F.filter("_list", lambda t: t["at"] < F.col(name)), F.lit(0).cast("long"), lambda acc, t: acc + t["_n"])
+    parts = [
+        own.join(in_cell, key).select("point_id", before("_period").alias("_cell")),
+        own.join(in_period.drop("_n"), [*key, "_period"]).select("point_id", before("_day").alias("_cell")),
+        own.join(times.drop("_period"), [*key, "_day"]).where(F.col("ts") <= F.col("as_of")).select("point_id", F.col("_n").alias("_cell")),
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("point_id").agg(F.sum("_cell").alias("hits"))
 
 
 def outside_buffer(points: DataFrame, events: DataFrame, buffer_km: float = vocab.BUFFER_KM) -> DataFrame:
@@ -251,8 +263,8 @@ def outside_buffer(points: DataFrame, events: DataFrame, buffer_km: float = voca
 
 
 def event_density(points: DataFrame, events: DataFrame, radius_km: float = vocab.DENSITY_RADIUS_KM,
-                  cap: int = vocab.DENSITY_CAP, dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """Past events around every point: capped count and count per square kilometre; 0 is kept."""
+                  cap: int | None = None, dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """Past events around every point: exact count (a `cap` limits it, if given) and count per square kilometre; 0 is kept."""
     hits = count_within(points, events.withColumnRenamed("event_date", "ts"), radius_km, cap, dense_rows)
     count = F.coalesce(F.col("hits"), F.lit(0).cast("long"))
     return points.join(hits, "point_id", "left").select(

@@ -32,8 +32,8 @@ def feature_views(pts: str) -> dict[str, str]:
         "hitcount": HITS,
         "feat": f"""SELECT p.*, rainfall_24h, rainfall_72h, rainfall_7d, rainfall_30d, antecedent_rainfall_index, n.point_id IS NOT NULL AS rainfall_available,
             elevation_m, slope_degrees, aspect_degrees, terrain_available, CASE WHEN raw_class IS NOT NULL THEN {LEGEND.format(c='raw_class')} END AS landcover_category,
-            raw_class IS NOT NULL AS landcover_available, CAST(least(coalesce(h.n, 0), 500) AS BIGINT) AS historical_landslide_count,
-            round(least(coalesce(h.n, 0), 500) / (pi() * 100), 6) AS historical_landslide_density_per_km2
+            raw_class IS NOT NULL AS landcover_available, CAST(coalesce(h.n, 0) AS BIGINT) AS historical_landslide_count,
+            round(coalesce(h.n, 0) / (pi() * 100), 6) AS historical_landslide_density_per_km2
             FROM pts p LEFT JOIN near n ON n.point_id = p.point_id LEFT JOIN rainw w ON w.point_id = p.point_id LEFT JOIN ter ON ter.pid = p.point_id
             LEFT JOIN cover c ON c.point_id = p.point_id LEFT JOIN hitcount h ON h.point_id = p.point_id""",
     }

@@ -94,9 +94,9 @@ def l07r(dom: Domain):
     return summaries.alerts_with_status(dom.alerts, "all").limit(4).select("id", "zone_id", "status", "created_at")
 
 
-@query("l08_regions", "SELECT id, name, state FROM regions WHERE source_type = 'derived' ORDER BY id LIMIT 500")
+@query("l08_regions", "SELECT id, name, state FROM regions WHERE source_type = 'derived'")
 def l08(dom: Domain):
-    return dom.regions.where("source_type = 'derived'").orderBy("id").limit(500).select("id", "name", "state")
+    return dom.regions.where("source_type = 'derived'").select("id", "name", "state")
 
 
 @query("l09_sources_by_category", "SELECT source_id, name FROM sources WHERE category = 'rainfall' ORDER BY source_id")
@@ -168,10 +168,9 @@ def j17(dom: Domain):
 
 
 STAMP = "strftime(updated_at, '%d %b %Y, %H:%M')"
-SENTENCE = ("CASE WHEN risk_level = 'UNKNOWN' THEN name || ' in ' || state || ': no real current risk score is available yet (no real terrain/rainfall data is configured for this location).' "
-            "|| CASE WHEN historical_event_count > 0 THEN ' It has ' || historical_event_count || ' real recorded historical landslide event(s),' ELSE '' END "
-            "|| ' This is disclosed honestly rather than showing a guessed score.' "
-            f"ELSE name || ' in ' || state || ': risk level ' || risk_level || ', risk score ' || printf('%.1f', risk_score) || '/100 (last updated ' || {STAMP} || ').' END")
+SENTENCE = ("name || ' (' || state || '): ' || CASE WHEN risk_level = 'UNKNOWN' THEN 'no score' || CASE WHEN historical_event_count > 0 "
+            "THEN '; past events: ' || historical_event_count ELSE '' END "
+            f"ELSE risk_level || ', ' || printf('%.1f', risk_score) || ' of 100, as of ' || {STAMP} END")
 
 
 def _q(text: str) -> str:
@@ -180,11 +179,10 @@ def _q(text: str) -> str:
 
 @query("z06_answers", f"""SELECT question_id, intent, zone_id, CASE intent
     WHEN 'riskiest_place' THEN (SELECT {_q(assistant.RISKIEST_HEAD)} || list_extract(l, 1) || {_q(assistant.RISKIEST_NEXT)} || array_to_string(list_slice(l, 2, 3), chr(10)) FROM top3)
-    WHEN 'alerts' THEN (SELECT 'There are ' || n || ' real active alert(s):' || chr(10) || lines || CASE WHEN n > 10 THEN ' (+' || (n - 10) || ' more)' ELSE '' END FROM act)
-    WHEN 'weather_lookup' THEN CASE WHEN name IS NULL THEN {_q(assistant.NO_WEATHER)} ELSE 'Real last-refreshed conditions for ' || name || ', ' || state || ': ' || rainfall_24h ||
-      'mm rain in the last 24h, ' || humidity || '% humidity, ' || temperature || 'C (as of ' || {STAMP} || '). This is live data from Open-Meteo, refreshed periodically - not necessarily this exact second.' END
-    WHEN 'state_event_count' THEN CASE WHEN state IS NULL THEN {_q(assistant.NO_STATE)} ELSE n_events || ' real historical landslide event(s) are recorded in ' || state ||
-      ' in this system''s registered data (NASA Global Landslide Catalog, 1970-2016 snapshot - real events may have occurred outside that window/source that aren''t reflected here).' END
+    WHEN 'alerts' THEN (SELECT 'Open alerts: ' || n || chr(10) || lines || CASE WHEN n > 10 THEN chr(10) || 'and ' || (n - 10) || ' further' ELSE '' END FROM act)
+    WHEN 'weather_lookup' THEN CASE WHEN name IS NULL THEN {_q(assistant.NO_WEATHER)} ELSE name || ' (' || state || '): rain in 24 h ' || rainfall_24h ||
+      ' mm, humidity ' || humidity || ' %, temperature ' || temperature || ' C, as of ' || {STAMP} END
+    WHEN 'state_event_count' THEN CASE WHEN state IS NULL THEN {_q(assistant.NO_STATE)} ELSE 'Recorded events in ' || state || ': ' || n_events END
     WHEN 'place_lookup' THEN CASE WHEN name IS NULL THEN {_q(assistant.NO_ZONE)} ELSE sentence END ELSE {_q(assistant.HELP)} END AS answer FROM joined""",
        m=MATCH, lines3=f"SELECT {SENTENCE} AS sentence, row_number() OVER (ORDER BY risk_score DESC, id) AS rn FROM zones WHERE risk_level <> 'UNKNOWN'",
        top3="SELECT list(sentence ORDER BY rn) AS l FROM lines3 WHERE rn <= 3",

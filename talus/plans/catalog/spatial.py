@@ -52,8 +52,8 @@ def a03(dom: Domain):
 
 
 def density_sql(hits: str) -> str:
-    return f"""SELECT p.point_id, CAST(least(coalesce(n, 0), 500) AS BIGINT) AS historical_landslide_count,
-        round(least(coalesce(n, 0), 500) / (pi() * 100), 6) AS historical_landslide_density_per_km2
+    return f"""SELECT p.point_id, CAST(coalesce(n, 0) AS BIGINT) AS historical_landslide_count,
+        round(coalesce(n, 0) / (pi() * 100), 6) AS historical_landslide_density_per_km2
         FROM pts p LEFT JOIN ({hits}) USING (point_id)"""
 
 

@@ -52,7 +52,8 @@ def cycle(dom: Domain) -> weather_refresh.RefreshTables:
     tables = weather_refresh.RefreshTables(root)
     tables.start(dom.zones)
     schema = dom.table("events").schema
-    raw = dom.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(dom.folder)
+    # A pattern, which a stream source takes for one file as well as for a folder of part files.
+    raw = dom.spark.readStream.schema(schema).parquet(f"{dom.folder}/events.parque[t]")
     running = weather_refresh.start(weather_payloads(raw), tables, f"{root}/checkpoint")
     running.awaitTermination()
     return tables

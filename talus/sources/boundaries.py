@@ -29,14 +29,19 @@ def _rings(parts):
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, name, rings) per Polygon or MultiPolygon, numbered in file order."""
+    """(feature, name, rings) per Polygon or MultiPolygon. Features are numbered in the order of their files' paths and
+    inside those by position, so that no two files share a number."""
     rows = read_features(spark, path)
+    per_file = rows.groupBy("file").agg((F.max("at") + 1).alias("n"))
+    # One row per boundary file.
+    starts = per_file.select("file", F.expr("coalesce(sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("_start"))
+    rows = rows.join(starts, "file")
     parts = F.when(F.col("geometry_type") == "Polygon", F.array(F.from_json("coordinates", _POLYGON))).when(
         F.col("geometry_type") == "MultiPolygon", F.from_json("coordinates", _MULTI)
     )
     named = region_name({f: F.try_element_at("properties", F.lit(f)) for f in _name_fields()})
     return rows.withColumn("parts", parts).where(F.col("parts").isNotNull()).select(
-        F.col("at").cast("long").alias("feature"), named.alias("name"), _rings(F.col("parts")).alias("rings")
+        (F.col("at") + F.col("_start")).cast("long").alias("feature"), named.alias("name"), _rings(F.col("parts")).alias("rings")
     )
 
 

@@ -62,14 +62,46 @@ def _exists(spark: SparkSession, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, quoted_newlines: bool = False) -> DataFrame:
     """All columns as text; a byte-order mark in front of the first header is dropped.
 
-    Files with line breaks inside quotes cannot be split between tasks, so that reading is opt-in.
+    Every file is read under its own header: files with equal headers are one scan, and the scans are put together by
+    name, where names of one logical field (see column_map) count as the same. Files with line breaks inside quotes cannot
+    be split between tasks, so that reading is opt-in.
     """
-    _exists(spark, path)
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=quoted_newlines, escape='"', encoding="UTF-8")
-    rows = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns], _order())
+    groups = _files_by_header(spark, path)
+    names: dict[str, str] = {}
+    parts = []
+    for paths in groups:
+        df = spark.read.csv(paths, header=True, inferSchema=False, multiLine=quoted_newlines, escape='"', encoding="UTF-8")
+        plain = {c: c.lstrip("\ufeff") for c in df.columns}
+        if len(groups) > 1:
+            logical = {header: field for field, header in column_map(list(plain.values())).items() if header}
+            plain = {c: names.setdefault(logical[h], h) if h in logical else h for c, h in plain.items()}
+        parts.append(df.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], _order()))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
     return spread(rows) if quoted_newlines else rows
 
 
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a path, grouped by their first line. Only those lines are read here, as CSV inference would."""
+    _exists(spark, path)
+    files = sorted(spark.read.text(path).inputFiles())
+    if len(files) < 2:
+        return [[path]]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups: dict[str, list[str]] = {}
+    for name in files:
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = target.getFileSystem(conf).open(target)
+        try:
+            header = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if header is not None:  # an empty file has no rows
+            groups.setdefault(header.lstrip("\ufeff"), []).append(name)
+    return list(groups.values()) or [[path]]
+
+
 _FEATURE = T.StructType([
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     T.StructField("geometry", T.StructType([

@@ -94,7 +94,6 @@ GRID_LOOKBACK_DAYS = 31
 
 # ---- fixed values: event density ----------------------------------------------------------------
 DENSITY_RADIUS_KM = 10.0
-DENSITY_CAP = 500
 
 # ---- fixed values: terrain and land cover -------------------------------------------------------
 SLOPE_BINS = [("<10", 10.0), ("10-20", 20.0), ("20-30", 30.0), ("30-40", 40.0)]  # above: 40+

@@ -115,3 +115,19 @@ def test_entry_contract(spark):
     assert set(sql) <= set(queries) and len(queries) > 140
     out = contract.entry(spark)
     assert out.count() == 1500 and "rainfall_30d" in out.columns
+
+
+def test_refresh_reads_a_folder_of_part_files(spark, tmp_path):
+    """The event table as one file and as a folder of parts gives the same zones."""
+    from pathlib import Path
+
+    from talus.plans.bindings import Domain
+    from talus.plans.catalog import streams
+
+    source = Path("/root/testdata/sf0.001")
+    for f in source.iterdir():
+        if f.name != "events.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    spark.read.parquet(str(source / "events.parquet")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    one, parts = streams.t01(Domain(spark, str(source))), streams.t01(Domain(spark, str(tmp_path)))
+    assert parts.where("temperature IS NOT NULL").count() > 0 and one.exceptAll(parts).count() == 0

@@ -211,3 +211,25 @@ def test_unknown_category_is_refused(spark):
     new = spark.createDataFrame([("a", "music")], "source_id string, category string")
     with pytest.raises(Exception, match="unknown category music"):
         registry.register(known, new, F.current_timestamp().cast("timestamp_ntz")).collect()
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,latitude,longitude\nA,26,88\n")
+    (tmp_path / "b.csv").write_text("lng,id,lat,severity\n89,B,27,high\n")
+    (tmp_path / "c.csv").write_text("id,latitude,longitude\nC,28,90\n")
+    rows = files.logical_view(files.read_csv(spark, str(tmp_path / "*.csv")))
+    got = sorted((r.location_id, r.latitude, r.longitude, r.severity) for r in rows.collect())
+    assert got == [("A", "26", "88", None), ("B", "27", "89", "high"), ("C", "28", "90", None)]
+
+
+def test_boundaries_of_several_files_keep_apart(spark, tmp_path):
+    for name, x in (("a", 0), ("b", 1)):
+        ring = [[x, 0], [x + 2, 0], [x + 2, 2], [x, 2], [x, 0]]
+        (tmp_path / f"{name}.geojson").write_text(
+            '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"%s"},"geometry":'
+            '{"type":"Polygon","coordinates":[%s]}}]}' % (name, ring))
+    shapes = boundaries.read_polygons(spark, str(tmp_path / "*.geojson"))
+    assert sorted((r.feature, r.name) for r in shapes.collect()) == [(0, "a"), (1, "b")]
+    points = spark.createDataFrame([(1, 1.0, 0.5), (2, 1.0, 1.5), (3, 1.0, 2.5), (4, 1.0, 9.0)], "id long, latitude double, longitude double")
+    got = {r.id: r.region for r in polygons.locate(points, shapes, "region").collect()}
+    assert got == {1: "a", 2: "a", 3: "b", 4: None}
