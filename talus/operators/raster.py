@@ -1,7 +1,9 @@
 """Raster bands as cell tables: metadata, sampling, 3x3 neighbourhoods, mosaics.
 
 cells: (tile_lat, tile_lon, row, col, value); tiles: one row per tile with left, top, res_x, res_y,
-width, height, nodata, geographic. Tiles are one degree wide, so a point knows its tile by flooring.
+width, height, nodata, geographic. All tiles of a raster span the same number of whole `degrees` (one unless said
+otherwise) and the same pixel grid, so a point knows its tile by flooring, and a pixel its neighbours in the next tile.
+There are at most 64,800 tiles on Earth: a set of tiles is always small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -9,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus import vocab
 from talus.functions import geo, terrain
 from talus.runtime import attach_to_groups, broadcast_if_small
 
@@ -19,14 +20,14 @@ OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
 
 def summarize(cells: DataFrame, res: float, nodata: float | None, geographic: bool = True,
-              crs: str = "EPSG:4326") -> DataFrame:
+              crs: str = "EPSG:4326", degrees: int = 1) -> DataFrame:
     """Metadata of every tile, read off its cells."""
     return cells.groupBy(*TILE).agg(
         (F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")
     ).select(
         *TILE,
         F.col("tile_lon").cast("double").alias("left"),
-        (F.col("tile_lat") + 1).cast("double").alias("top"),
+        (F.col("tile_lat") + degrees).cast("double").alias("top"),
         F.lit(res).alias("res_x"), F.lit(res).alias("res_y"), "width", "height",
         F.lit(nodata).cast("double").alias("nodata"), F.lit(geographic).alias("geographic"), F.lit(crs).alias("crs"),
     )
@@ -39,9 +40,9 @@ def bounds(tiles: DataFrame) -> DataFrame:
     })
 
 
-def to_pixels(points: DataFrame, tiles: DataFrame) -> DataFrame:
+def to_pixels(points: DataFrame, tiles: DataFrame, degrees: int = 1) -> DataFrame:
     """Adds tile, row, col and tile metadata; `covered` is false outside every tile."""
-    tile_lat, tile_lon = geo.one_degree_tile(F.col("latitude"), F.col("longitude"))
+    tile_lat, tile_lon = [(F.floor(F.col(c) / float(degrees)) * degrees).cast("int") for c in ("latitude", "longitude")]
     placed = points.withColumn("tile_lat", tile_lat).withColumn("tile_lon", tile_lon).join(
         broadcast_if_small(tiles), TILE, "left"
     )
@@ -54,17 +55,23 @@ def to_pixels(points: DataFrame, tiles: DataFrame) -> DataFrame:
 _META = ["left", "top", "res_x", "res_y", "width", "height", "nodata", "geographic", "crs", "covered", *PIXEL]
 
 
-def sample(points: DataFrame, cells: DataFrame, tiles: DataFrame, name: str = "value") -> DataFrame:
+def needed(cells: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The cells of the tiles that some pixel lies in; on a table partitioned by tile, only those are read."""
+    return cells.join(F.broadcast(pixels.select(*TILE).distinct()), TILE, "left_semi")
+
+
+def sample(points: DataFrame, cells: DataFrame, tiles: DataFrame, name: str = "value", degrees: int = 1) -> DataFrame:
     """Cell value under each point; NULL outside the raster and on nodata."""
-    placed = to_pixels(points, tiles)
-    out = placed.join(cells, PIXEL, "left")
+    placed = to_pixels(points, tiles, degrees)
+    out = placed.join(needed(cells, placed.where("covered")), PIXEL, "left")
     valid = F.col("covered") & (F.col("nodata").isNull() | (F.col("value") != F.col("nodata")))
     return out.withColumn(f"_{name}", F.when(valid, F.col("value"))).drop(*_META, "value").withColumnRenamed(f"_{name}", name)
 
 
-def landcover(points: DataFrame, cells: DataFrame, tiles: DataFrame, scheme: str | None = "esa_worldcover") -> DataFrame:
+def landcover(points: DataFrame, cells: DataFrame, tiles: DataFrame, scheme: str | None = "esa_worldcover",
+              degrees: int = 1) -> DataFrame:
     """Raw class, category and availability under each point."""
-    out = sample(points, cells, tiles, "_code")
+    out = sample(points, cells, tiles, "_code", degrees)
     seen = F.col("_code").isNotNull()
     return out.select(
         *points.columns,
@@ -74,22 +81,28 @@ def landcover(points: DataFrame, cells: DataFrame, tiles: DataFrame, scheme: str
     )
 
 
-def neighbourhoods(pixels: DataFrame, cells: DataFrame) -> DataFrame:
-    """The 3x3 block of every distinct pixel: nine columns and how many of them exist.
+def neighbourhoods(pixels: DataFrame, cells: DataFrame, across: bool = True, degrees: int = 1) -> DataFrame:
+    """The 3x3 block of every distinct pixel: nine columns and how many of them exist. With `across`, a block reaches over
+    the seams into the next tiles, as on one mosaic; without, it ends at its own tile.
 
     Distinct pixels are looked up once however many points share them; the nine cells of a block meet
     again in one aggregation on the pixel.
     """
     shift = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in OFFSETS]))
-    wanted = pixels.select(*PIXEL).distinct().withColumn("o", shift)
+    across = across and {"height", "width"} <= set(pixels.columns)  # without tile sizes there are no seams to cross
+    wanted = pixels.select(*PIXEL, *(["height", "width"] if across else [])).distinct().withColumn("o", shift)
+    row, col = F.col("row") + F.col("o.dr"), F.col("col") + F.col("o.dc")
+    down, right = (F.floor(row / F.col("height")), F.floor(col / F.col("width"))) if across else (F.lit(0), F.lit(0))
     wanted = wanted.select(
-        *TILE, F.col("row").alias("_row"), F.col("col").alias("_col"), "o",
-        (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"),
+        (F.col("tile_lat") - down * degrees).cast("int").alias("tile_lat"), (F.col("tile_lon") + right * degrees).cast("int").alias("tile_lon"),
+        F.col("tile_lat").alias("_tile_lat"), F.col("tile_lon").alias("_tile_lon"), F.col("row").alias("_row"), F.col("col").alias("_col"), "o",
+        (row - down * F.col("height") if across else row).cast("int").alias("row"),
+        (col - right * F.col("width") if across else col).cast("int").alias("col"),
     )
     at = lambda dr, dc: (F.col("o.dr") == dr) & (F.col("o.dc") == dc)
     return (
-        wanted.join(cells, PIXEL)
-        .groupBy(*TILE, F.col("_row").alias("row"), F.col("_col").alias("col"))
+        wanted.join(needed(cells, wanted), PIXEL)
+        .groupBy(*[F.col(f"_{c}").alias(c) for c in PIXEL])
         .agg(*[F.max(F.when(at(dr, dc), F.col("value"))).alias(_cell(dr, dc)) for dr, dc in OFFSETS], F.count("*").alias("n"))
     )
 
@@ -98,13 +111,14 @@ def _cell(dr: int, dc: int) -> str:
     return f"z{dr + 1}{dc + 1}"
 
 
-def terrain_features(points: DataFrame, cells: DataFrame, tiles: DataFrame) -> DataFrame:
+def terrain_features(points: DataFrame, cells: DataFrame, tiles: DataFrame, across: bool = True, degrees: int = 1) -> DataFrame:
     """Elevation, slope and aspect under each point.
 
-    Nodata is tested on the centre only. A pixel on the tile's edge has an elevation but no slope.
+    Nodata is tested on the centre only. A pixel on the raster's edge (without `across`: on its tile's edge) has an
+    elevation but no slope.
     """
-    placed = to_pixels(points, tiles)
-    blocks = neighbourhoods(placed.where("covered"), cells)
+    placed = to_pixels(points, tiles, degrees)
+    blocks = neighbourhoods(placed.where("covered"), cells, across, degrees)
     joined = attach_to_groups(placed, blocks, PIXEL)
     centre = F.col(_cell(0, 0))
     valid = F.col("covered") & centre.isNotNull() & (F.col("nodata").isNull() | (centre != F.col("nodata")))
@@ -123,7 +137,7 @@ def terrain_features(points: DataFrame, cells: DataFrame, tiles: DataFrame) -> D
 def fill_zone_terrain(zones: DataFrame, cells: DataFrame, tiles: DataFrame) -> DataFrame:
     """Derived zones still without terrain take it from their own tile; an edge cell counts as flat."""
     waiting = zones.where((F.col("source_type") == "derived") & ~F.col("terrain_data_real"))
-    seen = terrain_features(waiting, cells, tiles)
+    seen = terrain_features(waiting, cells, tiles, across=False)
     got = F.col("terrain_available")
     return seen.select(
         *[c for c in zones.columns if c not in ("elevation", "slope", "terrain_data_real")],
@@ -177,5 +191,3 @@ def _everything():
     # Only ever applied to the handful of rows left after grouping by bin.
     return Window.partitionBy(F.lit(0))
 
-
-NO_LANDCOVER = vocab.LANDCOVER_CATEGORIES[-1]

@@ -72,7 +72,24 @@ def j08(dom: Domain):
     return raster.landcover(dom.events.select("id", "latitude", "longitude"), *landcover(dom)).drop("latitude", "longitude")
 
 
-def terrain_views(table: str, key: str = "id") -> dict[str, str]:
+@query("j08_wide_tiles", """SELECT id, CASE WHEN c.value <> 0 THEN CAST(c.value AS INTEGER) END AS raw_class FROM wpx LEFT JOIN lc c
+    ON c.tile_lat = wlat + 2 - floor(pr / 50) AND c."row" = pr - 50 * floor(pr / 50) AND c.tile_lon = wlon + floor(pc / 50) AND c.col = pc - 50 * floor(pc / 50)""",
+       wpx=f"""SELECT id, wlat, wlon, floor((wlat + 3 - latitude) / {d(0.02)}) AS pr, floor((longitude - wlon) / {d(0.02)}) AS pc FROM
+           (SELECT *, floor(latitude / 3) * 3 AS wlat, floor(longitude / 3) * 3 AS wlon FROM haz)""")
+def j08w(dom: Domain):
+    """The same land cover in tiles of three degrees."""
+    cells, tiles = landcover(dom)
+    side = F.floor(F.col("tile_lat") / 3) * 3
+    wide = cells.join(F.broadcast(tiles.select("tile_lat", "tile_lon", "height", "width")), ["tile_lat", "tile_lon"]).select(
+        side.cast("int").alias("tile_lat"), (F.floor(F.col("tile_lon") / 3) * 3).cast("int").alias("tile_lon"),
+        (F.col("row") + (side + 2 - F.col("tile_lat")) * F.col("height")).cast("int").alias("row"),
+        (F.col("col") + F.pmod("tile_lon", F.lit(3)) * F.col("width")).cast("int").alias("col"), "value")
+    meta = raster.summarize(wide, 0.02, 0.0, degrees=3)
+    return raster.landcover(dom.events.select("id", "latitude", "longitude"), wide, meta, degrees=3).select("id", "raw_class")
+
+
+def terrain_views(table: str, key: str = "id", across: bool = True) -> dict[str, str]:
+    down, right = ("floor((pr + dr) / height)", "floor((pc + dc) / width)") if across else ("0", "0")
     z = lambda r, c: f"max(CASE WHEN dr = {r} AND dc = {c} THEN value END)"
     sx = f"(8 * res_x * {d(111320)} * cos(radians(latitude)))"
     sy = f"(8 * res_y * {d(111320)})"
@@ -81,7 +98,8 @@ def terrain_views(table: str, key: str = "id") -> dict[str, str]:
     return {
         "px": pixel_view(table, "dem_tiles"),
         "around": f"""SELECT px.{key} AS pid, dr, dc, value FROM px, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc), dem c
-            WHERE {COVERED} AND c.tile_lat = px.tile_lat AND c.tile_lon = px.tile_lon AND c."row" = pr + dr AND c.col = pc + dc""",
+            WHERE {COVERED} AND c.tile_lat = px.tile_lat - {down} AND c.tile_lon = px.tile_lon + {right}
+            AND c."row" = pr + dr - {down} * height AND c.col = pc + dc - {right} * width""",
         "block": f"""SELECT px.{key} AS pid, count(value) AS n, {z(0, 0)} AS centre, ({east} - {west}) / {sx} AS gx, ({south} - {north}) / {sy} AS gy
             FROM px LEFT JOIN around ON pid = px.{key} GROUP BY px.{key}, latitude, res_x, res_y""",
         "ter": """SELECT pid, CASE WHEN centre <> -9999 THEN round(centre, 2) END AS elevation_m,
@@ -163,7 +181,7 @@ def u02(dom: Domain):
 @query("j10_fill_zone_terrain", """SELECT z.id, CASE WHEN terrain_available THEN elevation_m ELSE elevation END AS elevation,
     CASE WHEN terrain_available THEN coalesce(slope_degrees, 0) ELSE slope END AS slope,
     terrain_data_real OR terrain_available AS terrain_data_real
-    FROM zones z JOIN ter ON pid = z.id WHERE source_type = 'derived' AND NOT terrain_data_real""", **terrain_views("zones"))
+    FROM zones z JOIN ter ON pid = z.id WHERE source_type = 'derived' AND NOT terrain_data_real""", **terrain_views("zones", across=False))
 def j10(dom: Domain):
     return raster.fill_zone_terrain(dom.zones, *dem(dom)).select("id", "elevation", "slope", "terrain_data_real")
 

@@ -140,6 +140,21 @@ def test_terrain_at_edges_flat_ground_and_nodata(spark):
     assert got["beside"][0] == 100.0 and got["beside"][1] > 0  # only the centre is tested for nodata
 
 
+def test_slope_across_seams(spark):
+    """Four tiles of one sloping plane: the seams have the slope of the inside, the outer edge has none."""
+    cells = [(tlat, tlon, r, c, float(100 * ((1 - tlat) * 10 + r))) for tlat in (0, 1) for tlon in (0, 1) for r in range(10) for c in range(10)]
+    cells = spark.createDataFrame(cells, "tile_lat int, tile_lon int, row int, col int, value double")
+    tiles = raster.summarize(cells, 0.1, -9999.0)
+    points = spark.createDataFrame([(1, 1.05, 0.95), (2, 0.95, 1.05), (3, 1.55, 1.05), (4, 1.95, 1.05), (5, 0.55, 0.05)],
+                                   "id long, latitude double, longitude double")
+    got = {r.id: r.slope_degrees for r in raster.terrain_features(points, cells, tiles).collect()}
+    assert got[1] and got[2] and got[3] and got[4] is None and got[5] is None
+    own = {r.id: r.slope_degrees for r in raster.terrain_features(points, cells, tiles, across=False).collect()}
+    assert own == {1: None, 2: None, 3: None, 4: None, 5: None}
+    plan = raster.terrain_features(points, cells, tiles)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_positions_and_running_sums(spark):
     rng = random.Random(5)
     rows = [(rng.choice("abc") if rng.random() < 0.9 else None, i, rng.randint(0, 9)) for i in range(500)]
