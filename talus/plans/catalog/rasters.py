@@ -73,7 +73,8 @@ def j08(dom: Domain):
 
 
 @query("j08_wide_tiles", """SELECT id, CASE WHEN c.value <> 0 THEN CAST(c.value AS INTEGER) END AS raw_class FROM wpx LEFT JOIN lc c
-    ON c.tile_lat = wlat + 2 - floor(pr / 50) AND c."row" = pr - 50 * floor(pr / 50) AND c.tile_lon = wlon + floor(pc / 50) AND c.col = pc - 50 * floor(pc / 50)""",
+    ON c.tile_lat = wlat + 2 - floor(pr / 50) AND c."row" = pr - 50 * floor(pr / 50) AND c.tile_lon = wlon + floor(pc / 50) AND c.col = pc - 50 * floor(pc / 50)
+    AND pr BETWEEN 0 AND 149 AND pc BETWEEN 0 AND 149""",
        wpx=f"""SELECT id, wlat, wlon, floor((wlat + 3 - latitude) / {d(0.02)}) AS pr, floor((longitude - wlon) / {d(0.02)}) AS pc FROM
            (SELECT *, floor(latitude / 3) * 3 AS wlat, floor(longitude / 3) * 3 AS wlon FROM haz)""")
 def j08w(dom: Domain):
