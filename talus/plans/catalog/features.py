@@ -190,27 +190,19 @@ def w07(dom: Domain):
 
 
 # Model -----------------------------------------------------------------------------------------
-_PREPARED: dict[tuple[str, str], str] = {}
-_MODELS: dict[tuple[str, str, bool], tuple] = {}
-
 
 def training(dom: Domain):
-    """Labelled features over stored negatives: written once per session and folder, then read back."""
-    key = (dom.spark.sparkContext.applicationId, dom.folder)
-    if key not in _PREPARED:
-        base = work_path(dom.spark, "training")
-        stored = sinks.write_negatives(negatives(dom)[0], f"{base}/negatives")
-        rows = susceptibility.training_set(features.event_points(dom.events), stored, dom.rainfall, dem(dom), landcover(dom), dom.events)
-        rows.write.mode("overwrite").parquet(f"{base}/features")
-        _PREPARED[key] = base
-    return dom.spark.read.parquet(f"{_PREPARED[key]}/features")
+    """Labelled features of the box's events and of negatives drawn in it: written, then read back."""
+    base = work_path(dom.spark, "training")
+    stored = sinks.write_negatives(negatives(dom)[0], f"{base}/negatives")
+    positives = features.event_points(susceptibility.positives_in_box(dom.events, BOX))
+    rows = susceptibility.training_set(positives, stored, dom.rainfall, dem(dom), landcover(dom), dom.events)
+    rows.write.mode("overwrite").parquet(f"{base}/features")
+    return dom.spark.read.parquet(f"{base}/features")
 
 
 def fitted(dom: Domain, with_density: bool):
-    key = (dom.spark.sparkContext.applicationId, dom.folder, with_density)
-    if key not in _MODELS:
-        _MODELS[key] = susceptibility.train(training(dom), with_density)
-    return _MODELS[key]
+    return susceptibility.train(training(dom), with_density)
 
 
 @query("p25_feature_vector")
