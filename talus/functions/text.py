@@ -9,8 +9,9 @@ from talus import vocab
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 _GROUPED = r"^\s*[+-]?\d+(_\d+)+(\.\d+)?\s*$"
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 _HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-]\d{2}:?\d{2})?$"
+_BASIC = r"^(\d{8}[T ]\d{2}|\d{4}-\d{2}-\d{2}[T ]\d{4})"
 _SOLID = r"[^\s\x1c-\x1f\x85   -     　]"
 _WHITESPACE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85    　"
 
@@ -36,7 +37,19 @@ def _utc(text: Column) -> Column:
 
 
 def parse_iso(c: Column) -> Column:
-    """ISO 8601 date or date-time to a naive UTC timestamp; anything else NULL."""
+    """ISO 8601 date or date-time, in extended or basic form, to a naive UTC timestamp; anything else NULL. Fractions of a
+    second are cut after six digits."""
+    return F.get(F.transform(F.array(F.when(c.rlike(_BASIC), _extended(c)).otherwise(c)), _read_iso), F.lit(0))
+
+
+def _extended(c: Column) -> Column:
+    """Basic form (20230712T101112) with its hyphens and colons put in; date and time may each have either form."""
+    dated = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=[T ])", "$1-$2-$3")
+    timed = F.regexp_replace(dated, r"^(.{10}[T ]\d{2})(\d{2})(\d{2})(?![\d:])", "$1:$2:$3")
+    return F.regexp_replace(timed, r"^(.{10}[T ]\d{2})(\d{2})(?![\d:])", "$1:$2")
+
+
+def _read_iso(c: Column) -> Column:
     hour_only = F.length(c) < 16
     iso_text = F.when(hour_only, F.regexp_replace(c, _HOUR_ONLY, "$1:00:00$2")).otherwise(F.translate(c, ",", "."))
     return F.when(c.rlike(_ISO), _utc(iso_text))

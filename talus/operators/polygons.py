@@ -17,6 +17,7 @@ from talus.runtime import BROADCAST_ROW_LIMIT, cut_lineage
 
 COVER_CELL_DEGREES = 0.05
 EDGE_LIMIT = 2_000_000
+NO_ROW = -(1 << 40)  # far below the row of any latitude
 
 
 def region_name(properties: Column) -> Column:
@@ -96,8 +97,10 @@ def cover(polygons: DataFrame, size: float = COVER_CELL_DEGREES) -> DataFrame:
     return kept.groupBy("row", "col").agg(F.array_sort(F.collect_list("candidate"), by_order).alias("candidates"))
 
 
-def locate(points: DataFrame, polygons: DataFrame, name: str = "region", size: float = COVER_CELL_DEGREES) -> DataFrame:
-    """Adds the first containing feature (`<name>_feature`) and its name; NULL when none contains it."""
+def locate(points: DataFrame, polygons: DataFrame, name: str = "region", size: float = COVER_CELL_DEGREES,
+           wanted: Column | None = None) -> DataFrame:
+    """Adds the first containing feature (`<name>_feature`) and its name; NULL when none contains it, and for rows that are
+    not `wanted`. Those meet no cell, so they are never ray-cast; in a shuffle they spread over rows that no cell has."""
     table = cut_lineage(_lookup(cover(polygons, size)))
     edges = F.aggregate("candidates", F.lit(0), lambda n, c: n + F.coalesce(F.size(c["edges"]), F.lit(0)))
     cells, weight = table.agg(F.count("*"), F.coalesce(F.sum(edges), F.lit(0))).first()
@@ -106,8 +109,11 @@ def locate(points: DataFrame, polygons: DataFrame, name: str = "region", size: f
     x, y = F.col("longitude"), F.col("latitude")
     cast = F.get(F.filter("candidates", lambda c: c["whole"] | _inside(c["edges"], x, y)), F.lit(0))
     answer = F.struct(F.col("candidates")[0]["feature"].alias("feature"), F.col("candidates")[0]["name"].alias("name"))
+    row = geo.cell(y, size)
+    if wanted is not None:
+        row = F.when(wanted, row).otherwise(F.lit(NO_ROW) - F.pmod(F.xxhash64(x, y), F.lit(1 << 20)))
     return (
-        points.withColumn("_prow", geo.cell(y, size)).withColumn("_pcol", geo.cell(x, size))
+        points.withColumn("_prow", row).withColumn("_pcol", geo.cell(x, size))
         .join(table, ["_prow", "_pcol"], "left")
         # Only points in cells cut by an edge are ray-cast.
         .withColumn("_hit", F.when(F.col("settled"), answer).otherwise(
@@ -132,9 +138,9 @@ def fill_places(events: DataFrame, states: DataFrame | None, districts: DataFram
     A district given by the file is never used: it stays NULL whenever a state was given.
     """
     out = events
-    out = locate(out, states, "_state") if states is not None else out.withColumn("_state", F.lit(None).cast("string"))
-    out = locate(out, districts, "_district") if districts is not None else out.withColumn("_district", F.lit(None).cast("string"))
     missing = F.col("state").isNull()
+    out = locate(out, states, "_state", wanted=missing) if states is not None else out.withColumn("_state", F.lit(None).cast("string"))
+    out = locate(out, districts, "_district", wanted=missing) if districts is not None else out.withColumn("_district", F.lit(None).cast("string"))
     return (
         out.withColumn("district", F.when(missing, F.col("_district")))
         .withColumn("state", F.coalesce("state", "_state"))

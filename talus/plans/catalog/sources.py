@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talus import vocab
 from talus.operators import features
 from talus.plans import ingestion
 from talus.plans.bindings import Domain
@@ -81,6 +80,18 @@ def s09(dom: Domain):
     return files.checksums(dom.spark, f"{dom.folder}/*.parquet")
 
 
+@query("s09_text_checksums", """SELECT doc, sha256(body) AS checksum_sha256, octet_length(encode(body)) AS file_size_bytes FROM
+    (SELECT id // 100 AS doc, string_agg(id || ',' || coalesce(event_type, ''), ';' ORDER BY id) || chr(10) AS body FROM haz GROUP BY 1)""")
+def s09_texts(dom: Domain):
+    """Text files of a hundred events each, written and read back whole."""
+    line = F.concat_ws(",", F.col("id").cast("string"), F.coalesce("event_type", F.lit("")))
+    docs = dom.events.groupBy(F.expr("id div 100").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    folder = work_path(dom.spark, "texts")
+    docs.select("doc", F.array_join(F.transform("lines", lambda x: x["line"]), ";").alias("value")).write.partitionBy("doc").text(folder)
+    return files.checksums(dom.spark, f"{folder}/*/*.txt", whole_path=True).select(
+        F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("doc"), "checksum_sha256", "file_size_bytes")
+
+
 @query("s10_written_records", f"""SELECT 'inventory-' || idx AS location_id, CAST({REC_SCORE} AS VARCHAR) AS data_quality_score, {REC_MISSING} AS missing_features FROM judged WHERE errors = ''""", **REC)
 def s10(dom: Domain):
     validated, scored = ingestion.validate_inventory(dom.raw_events, "inventory")
@@ -144,4 +155,18 @@ def s16(dom: Domain):
         "source_id", F.coalesce("last_status", F.lit("registered")).alias("last_status"), F.coalesce("processed", F.lit(False)).alias("processed"))
 
 
-_ = vocab
+@query("s16_run_life_cycle", """SELECT 'inventory' AS source_id, 'processed' AS last_status, count(*) AS total_records, false AS has_error FROM haz
+    UNION ALL SELECT 'lost', 'failed', NULL, true""")
+def s16_runs(dom: Domain):
+    """Two runs on record: a written inventory that is read in, and a folder that does not exist."""
+    folder, runs = work_path(dom.spark, "inventory"), work_path(dom.spark, "runs")
+    dom.events.select(F.col("id").cast("string").alias("record_id"), "latitude", "longitude").write.option("header", True).csv(folder)
+    for source, place in (("inventory", folder), ("lost", f"{folder}-lost")):
+        try:
+            ingestion.tracked_file(dom.spark, f"{place}/*.csv", source, "historical_landslide", work_path(dom.spark, "stored"), f"run-{source}", runs)
+        except files.DatasetError:
+            continue  # on record as failed
+    stored = dom.spark.read.parquet(runs)
+    latest = registry.current_status(stored).select("source_id", F.col("run_id").alias("id"), "last_status", F.col("last_error").isNotNull().alias("has_error"))
+    return latest.join(stored.select("source_id", "id", "total_records"), ["source_id", "id"]).select(
+        "source_id", "last_status", "total_records", "has_error")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,22 @@ def ingest_file(spark: SparkSession, path: str, source_id: str, category: str, t
     return registry.run_row(source_id, done.summary, at, at)
 
 
+def tracked_file(spark: SparkSession, path: str, source_id: str, category: str, table: str, batch: str, runs: str,
+                 **options) -> None:
+    """ingest_file with its run on record in the table `runs`: processing from the start, then processed with its counts, or
+    failed with the error, which is raised again."""
+    started = F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+    state = lambda status, **facts: sinks.write_run(
+        registry.run_state(spark, batch, source_id, started, status, **facts), runs)
+    state("processing")
+    try:
+        summary = ingest_file(spark, path, source_id, category, table, batch, **options)
+        state("processed", summary=summary)
+    except Exception as error:
+        state("failed", error=str(error)[:500])
+        raise
+
+
 def _stored(spark: SparkSession, table: str, source_id: str, batch: str) -> DataFrame | None:
     """Rows other batches have stored; a batch that is run again does not see its own earlier try."""
     try:

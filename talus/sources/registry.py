@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.functions.text import file_name
 
+RUN_COUNTS = ["total_records", "valid_records", "invalid_records", "inserted", "duplicates"]
+RUN_STATES = ("processing", "processed", "failed")
 PUBLIC_SUMMARY = ["source_id", "name", "category", "configured", "processed", "last_status"]
 
 
@@ -48,6 +50,20 @@ def run_row(source_id: str, summary: DataFrame, started_at: Column, completed_at
     )
 
 
+def run_state(spark: SparkSession, run_id: str, source_id: str, started_at: Column, status: str,
+              summary: DataFrame | None = None, error: str | None = None) -> DataFrame:
+    """One run of a source at any point of its life: `processing`, `processed` or `failed`. Counts are NULL until known."""
+    if status not in RUN_STATES:
+        raise ValueError(f"unknown run status {status}")
+    row = spark.range(1).select(F.lit(run_id).alias("id"), F.lit(source_id).alias("source_id")) if summary is None else summary.select(
+        F.lit(run_id).alias("id"), F.lit(source_id).alias("source_id"), *RUN_COUNTS)
+    counts = [] if summary is not None else [F.lit(None).cast("long").alias(c) for c in RUN_COUNTS]
+    ended = F.current_timestamp().cast("timestamp_ntz") if status != "processing" else F.lit(None).cast("timestamp_ntz")
+    return row.select("*", *counts).select(
+        "id", "source_id", *[F.col(c).cast("long").alias(c) for c in RUN_COUNTS], started_at.alias("started_at"),
+        ended.alias("completed_at"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_summary"))
+
+
 def current_status(runs: DataFrame) -> DataFrame:
     """Status of every source = its latest run; `processed` only after a success."""
     last = F.max_by(F.struct("id", "status", "error_summary", "started_at"), F.struct("started_at", "id"))

@@ -47,8 +47,8 @@ def write_features(rows: DataFrame, metadata: DataFrame, folder: str) -> None:
     metadata.write.mode("overwrite").json(f"{folder}/metadata")
 
 
-def append_batch(rows: DataFrame, table: str, batch: str) -> int:
-    """Append one batch to a table partitioned by source; returns the rows now stored for the batch.
+def append_batch(rows: DataFrame, table: str, batch: str) -> None:
+    """Append one batch to a table partitioned by batch and source.
 
     The batch lives in its own partition value and replaces itself when it is run again, so a retried
     batch cannot store its rows twice.
@@ -60,8 +60,11 @@ def append_batch(rows: DataFrame, table: str, batch: str) -> int:
         .partitionBy("batch", "source_id")
         .parquet(table)
     )
-    spark = rows.sparkSession
-    return spark.read.parquet(table).where(F.col("batch") == batch).count()
+
+
+def write_run(run: DataFrame, runs: str) -> None:
+    """Store the state of one run; a later state of the same run replaces it."""
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(runs)
 
 
 def write_negatives(points: DataFrame, path: str) -> DataFrame:

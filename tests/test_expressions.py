@@ -35,6 +35,12 @@ def test_dates(spark):
         "07/12/2023": dt.datetime(2023, 12, 7),
         "07/25/2023": dt.datetime(2023, 7, 25),
         "20230712": dt.datetime(2023, 7, 12),
+        "20230712T101112": dt.datetime(2023, 7, 12, 10, 11, 12),
+        "20230712T1011": dt.datetime(2023, 7, 12, 10, 11),
+        "20230712 101112.5+0530": dt.datetime(2023, 7, 12, 4, 41, 12, 500000),
+        "2023-07-12T101112": dt.datetime(2023, 7, 12, 10, 11, 12),
+        "2023-07-12T08:30:15.123456789": dt.datetime(2023, 7, 12, 8, 30, 15, 123456),
+        "2023-07-12T1011:12": None, "2023-07-12T10:1112": None,
         "07/12/2023 01:05:09 PM": dt.datetime(2023, 7, 12, 13, 5, 9),
         "07/12/2023 13:05:09": dt.datetime(2023, 7, 12, 13, 5, 9),
         "2023": None, "2023-02-30": None, "nan": None, "None": None, "": None, "soon": None,

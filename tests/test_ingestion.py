@@ -173,6 +173,17 @@ def test_ingest_file_twice(spark, folder, tmp_path):
     assert spark.read.parquet(table).count() == 3
 
 
+def test_runs_on_record(spark, folder, tmp_path):
+    runs, table = str(tmp_path / "runs"), str(tmp_path / "t")
+    ingestion.tracked_file(spark, str(folder / "events.csv"), "good", "historical_landslide", table, "r1", runs)
+    with pytest.raises(files.DatasetError):
+        ingestion.tracked_file(spark, str(folder / "absent.csv"), "bad", "historical_landslide", table, "r2", runs)
+    found = {r["id"]: r for r in spark.read.parquet(runs).collect()}
+    assert (found["r1"]["status"], found["r1"]["inserted"], found["r1"]["error_summary"]) == ("processed", 3, None)
+    assert found["r1"]["started_at"] <= found["r1"]["completed_at"]
+    assert found["r2"]["status"] == "failed" and "absent.csv" in found["r2"]["error_summary"] and found["r2"]["inserted"] is None
+
+
 def test_stream_ingest_is_idempotent(spark, folder, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()
