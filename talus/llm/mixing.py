@@ -27,6 +27,7 @@ WEIGHTS = (5, 2, 1)
 FACTOR = 1.5
 CAP = 2
 SHARDS = 16
+PIECES = 64
 BLOCK_WORDS = 2048
 LARGE = 64          # a document over 1/LARGE of its source is large
 SEED = 20240607
@@ -150,8 +151,11 @@ def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The drawn copies with the documents' own columns, sorted inside the tasks by shard and order."""
-    return mixed(docs).repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order").select("row.*")
+    """The drawn copies with the documents' own columns, sorted inside the tasks by shard and order. Every shard is cut into
+    at least `PIECES` pieces, and into more where the session is set to more shuffle partitions, so that no task's share is
+    fixed by the number of shards."""
+    pieces = max(PIECES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    return mixed(docs).repartition("shard", F.pmod("order", F.lit(pieces))).sortWithinPartitions("shard", "order").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

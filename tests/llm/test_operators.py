@@ -206,6 +206,18 @@ def test_mixing(docs, none):
     assert mixing.digest(none).count() == 0
 
 
+def test_mixture_pieces_grow_with_the_shuffle(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    small = got(mixing.mixture(docs), "doc_id", "text")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "512")
+        plan = mixing.mixture(docs)
+        assert "pmod" in plan._jdf.queryExecution().toString() and ", 128)" in plan._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got(plan, "doc_id", "text") == small
+
+
 def test_split_is_exact():
     quotas = np.array([5, 0, 17, 100])
     parts = mixing.split(quotas, 6, 1)
