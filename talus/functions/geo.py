@@ -33,6 +33,23 @@ def degree_box(lat: Column, radius_km: Column | float) -> tuple[Column, Column]:
 BOX_SLACK = 1.02
 
 
+def circle_box(lat: Column, lon: Column, at_lat: float, at_lon: float, radius_km: float) -> Column:
+    """Plain ranges of latitude and longitude that hold every place within the radius, so that files and row groups can be
+    skipped. Longitudes lie in [-180, 180]; a box over the date line is two ranges, one over a pole has all longitudes."""
+    arc = math.radians(radius_km * BOX_SLACK / vocab.KM_PER_DEGREE)
+    out = lat.between(at_lat - math.degrees(arc), at_lat + math.degrees(arc))
+    if abs(math.radians(at_lat)) + arc >= math.pi / 2:
+        return out
+    half = math.degrees(math.asin(min(1.0, math.sin(arc) / math.cos(math.radians(at_lat)))))
+    west, east = at_lon - half, at_lon + half
+    inside = lon.between(west, east)
+    if west < -180:
+        inside = inside | (lon >= west + 360)
+    if east > 180:
+        inside = inside | (lon <= east - 360)
+    return out & inside
+
+
 def within_box(lat: Column, lon: Column, min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> Column:
     if not (min_lat < max_lat and min_lon < max_lon):
         raise ValueError("a box needs min < max in both directions")

@@ -100,8 +100,7 @@ def common_filters(df: DataFrame, date: str, source_id: str | None = None, start
 def nearby(df: DataFrame, lat: float, lon: float, radius_km: float, limit: int, date: str, tie: list[str],
            **filters) -> DataFrame:
     """Rows within the radius of one place, nearest first."""
-    half_lat = radius_km * geo.BOX_SLACK / vocab.KM_PER_DEGREE
-    boxed = df.where(F.col("latitude").between(lat - half_lat, lat + half_lat))
+    boxed = df.where(geo.circle_box(F.col("latitude"), F.col("longitude"), lat, lon, radius_km))
     distance = geo.haversine_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude"), F.col("longitude"))
     return (
         common_filters(boxed, date, **filters)

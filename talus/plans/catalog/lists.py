@@ -62,7 +62,8 @@ def l04(dom: Domain):
        s="SELECT station_id AS sid, latitude AS sy, longitude AS sx FROM near ORDER BY dist, source_record_id, rainfall_mm NULLS FIRST LIMIT 1")
 def l04n(dom: Domain):
     distance = geo.haversine_km(F.lit(26.9), F.lit(88.75), F.col("latitude"), F.col("longitude"))
-    pairs = dom.rainfall.withColumn("distance_km", distance).where(F.col("distance_km") <= 25)
+    boxed = dom.rainfall.where(geo.circle_box(F.col("latitude"), F.col("longitude"), 26.9, 88.75, 25))
+    pairs = boxed.withColumn("distance_km", distance).where(F.col("distance_km") <= 25)
     return summaries.nearest_station_history(pairs, 200, ["source_record_id", "rainfall_mm"]).select("source_record_id", "observed_date", "rainfall_mm")
 
 

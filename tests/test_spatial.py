@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talus.functions import geo
 from talus.operators import rainfall, raster, spatial
 from talus.runtime import attach_to_groups, positions, running_sums
 
@@ -191,3 +192,14 @@ def test_hot_key_is_split_by_adaptive_execution(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_circle_box_holds_the_circle(spark):
+    """Every place within the radius is in the box, at the date line and near a pole too; far places are not."""
+    places = [(lat / 2, lon / 2) for lat in range(-180, 181, 3) for lon in range(-360, 361, 3)]
+    df = spark.createDataFrame(places, "latitude double, longitude double")
+    for lat, lon, radius in ((27.0, 88.5, 300.0), (10.0, 179.6, 400.0), (-60.0, -179.9, 700.0), (88.0, 20.0, 500.0), (85.0, -170.0, 200.0)):
+        near = geo.haversine_km(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude")) <= radius
+        boxed = geo.circle_box(F.col("latitude"), F.col("longitude"), lat, lon, radius)
+        r = df.agg(F.count_if(near).alias("near"), F.count_if(near & boxed).alias("held"), F.count_if(boxed).alias("boxed")).first()
+        assert 0 < r["near"] == r["held"] <= r["boxed"] < len(places) / 10
