@@ -28,6 +28,7 @@ FILTERS = 12          # per width
 EMBEDDING = 4
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
+REJECT = 0.9          # least score of `und` at which a lettered text is rejected
 _TILE = 256           # windows computed at once
 _SPAN = max(WIDTHS)
 
@@ -137,8 +138,32 @@ def fit(x: np.ndarray, labels: list[str], epochs: int = 14, batch: int = 64, rat
     return model
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Fit on a bounded sample per language of the labelled rows outside the held-out fold."""
+def junk(x: np.ndarray, seed: int = 7) -> np.ndarray:
+    """As many windows of what is no language as there are windows of text, each of the length of one: its own characters
+    shuffled, its own letters replaced, random letters, codes, encoded bytes, digits and marks, few characters repeated."""
+    random = np.random.default_rng(seed)
+    low, digits = np.arange(97, 123), np.arange(48, 58)
+    sets = [np.append(low, [32] * 5), np.concatenate([low, digits]), np.concatenate([digits, low[:6]]), np.concatenate([low, low, digits, [43, 47, 61]]),
+            np.concatenate([digits, [32, 32, 46, 44, 58, 45]]), np.arange(33, 65), np.arange(32, 127), np.arange(1, 256)]
+    out = np.zeros_like(x)
+    for i, window in enumerate(x):
+        n = max(1, int(np.count_nonzero(window)))
+        kind = i % (len(sets) + 3)
+        if kind == 0:
+            out[i, :n] = random.permutation(window[:n])
+        elif kind == 1:
+            letter = (window[:n] >= 97) & (window[:n] <= 122)
+            out[i, :n] = np.where(letter, random.choice(low, n), window[:n])
+        elif kind == 2:
+            out[i, :n] = np.resize(random.choice(np.arange(33, 127), random.integers(1, 5)), n)
+        else:
+            out[i, :n] = random.choice(sets[kind - 3], n)
+    return _LOWER_BYTE[out]
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, reject: bool = False) -> Model | None:
+    """Fit on a bounded sample per language of the labelled rows outside the held-out fold. With `reject` the network
+    learns what is no language, too, as one label more, `und`."""
     known = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"), FOLDS, HELD))
     counts = docs.where(F.col("lang").isNotNull() & learnable(F.col("doc_id"), FOLDS, HELD)).groupBy("lang").agg(
@@ -162,12 +187,16 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | N
     rows = sorted(sample.mapInPandas(cut, "lang string, held binary").collect())
     if not rows:
         return None
-    return fit(np.frombuffer(b"".join(bytes(r["held"]) for r in rows), np.uint8).reshape(-1, WINDOW), [r["lang"] for r in rows])
+    x, labels = np.frombuffer(b"".join(bytes(r["held"]) for r in rows), np.uint8).reshape(-1, WINDOW), [r["lang"] for r in rows]
+    if reject:
+        made = junk(x)
+        x, labels = np.concatenate([x, made]), labels + [UNKNOWN] * len(made)
+    return fit(x, labels)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs -> (row, lang_pred, score). `und` with score 0 for a NULL text, one without a letter, or when there was
-    nothing to learn from. Every row is predicted from its text alone."""
+    nothing to learn from; with a score of its own where the model has that label. Every row is predicted from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang string, score double")
@@ -192,5 +221,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents in a language that was learnt, with their own columns; only `und` is rejected."""
-    return predict(docs, train(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """The documents in a language that was learnt, with their own columns. Rejected are NULL texts, those without a
+    letter, and those that the network, which learns windows of no language as well, calls `und` with a score (geometric
+    mean over the text's windows) of `REJECT` or more; a few words of names or numbers stay below."""
+    found = predict(docs, train(docs, reject=True))
+    unsure = (F.col("score") > 0) & (F.col("score") < REJECT)
+    return found.where((F.col("lang_pred") != UNKNOWN) | unsure).select("row.*")
