@@ -25,8 +25,9 @@ MAX_REPEAT_PERCENT = 30
 GROUP_ROWS = 100
 SPREAD = 6.0
 ACCURACY = 10_000
-# Ratio -> (least quartile range, whether small values are out of bounds as well).
-RATIOS = {"symbol_ratio": (0.012, False), "word_length": (0.5, True), "line_ratio": (0.08, False), "repeat_ratio": (0.05, False)}
+# Ratio -> (least quartile range, whether small values are out of bounds as well). Words in repeated windows have only their
+# fixed base rule.
+RATIOS = {"symbol_ratio": (0.012, False), "word_length": (0.5, True), "line_ratio": (0.08, False)}
 
 
 def counted(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -60,7 +61,7 @@ def with_ratios(rows: DataFrame) -> DataFrame:
     """Ratios from the counts; NULL (never out of bounds) without words."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return rows.withColumns({"symbol_ratio": per("n_symbols", "word_chars"), "word_length": per("word_chars", "n_words"),
-                             "line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words")})
+                             "line_ratio": per("n_dup_lines", "n_lines")})
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
