@@ -28,7 +28,7 @@ FILTERS = 12          # per width
 EMBEDDING = 4
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
-REJECT = 0.9          # least score of `und` at which a lettered text is rejected
+REJECT = 0.9          # least score of `und` at which a lettered text of a whole window is rejected
 _TILE = 256           # windows computed at once
 _SPAN = max(WIDTHS)
 
@@ -223,11 +223,12 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents in a language that was learnt, with their own columns. Rejected are NULL texts, those without a
     letter, and those that the network, which learns windows of no language as well, calls `und` with a score (geometric
-    mean over the text's windows) of `REJECT` or more; a few words of names or numbers stay below. With no labelled row
+    mean over the text's windows) of `REJECT` or more. Lettered texts shorter than a window stay: a code or an address
+    among a few clean words decides their score. With no labelled row
     to learn from, only NULL and letterless texts are rejected."""
     model = train(docs, reject=True)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = predict(docs, model)
-    unsure = (F.col("score") > 0) & (F.col("score") < REJECT)
+    unsure = (F.col("score") > 0) & ((F.col("score") < REJECT) | (F.octet_length("row.text") < WINDOW))
     return found.where((F.col("lang_pred") != UNKNOWN) | unsure).select("row.*")
