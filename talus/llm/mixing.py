@@ -3,8 +3,8 @@
 Targets share out `FACTOR` times all words by weight, none above `CAP` times its source. The documents of a source are
 drawn in a seeded order, the whole ones of a first round and then of a second, until the target is met as nearly as
 whole documents allow: documents of more than 1/64 of their source are drawn first, by their share of the target, and
-the small ones make up the rest exactly to half a small document. Each source's draw is a line of blocks of equal word
-counts. A binary tree splits the sources' block quotas among the output shards: at every node the left half's part of
+the small ones make up the rest exactly to half a small document. Each source's draw is cut into blocks of equal
+ranges of the hash key, whose words are about equal in number only for many documents a block. A binary tree splits the sources' block quotas among the output shards: at every node the left half's part of
 each quota is a multivariate hypergeometric draw. Blocks are permuted within their source, each shard takes the run of
 permuted blocks that its quota says, and orders its copies by a hash.
 
