@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, language, licenses, mixing, periodic, quality, scoring, sharding, simhash, topk, toxicity
+from talus.llm import bpe, language, licenses, mixing, periodic, quality, scoring, sharding, simhash, topk, toxicity, whitening
 from talus.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": _documents(simhash.digest),
     "op9_quality": _documents(quality.digest),
     "op10_licenses": _documents(licenses.digest),
+    "op11_whitening": lambda s, d: whitening.digest(table(s, d, "embeddings")),
     "op12_periodic_runs": _documents(periodic.digest),
 }
 
