@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.functions.text import once
@@ -44,6 +44,14 @@ def learnable(doc_id: Column, parts: int, held: int) -> Column:
     return F.coalesce(fold(doc_id, parts) != held, F.lit(False))
 
 
+def capped(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` rows of every label, those with the least hash of (doc_id, text): however often one row is repeated, no
+    more of them are drawn. Every task keeps that many before the shuffle."""
+    first = Window.partitionBy(label).orderBy("_draw")
+    numbered = rows.withColumn("_draw", F.xxhash64("doc_id", "text")).withColumn("_place", F.row_number().over(first))
+    return numbered.where(F.col("_place") <= most).drop("_draw", "_place")
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for NULL: a word begins where a word byte follows a gap or the start."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import bpe, language, licenses, mixing, periodic, quality, scoring, sharding, simhash, topk, toxicity, whitening
+from talus.llm import bpe, language, licenses, mixing, periodic, quality, rules, scoring, sharding, simhash, topk, toxicity, whitening
 from talus.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op10_licenses": _documents(licenses.digest),
     "op11_whitening": lambda s, d: whitening.digest(table(s, d, "embeddings")),
     "op12_periodic_runs": _documents(periodic.digest),
+    "op13_quality_classifier": lambda s, d: rules.digest(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op5_sharding": sharding.SQL}
