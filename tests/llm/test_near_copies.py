@@ -1,7 +1,9 @@
 """The near-copy stage against all pairs compared."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -72,5 +74,52 @@ def test_stage_drops_copies_beyond_two_bits_of_simhash(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
 
 
+def test_forest_equals_all_pairs_within_and_across():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 30, 60)
+    sets = []
+    for i in range(80):
+        own = base if i % 3 else r.integers(0, 1 << 30, 60)
+        own = own.copy()
+        own[r.choice(60, r.integers(0, 9), replace=False)] = r.integers(0, 1 << 30)
+        sets.append(np.unique(own[:r.integers(45, 61)]))
+    close = [(i, j) for j in range(80) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    groups = [i // 2 for i in range(80)]
+
+    def joined(pairs, start):
+        label = list(start)
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return sorted(sorted(i for i in range(80) if label[i] == x) for x in set(label))
+
+    assert joined(near_copies.linked(sets), range(80)) == joined(close, range(80))
+    assert joined(near_copies.linked(sets, groups), groups) == joined(close, groups)
+    across = [(i, j) for i, j in close if i < 30 <= j]
+    assert joined(near_copies.linked(sets, None, 30), range(80)) == joined(across, range(80))
+
+
+def test_many_near_copies_of_one_text(spark):
+    """Every node is compared with representatives; no bucket is left to be compared whole."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(300)]
+    data = []
+    for i in range(3000):
+        copy = list(base)
+        copy[r.randrange(300)] = f"x{i}"
+        data.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    start = time.time()
+    assert [r.doc_id for r in near_copies.keep_one(docs).collect()] == [0]
+    assert time.time() - start < 60
+
+
+def test_rows_repeated_with_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "a b c d e f", 3), (1, "x y z", 4)],
+                                 "doc_id long, text string, class int")
+    found = near_copies.keep_one(docs).collect()
+    assert len(found) == 2 and {(r.doc_id, r.text) for r in found} == {(1, "a b c d e f"), (1, "x y z")}
+    assert next(r for r in found if r.text != "x y z")["class"] in (1, 2)
+
+
 def test_nothing(spark):
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []

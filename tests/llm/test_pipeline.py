@@ -1,10 +1,11 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from talus.llm import mixing
-from tests.llm import brute
+from tests.llm import test_near_copies as near
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,10 +22,11 @@ def test_stages_and_result(spark):
     before, after = steps["toxicity"]
     clean = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 0").collect()}
     assert len(clean & ids(before) - ids(after)) <= 0.05 * len(clean)
-    assert steps["language"][1].count() == steps["language"][0].count()
+    before, after = steps["language"]
+    assert {r.doc_id for r in before.where(~F.col("text").rlike(r"\p{L}") | F.col("text").isNull()).collect()} <= ids(before) - ids(after)
+    assert len(ids(before) - ids(after)) <= 0.01 * before.count()
     before, after = steps["near_dedup"]
-    kinds = {c for _, _, c in brute.components([(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()])}
-    assert ids(after) == kinds and after.count() == len(kinds)
+    assert sorted(r.doc_id for r in after.collect()) == near.kept([(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()])
     before, after = steps["mixing"]
     drawn = {r.doc_id: len(r.shards) for r in mixing.digest(before).collect()}
     times = {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()}
@@ -39,6 +41,6 @@ def test_run(spark):
 
 
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in queries()) == 1 for n in names) and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())
