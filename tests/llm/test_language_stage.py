@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from talus.llm import language
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,6 +35,62 @@ def test_model_rejects_what_is_no_language(spark):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_short_junk_goes_and_short_text_stays(spark):
+    """No length decides: short texts are weighed by the same evidence."""
+    r = random.Random(11)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    words = [w for d in docs.where("lang is not null").limit(50).collect() for w in d.text.split()[:40] if w.isalpha() and len(w) > 2]
+    clean = [" ".join(words[i:i + 5]) for i in range(0, 500, 5)] + [f"{' '.join(words[i:i + 6])} {draw('0123456789', 16)}" for i in range(0, 120, 6)]
+    bad = [" ".join(draw("qzxvwkjhpgtb", r.randrange(3, 7)) for _ in range(9)) for _ in range(20)] + [
+        draw("0123456789abcdef", n) for n in (60, 90, 127, 128, 363) for _ in range(8)]
+    rows = [(1_000_000 + i, None, t) for i, t in enumerate(clean)] + [(2_000_000 + i, None, t) for i, t in enumerate(bad)]
+    kept = {r.doc_id for r in language.keep_known(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert sum(1_000_000 + i in kept for i in range(len(clean))) >= len(clean) - 1
+    assert sum(2_000_000 + i in kept for i in range(len(bad))) <= 0.1 * len(bad)
+
+
+def test_evidence_is_the_sum_over_windows():
+    model = language.fit(np.concatenate([language.windows([b"the of and to " * 9])[0], language.windows([b"zqxk" * 31])[0]] * 40),
+                         ["en", language.UNKNOWN] * 40, epochs=3)
+    text = b"the of and to zq" * 40
+    x, n = language.windows([text])
+    logs = model.log_probabilities(x)[:, model.languages.index(language.UNKNOWN)]
+    assert model.predict([text])[2][0] == pytest.approx(sum(np.log(np.exp(v) / (1 - np.exp(v))) for v in logs.astype(float)), rel=1e-4)
+
+
+def test_predictions_equal_a_plain_forward_pass():
+    r = np.random.default_rng(0)
+    model = language.fit(r.integers(97, 123, (60, language.WINDOW)).astype(np.uint8), ["a", "b", "c"] * 20, epochs=2)
+    text = bytes(r.integers(97, 123, 200).astype(np.uint8))
+    padded = text.lower() + bytes(2 * language.WINDOW - len(text))
+    logs = []
+    for w in (padded[:language.WINDOW], padded[language.WINDOW:]):
+        held = [model.bytes_[b] for b in w]
+        maxima = []
+        for f in range(model.filters.shape[1]):
+            width, at = language.WIDTHS[f // language.FILTERS], model.filters[:, f].reshape(-1, language.EMBEDDING)
+            maxima.append(max(sum(float(held[i + j] @ at[j]) for j in range(width)) for i in range(language.WINDOW - max(language.WIDTHS) + 1)))
+        logits = np.maximum(np.array(maxima) + model.offset, 0) @ model.top + model.base
+        logs.append(logits - np.log(np.exp(logits).sum()))
+    mean = np.mean(logs, axis=0)
+    names, score, _ = model.predict([text])
+    assert names == [model.languages[int(mean.argmax())]] and score[0] == pytest.approx(np.exp(mean.max()) / np.exp(mean).sum(), rel=1e-4)
+
+
+def test_thousands_of_labels(spark):
+    """The commonest are learnt; any number of others neither fails nor is predicted."""
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 500, "en").when(F.col("id") < 1000, "de").otherwise(F.concat(F.lit("x"), "id")).alias("lang"),
+        F.when(F.col("id") < 500, "the of and that with this").when(F.col("id") < 1000, "der die und nicht auf ein").otherwise("zu quo").alias("text"))
+    found = language.digest(docs)
+    assert found.count() == 6000
+    labels = {r.lang_pred for r in found.select("lang_pred").distinct().collect()}
+    assert {"en", "de"} <= labels and len(labels) <= language.MOST_LANGUAGES
+    right = found.where("doc_id < 1000").where(F.col("lang_pred") == F.when(F.col("doc_id") < 500, "en").otherwise("de")).count()
+    assert right > 950
+
+
 @pytest.mark.parametrize("held", [False, True])
 def test_nothing_to_learn_from(spark, held):
     ids = [i for i in range(100) if not held or brute.fold(i, 3) == 1][:20]  # all unlabelled, or all in the held-out fold
