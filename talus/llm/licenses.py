@@ -21,6 +21,7 @@ from talus.llm.common import ascii_lower, computed, row_column
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS = 3
 AGREEMENT = 0.6
+_PLACES, _BEFORE = 1 << 33, 1 << 10   # more starts than a text has; more words than a template has
 
 # The phrases of the base rules and their labels.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -107,8 +108,12 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
     rows = computed(rows, hits=F.when(F.size("words") > 0, hits).otherwise(F.array().cast("array<int>")))
     index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (
         F.lit(w), F.array(*[F.struct(F.lit(n).alias("t"), F.lit(a).alias("at")) for n, a in ps]))])
-    proposed = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.transform(
-        F.element_at(index, F.get("words", i)), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("start"))))))
+    # A template at a start is one whole number, so that the distinct ones are found by hashing, not by comparing pairs.
+    code = lambda i, p: F.lit(_PLACES) * p["t"] + (i - p["at"] + _BEFORE)
+    codes = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.transform(
+        F.element_at(index, F.get("words", i)), lambda p: code(i, p)))))
+    proposed = F.transform(codes, lambda c: F.struct(
+        F.floor(c / F.lit(_PLACES)).cast("int").alias("t"), (c % F.lit(_PLACES) - _BEFORE).cast("int").alias("start")))
     rows = computed(rows, proposed=proposed)
     at = lambda start, i, w: F.coalesce(F.get("words", start + i) == w, F.lit(False))
 
@@ -146,6 +151,8 @@ def _cases(p: Column, cases: list[tuple[int, Column]], other: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns for every row; repeated rows are scanned each on their own. A NULL or empty text has no words, no
+    labels (empty strings), NULL places and score 0."""
     found = scan(docs.select("doc_id", "text"))
     names = lambda *arrays: F.array_join(F.sort_array(F.array_distinct(F.concat(*[
         F.transform(a, lambda x: x["label"]) for a in arrays]))), ",")

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -98,10 +98,11 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, buc
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """docs -> (row, print, class, component_id). `class` is the smallest fingerprint reachable from the document's own,
-    `component_id` the smallest doc_id of the class; NULL ids count only where a class has no other."""
-    marked = with_fingerprint(docs)
-    narrow = cut_lineage(marked.select("print", F.col("row.doc_id").alias("id")).groupBy("print").agg(F.min("id").alias("first")))
+    """docs -> (doc_id, print, class, component_id). `class` is the smallest fingerprint reachable from the document's own,
+    `component_id` the smallest doc_id of the class; NULL ids count only where a class has no other. Fingerprints are worked out
+    once and stored with the ids; a NULL text has that of an empty one; repeated rows stay repeated. Without rows, none."""
+    marked = cut_lineage(with_fingerprint(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "print"))
+    narrow = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     edges = cut_lineage(links(narrow.select("print")))
     touched = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct().toDF("node")
     reached = connected_components(touched, edges).toDF("print", "class")
@@ -113,11 +114,5 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = classes(docs.select("doc_id", "text"))
-    return found.select("row.doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every class, that with the smallest doc_id, with its own columns. Of repeated rows one stays."""
-    first = Window.partitionBy("class").orderBy(F.col("row.doc_id").asc_nulls_last())
-    return classes(docs).withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).select("row.*")
+    """The contract's columns for every row, by `classes`."""
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

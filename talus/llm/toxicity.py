@@ -4,7 +4,8 @@ Terms are lower-cased runs of letters and digits and their prefixes of four and
 buckets; a text holds a bucket with the value 1 + ln(occurrences). Buckets that differ between the classes (chi-square over the sample) get a linear
 weight and a factor; the score is the logistic of bias + sum of weights + sum over pairs of the factors' products, so a
 pair of terms can mean more than both on their own. Labels are learnt from a bounded sample of each class
-(`SAMPLE_PER_CLASS` rows in expectation, by hash of the id); everything else covers all rows.
+(`SAMPLE_PER_CLASS` ids in expectation, by hash of the id, and twice as many rows at most); the `MOST_TERMS` buckets that differ most
+are used; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from talus.llm.common import (
-    _BASE, _BYTE_VALUE, _UNBASE, _powers, chunks, is_fold, learnable, mix, row_column, word_hashes,
+    _BASE, _BYTE_VALUE, _UNBASE, _powers, capped, chunks, is_fold, learnable, mix, row_column, word_hashes,
 )
 
 SAMPLE_PER_CLASS = 3000
@@ -27,6 +28,7 @@ BUCKET_BITS = 18
 PREFIXES = (4, 5)
 FACTORS = 4
 CHI_SQUARE = 25.0
+MOST_TERMS = 4096
 THRESHOLD = 0.3
 _NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLDS, HELD = 4, 2
@@ -92,7 +94,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight
     with_term = np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(float)
     both = np.bincount(bucket, labels[doc], 1 << BUCKET_BITS)
     other = (with_term * (n - with_term) * n1 * (n - n1)).clip(1)
-    chosen = np.flatnonzero(n * (both * n - with_term * n1) ** 2 / other >= CHI_SQUARE)
+    differs = n * (both * n - with_term * n1) ** 2 / other
+    chosen = np.sort(np.argsort(-differs, kind="stable")[:MOST_TERMS])
+    chosen = chosen[differs[chosen] >= CHI_SQUARE]
     none[chosen] = np.arange(len(chosen))
     kept = none[bucket] >= 0
     x = np.zeros((n, len(chosen)), np.float32)
@@ -134,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000
     # About 2 * per_class ids whatever the size of the table.
     sample = F.broadcast(known.where(drawn))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(sample, "doc_id")
+    texts = capped(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(sample, "doc_id"),
+                   "label", 2 * per_class)
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

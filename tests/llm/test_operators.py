@@ -1,8 +1,12 @@
 """Every operator against its plain version on rows with NULLs, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -154,6 +158,28 @@ def test_factorization_learns_a_pair():
     assert score("insult", "group") > 0.8 > 0.3 > max(score("insult"), score("group"))
 
 
+def test_scores_are_those_of_a_plain_factorization_machine(docs, spark):
+    labels = spark.createDataFrame([(i, int(i % 6 == 1)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    for r in toxicity.score(docs.where("doc_id < 40 or doc_id > 105"), model).select("row.text", "score").collect():
+        _, buckets = toxicity.terms([(r.text or "").encode()])
+        held = {int(model.slots[b]): 1 + math.log(n) for b, n in Counter(buckets.tolist()).items() if model.slots[b] >= 0}
+        total = model.bias + sum(model.weights[i] * x for i, x in held.items())
+        total += sum(float(model.factors[i] @ model.factors[j]) * x * y for i, x in held.items() for j, y in held.items() if i < j)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, total)))), rel=1e-6, abs=1e-12)
+
+
+def test_an_id_repeated_in_the_documents_is_drawn_a_bounded_number_of_times(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("scum and villainy").alias("text"))
+    docs = docs.union(spark.createDataFrame([(i, "a clean text") for i in range(2, 30)], docs.schema))
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 30)], "doc_id long, toxic int")
+    assert brute.fold(1, 4) != 2
+    drawn = []
+    monkeypatch.setattr(toxicity, "fit", lambda samples, labels, weight: drawn.append(Counter(labels.tolist())))
+    toxicity.train(docs, labels, per_class=50)
+    assert drawn[0][1] == 100 and 0 < drawn[0][0] < 28
+
+
 def test_top_k(spark):
     r = random.Random(3)
     vec = lambda: [r.uniform(-1, 1) for _ in range(6)]
@@ -247,10 +273,6 @@ def test_bpe_words_at_random():
 
 def test_simhash(docs, none):
     same(got(simhash.digest(docs), "doc_id", "fingerprint", "component_id"), brute.components(plain()))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    want = {c for _, _, c in brute.components(plain())}
-    same([r.doc_id for r in kept.select("doc_id").collect()], list(want))
     assert simhash.digest(none).count() == 0
 
 
@@ -296,3 +318,54 @@ def test_licenses(docs, none):
     labels = {r.doc_id: (r.labels, r.score) for r in found.collect()}
     assert labels[107] == ("apache-2,cc-by-nc,mit", 1.0) and labels[108][0] == "gpl-3" and labels[0] == ("", 0.0)
     assert licenses.digest(none).count() == 0
+
+
+def plain_labels(text):
+    """Labels by the method, with every template tried at every place."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text))
+    out = {label for p, label in brute.PHRASES.items() for i in range(len(ws)) if ws[i:i + len(p.split())] == p.split()}
+    best = 1.0 if out else 0.0
+    for label, notice, phrases in licenses.NOTICES:
+        t = notice.split()
+        rare = sorted(set(t), key=lambda w: (-IDF[w], w))[:max(licenses.ANCHORS, len(set(t)) // 2)]
+        spots = [i for i, w in enumerate(t) if w in rare]
+        for start in range(len(ws)):
+            stands = all(any(ws[start + a:start + a + len(p.split())] == p.split() and t[a:a + len(p.split())] == p.split()
+                             for a in [next(i for i in range(len(t)) if t[i:i + len(p.split())] == p.split())]) for p in phrases)
+            anchored = any(start + i < len(ws) and ws[start + i] == t[i] for i, w in enumerate(t) if w in rare[:licenses.ANCHORS])
+            share = sum(start + i < len(ws) and ws[start + i] == t[i] for i in spots) / len(spots)
+            if stands and anchored and share >= licenses.AGREEMENT:
+                out.add(label)
+                best = max(best, share)
+    return ",".join(sorted(out)), best
+
+
+IDF = {}
+
+
+def test_license_labels_and_scores(spark):
+    r, texts = random.Random(9), []
+    for label, notice, _ in licenses.NOTICES:
+        ws = notice.split()
+        texts += [" ".join(ws), "x y " + " ".join(ws).upper() + " z " + " ".join(ws)]
+        for _ in range(3):
+            cut = list(ws)
+            for at in r.sample(range(len(ws)), min(len(ws) - 1, r.randrange(1, 5))):
+                cut[at] = "changed"
+            texts.append("the " * r.randrange(3) + " ".join(cut) + ", the MIT license." * r.randrange(2))
+    texts += ["the license of the public", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = sorted({w for t in licenses.templates() for w in t.words})
+    IDF.update(licenses.inverse_frequencies(docs, vocabulary))
+    got_ = {x.doc_id: (x.labels, x.score) for x in licenses.digest(docs.unionByName(docs)).collect()}
+    for i, t in enumerate(texts):
+        labels, best = plain_labels(t)
+        assert got_[i][0] == labels and got_[i][1] == pytest.approx(best), t
+
+
+def test_license_words_repeated_in_a_long_text(spark):
+    """Work is in proportion to the words, however many places propose a template."""
+    text = "mit " * 500_000 + "the mit license"
+    start = time.time()
+    row = licenses.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (500_003, 1, 500_000, "mit") and time.time() - start < 60
