@@ -1,15 +1,22 @@
-"""Rainfall at the nearest reporting station, trailing windows, gridded rainfall at points."""
+"""Rainfall at the nearest reporting station, trailing windows, gridded rainfall at points.
+
+The windows before a point's as_of are as-of look-ups on running totals. Readings are added up per place and instant once; every
+(place, period) gets a strip, the instants of the period and the one before in order of time with their running sums and counts.
+A point joins the one strip of its station and period and takes differences of two look-ups per window, so a window costs
+the same however many readings lie in it.
+"""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.functions import geo
+from talus.functions.text import once
 from talus.operators.spatial import search_cells, target_cells
 from talus.runtime import cut_lineage
 
@@ -17,6 +24,11 @@ from talus.runtime import cut_lineage
 # circles, the first of which meets about this many.
 CROWDED_CELL = 8
 PERIOD_SECONDS = float(vocab.LOOKBACK_DAYS * 86400)
+# Most instants a strip holds; a place and period with more is joined instant by instant.
+STRIP_STEPS = 13
+STRIP_INSTANTS = (1 << STRIP_STEPS) - 1
+_MM = "decimal(28,10)"
+_PLACE = ["station_key", "latitude", "longitude"]
 
 
 def _period(ts: Column) -> Column:
@@ -35,28 +47,24 @@ def keyed_observations(observations: DataFrame) -> DataFrame:
     ).select(key.alias("station_key"), "station_id", "latitude", "longitude", "observed_date", "rainfall_mm")
 
 
-def daily_totals(observations: DataFrame) -> DataFrame:
-    """Readings of one station at one instant added up; a NULL reading counts as 0 mm, once."""
+def instant_totals(observations: DataFrame) -> DataFrame:
+    """Readings of one place of a station at one instant added up; a NULL reading counts as 0 mm, once."""
     return (
         keyed_observations(observations)
-        .groupBy("station_key", "latitude", "longitude", "observed_date")
+        .groupBy(*_PLACE, "station_id", "observed_date")
         .agg(F.sum(F.coalesce("rainfall_mm", F.lit(0.0))).alias("mm"), F.count("*").alias("n"))
     )
 
 
-def reporting_sites(observations: DataFrame) -> DataFrame:
+def reporting_sites(totals: DataFrame) -> DataFrame:
     """Per station and period: can a lookback that ends in this period see a reading?
 
     One row per (site, period) with the first reading of the period itself and the last reading of
     the period before. Both answers follow from two timestamps, so the test for "has data in the
     lookback" is an equi-join instead of a range join over the readings.
     """
-    spans = (
-        keyed_observations(observations)
-        .withColumn("_p", _period(F.col("observed_date")))
-        .groupBy("station_key", "station_id", "latitude", "longitude", "_p")
-        .agg(F.min("observed_date").alias("_first"), F.max("observed_date").alias("_last"))
-    )
+    spans = totals.withColumn("_p", _period(F.col("observed_date"))).groupBy(*_PLACE, "station_id", "_p").agg(
+        F.min("observed_date").alias("_first"), F.max("observed_date").alias("_last"))
     no_time = F.lit(None).cast("timestamp_ntz")
     served = spans.withColumn(
         "_use",
@@ -67,7 +75,7 @@ def reporting_sites(observations: DataFrame) -> DataFrame:
             )
         ),
     )
-    return served.groupBy("station_key", "station_id", "latitude", "longitude", F.col("_use.period").alias("period")).agg(
+    return served.groupBy(*_PLACE, "station_id", F.col("_use.period").alias("period")).agg(
         F.min("_use.own").alias("first_own"), F.max("_use.prev").alias("last_prev")
     )
 
@@ -78,7 +86,13 @@ def nearest_station(points: DataFrame, observations: DataFrame, radius_km: float
 
     Returns (point_id, station_key, station_id, distance_km); distance ties go to the lower key.
     """
-    sites = cut_lineage(reporting_sites(observations))
+    return _nearest(points, instant_totals(observations), radius_km, crowded).select(
+        "point_id", "station_key", "station_id", "distance_km")
+
+
+def _nearest(points: DataFrame, totals: DataFrame, radius_km: float, crowded: int) -> DataFrame:
+    """As nearest_station, with the point's place and as_of."""
+    sites = cut_lineage(reporting_sites(totals))
     size = geo.cell_size_degrees(radius_km)
     busiest = target_cells(sites, size).groupBy("_row", "_col", "period").count().agg(F.max("count")).first()[0] or 0
     if busiest <= crowded:
@@ -121,67 +135,150 @@ def _nearest_within(points: DataFrame, sites: DataFrame, radius_km: float) -> Da
         .withColumn("_d", distance)
         .where(F.col("_d") <= radius_km)
         .groupBy("point_id")
-        .agg(best.alias("_best"))
-        .select("point_id", "_best.station_key", "_best.station_id", "_best.distance_km")
+        .agg(best.alias("_best"), *[F.first(c).alias(c) for c in ("latitude", "longitude", "as_of")])
+        .select("point_id", "latitude", "longitude", "as_of", "_best.station_key", "_best.station_id", "_best.distance_km")
     )
 
 
 def lookback_readings(points: DataFrame, nearest: DataFrame, observations: DataFrame,
                       radius_km: float = vocab.STATION_RADIUS_KM, days: int = vocab.LOOKBACK_DAYS) -> DataFrame:
-    """Trailing-window range join: the chosen station's readings in [as_of - days, as_of], per point.
+    """Trailing-window range join: the chosen station's readings in [as_of - days, as_of], per point and instant.
 
-    Readings are first added up per instant, so a point meets each instant of its station once. The
-    range condition is fed by an equi-join on (station, period).
+    The rows themselves are the result here; sums over them come from `rainfall_summary`, which does not make them. The range
+    condition is fed by an equi-join on (station, period).
     """
     chosen = points.select("point_id", "latitude", "longitude", "as_of").join(
         nearest.select("point_id", "station_key"), "point_id"
     )
+    rows = _instants(chosen, instant_totals(observations), radius_km, days)
+    return rows.groupBy("point_id", "station_key", "as_of", "latitude", "longitude", "_slat", "_slon", "observed_date").agg(
+        F.sum("mm").alias("mm"), F.sum("n").alias("n")).select("point_id", "station_key", "as_of", "observed_date", "mm", "n")
+
+
+def _close(radius_km: float) -> Column:
+    return geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_slat"), F.col("_slon")) <= radius_km
+
+
+def _instants(chosen: DataFrame, totals: DataFrame, radius_km: float, days: int = vocab.LOOKBACK_DAYS) -> DataFrame:
+    """Points (with their station) joined with every instant of the station's lookback."""
     own = _period(F.col("as_of"))
     wanted = chosen.withColumn("_p", F.explode(F.array(own, own - 1)))
-    totals = daily_totals(observations).withColumnsRenamed({"latitude": "_slat", "longitude": "_slon"})
-    totals = totals.withColumn("_p", _period(F.col("observed_date")))
-    return wanted.join(totals, ["station_key", "_p"]).where(
-        (F.col("observed_date") <= F.col("as_of"))
-        & (F.col("observed_date") >= _days_before(F.col("as_of"), days))
-        & (geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_slat"), F.col("_slon")) <= radius_km)
-    ).select("point_id", "station_key", "as_of", "observed_date", "mm", "n")
-
-
-def window_columns() -> list[Column]:
-    """Aggregates over lookback_readings: window sums and counts, then the antecedent index."""
-    out = []
-    for name, days in vocab.WINDOW_DAYS.items():
-        inside = F.col("observed_date") >= _days_before(F.col("as_of"), days)
-        out.append(F.round(F.sum(F.when(inside, F.col("mm"))), 2).alias(name))
-        out.append(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0).cast("long")).alias(f"{name}_observation_count"))
-    inside = F.col("observed_date") >= _days_before(F.col("as_of"), vocab.ANTECEDENT_DAYS)
-    days_ago = (geo.epoch_seconds(F.col("as_of")) - geo.epoch_seconds(F.col("observed_date"))) / F.lit(86400.0)
-    decayed = F.col("mm") * F.pow(F.lit(vocab.ANTECEDENT_DECAY), F.greatest(days_ago, F.lit(0.0)))
+    places = totals.withColumnsRenamed({"latitude": "_slat", "longitude": "_slon"}).drop("station_id")
+    places = places.withColumn("_p", _period(F.col("observed_date")))
+    return wanted.join(places, ["station_key", "_p"]).where(
+        (F.col("observed_date") <= F.col("as_of")) & (F.col("observed_date") >= _days_before(F.col("as_of"), days)) & _close(radius_km))
+
+
+def strips(totals: DataFrame, most: int = STRIP_INSTANTS) -> tuple[DataFrame, DataFrame]:
+    """(station_key, _slat, _slon, period, strip) and the places and periods that have more than `most` instants.
+
+    A strip is an array of (at, mm, run_mm, run_n) in order of time over a period and the one before it.
+    """
+    site = ["station_key", "_slat", "_slon", "period"]
+    rows = (
+        totals.select("station_key", F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"), "observed_date", "mm", "n")
+        .withColumn("period", F.explode(F.array(_period(F.col("observed_date")), _period(F.col("observed_date")) + 1)))
+        .groupBy(*site, F.col("observed_date").alias("at")).agg(F.sum("mm").cast(_MM).alias("mm"), F.sum("n").alias("n"))
+    )
+    crowded = cut_lineage(rows.groupBy(*site).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).drop("_rows"))
+    if not crowded.isEmpty():
+        rows = rows.join(crowded, site, "left_anti")
+    so_far = Window.partitionBy(*site).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumns({"run_mm": F.sum("mm").over(so_far).cast(_MM), "run_n": F.sum("n").over(so_far)})
+    strip = F.sort_array(F.collect_list(F.struct("at", "mm", "run_mm", "run_n")))
+    return running.groupBy(*site).agg(strip.alias("strip")), crowded
+
+
+def entries_until(strip: Column, limit: Column, inclusive: bool) -> Column:
+    """How many entries of a strip lie before `limit` (or at it, if inclusive), found by halving."""
+    def step(found: Column, size: Column) -> Column:
+        at = F.get(strip, found + size - 1)["at"]
+        inside = at <= limit if inclusive else at < limit
+        return F.when(F.coalesce(inside, F.lit(False)), found + size).otherwise(found)
+
+    sizes = F.array(*[F.lit(1 << k) for k in reversed(range(STRIP_STEPS))])
+    return F.aggregate(sizes, F.lit(0), step)
+
+
+def _window_parts(strip: Column, as_of: Column) -> dict[str, Column]:
+    """Per window the sum (decimal) and count, as differences of running totals, and the antecedent sum and count."""
+    out: dict[str, Column] = {}
+    last = F.col("_until")
+    total = lambda n, name, zero: F.when(n > 0, F.get(strip, n - 1)[name]).otherwise(F.lit(zero))
+    for name, days in {**vocab.WINDOW_DAYS, "antecedent": vocab.ANTECEDENT_DAYS}.items():
+        first = F.col(f"_before_{days}")
+        out[f"{name}_n"] = total(last, "run_n", 0) - total(first, "run_n", 0)
+        if name != "antecedent":
+            out[name] = total(last, "run_mm", 0).cast(_MM) - total(first, "run_mm", 0).cast(_MM)
+    first = F.col(f"_before_{vocab.ANTECEDENT_DAYS}")
+    inside = F.slice(strip, first + 1, F.greatest(last - first, F.lit(0)))
     # Summed as decimals: decayed values often end in an exact half cent of a millimetre, which the
-    # order of a floating-point sum would round either way.
-    total = F.sum(F.when(inside, decayed.cast("decimal(20,10)")))
-    out.append(F.round(total, 2).cast("double").alias("antecedent_rainfall_index"))
-    out.append(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0).cast("long")).alias("antecedent_observation_count"))
+    # order of a floating-point sum (or a running discounted one) would round either way.
+    out["antecedent"] = F.aggregate(
+        inside, F.lit(0).cast(_MM), lambda acc, x: (acc + decayed(x["mm"].cast("double"), as_of, x["at"])).cast(_MM))
     return out
 
 
-def rainfall_summary(points: DataFrame, observations: DataFrame,
-                     radius_km: float = vocab.STATION_RADIUS_KM) -> DataFrame:
+def decayed(mm: Column, as_of: Column, at: Column) -> Column:
+    days_ago = (geo.epoch_seconds(as_of) - geo.epoch_seconds(at)) / F.lit(86400.0)
+    return (mm * F.pow(F.lit(vocab.ANTECEDENT_DECAY), F.greatest(days_ago, F.lit(0.0)))).cast("decimal(20,10)")
+
+
+def _from_strips(chosen: DataFrame, found: DataFrame, radius_km: float) -> DataFrame:
+    as_of = F.col("as_of")
+    days = sorted({*vocab.WINDOW_DAYS.values(), vocab.ANTECEDENT_DAYS})
+    met = chosen.withColumn("period", _period(as_of)).join(found, ["station_key", "period"]).where(_close(radius_km))
+    looked = met.select(
+        "point_id", "as_of", "strip",
+        once(_until=entries_until(F.col("strip"), as_of, True),
+             **{f"_before_{k}": entries_until(F.col("strip"), _days_before(as_of, k), False) for k in days}))
+    return looked.select("point_id", *[c.alias(n) for n, c in _window_parts(F.col("strip"), as_of).items()])
+
+
+def _from_instants(chosen: DataFrame, totals: DataFrame, crowded: DataFrame, radius_km: float) -> DataFrame:
+    """The same parts for places and periods without a strip, a row per point and instant."""
+    dense = chosen.withColumn("period", _period(F.col("as_of"))).join(crowded, ["station_key", "period"]).where(_close(radius_km))
+    own = F.col("period")
+    places = totals.select("station_key", F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"),
+                           F.col("observed_date").alias("at"), "mm", "n").withColumn("_p", _period(F.col("at")))
+    rows = dense.withColumn("_p", F.explode(F.array(own, own - 1))).join(places, ["station_key", "_slat", "_slon", "_p"]).where(
+        F.col("at") <= F.col("as_of"))
+    parts = []
+    for name, days in {**vocab.WINDOW_DAYS, "antecedent": vocab.ANTECEDENT_DAYS}.items():
+        inside = F.col("at") >= _days_before(F.col("as_of"), days)
+        parts.append(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0).cast("long")).alias(f"{name}_n"))
+        mm = decayed(F.col("mm"), F.col("as_of"), F.col("at")) if name == "antecedent" else F.col("mm").cast(_MM)
+        parts.append(F.coalesce(F.sum(F.when(inside, mm)), F.lit(0)).cast(_MM).alias(name))
+    return rows.groupBy("point_id").agg(*parts)
+
+
+def rainfall_summary(points: DataFrame, observations: DataFrame, radius_km: float = vocab.STATION_RADIUS_KM,
+                     crowded: int = CROWDED_CELL, most: int = STRIP_INSTANTS) -> DataFrame:
     """Windows and antecedent index at the nearest reporting station, one row per point.
 
-    A window without readings is NULL with a count of 0; a point without a station keeps its row.
+    A window without readings is NULL with a count of 0; a point without a station keeps its row. The readings are read once.
     """
-    nearest = nearest_station(points, observations, radius_km)
-    windows = lookback_readings(points, nearest, observations, radius_km).groupBy("point_id").agg(*window_columns())
-    joined = points.join(nearest, "point_id", "left").join(windows, "point_id", "left")
-    counts = [f"{n}_observation_count" for n in vocab.WINDOW_DAYS] + ["antecedent_observation_count"]
+    totals = cut_lineage(instant_totals(observations))
+    chosen = _nearest(points, totals, radius_km, crowded)
+    found, dense = strips(totals, most)
+    parts = _from_strips(chosen, found, radius_km)
+    if not dense.isEmpty():
+        chosen = cut_lineage(chosen)
+        parts = _from_strips(chosen, found, radius_km).unionByName(_from_instants(chosen, totals, dense, radius_km))
+    names = [*vocab.WINDOW_DAYS, "antecedent"]
+    # A station may have several places; their parts add up.
+    added = parts.groupBy("point_id").agg(*[F.sum(c).alias(c) for n in names for c in (n, f"{n}_n")])
+    near = chosen.select("point_id", "station_key", "station_id", "distance_km").join(added, "point_id", "left")
+    joined = points.join(near, "point_id", "left")
+    value = lambda n: F.when(F.col(f"{n}_n") > 0, F.round(F.col(n), 2).cast("double"))
+    count = lambda n: F.coalesce(F.col(f"{n}_n"), F.lit(0)).cast("long")
     return joined.select(
         *[points[c] for c in points.columns],
         F.col("station_id").alias("nearest_station_id"),
         F.round("distance_km", 3).alias("nearest_station_distance_km"),
-        *vocab.WINDOW_DAYS,
-        "antecedent_rainfall_index",
-        *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts],
+        *[value(n).alias(n) for n in vocab.WINDOW_DAYS],
+        value("antecedent").alias("antecedent_rainfall_index"),
+        *[count(n).alias(f"{n}_observation_count") for n in names],
         F.col("station_key").isNotNull().alias("rainfall_available"),
     )
 

@@ -36,10 +36,8 @@ def a01(dom: Domain):
     CAST(coalesce(rainfall_mm, 0) * pow({d(0.9)}, (epoch(as_of) - epoch(observed_date)) / 86400) AS DECIMAL(20, 10)) END), 2) AS DOUBLE) AS antecedent_rainfall_index
     FROM readings30 GROUP BY point_id""", **nearest_views())
 def a02(dom: Domain):
-    pts = points(dom)
-    near = rainfall.nearest_station(pts, dom.rainfall)
-    rows = rainfall.lookback_readings(pts, near, dom.rainfall)
-    return rows.groupBy("point_id").agg(*rainfall.window_columns()).select("point_id", "antecedent_rainfall_index")
+    found = rainfall.rainfall_summary(points(dom), dom.rainfall)
+    return found.where("rainfall_available").select("point_id", "antecedent_rainfall_index")
 
 
 @query("a03_windows_per_location", """SELECT latitude, longitude, as_of,

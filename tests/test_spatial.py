@@ -87,17 +87,16 @@ def brute_summary(point, obs):
     return d, out
 
 
-@pytest.mark.parametrize("crowded", [2, 4096])
-def test_rainfall_summary_equals_brute_force(spark, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded,most", [(2, 8191), (4096, 8191), (4096, 3), (2, 0)])
+def test_rainfall_summary_equals_brute_force(spark, crowded, most):
     rng = random.Random(11)
     sites = stations(rng, 25)
     obs = readings(rng, sites, 500)
     points = [(i, 27 + rng.random() * 0.6, 88 + rng.random() * 0.6, dt.datetime(2020, 1, 10) + dt.timedelta(days=rng.randint(0, 150))) for i in range(40)]
-    original = rainfall.nearest_station
-    monkeypatch.setattr(rainfall, "nearest_station", lambda p, o, r=25.0: original(p, o, r, crowded))
     got = {r["point_id"]: r for r in rainfall.rainfall_summary(
         spark.createDataFrame(points, "point_id long, latitude double, longitude double, as_of timestamp_ntz"),
-        spark.createDataFrame(obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double")).collect()}
+        spark.createDataFrame(obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double"),
+        crowded=crowded, most=most).collect()}
     assert len(got) == len(points)
     for p in points:
         want, row = brute_summary(p, obs), got[p[0]]
@@ -111,6 +110,37 @@ def test_rainfall_summary_equals_brute_force(spark, monkeypatch, crowded):
         assert sums == sorted(sums)
 
 
+def test_running_totals_of_many_readings(spark, tmp_path):
+    """Every half hour for three months: windows are differences of running totals, exact to the last reading."""
+    start = dt.datetime(2020, 1, 1)
+    obs = [("S", 27.0, 88.0, start + dt.timedelta(minutes=30 * i), float(i % 7) / 4) for i in range(4400)]
+    points = [(i, 27.01, 88.01, start + dt.timedelta(days=31 + 3 * i, minutes=30 * (i % 3))) for i in range(18)] + [(99, 27.0, 88.0, None)]
+    readings = spark.createDataFrame(obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double")
+    got = rainfall.rainfall_summary(
+        spark.createDataFrame(points, "point_id long, latitude double, longitude double, as_of timestamp_ntz"), readings)
+    for r in got.collect():
+        if r["as_of"] is None:
+            assert not r["rainfall_available"] and r["rainfall_30d"] is None
+            continue
+        want = brute_summary((r["point_id"], 27.01, 88.01, r["as_of"]), obs)[1]
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value, abs=6e-3), name
+    readings.write.parquet(str(tmp_path / "readings"))
+    again = rainfall.rainfall_summary(got.select("point_id", "latitude", "longitude", "as_of"), spark.read.parquet(str(tmp_path / "readings")))
+    assert "readings" not in again._jdf.queryExecution().optimizedPlan().toString()      # read once, as stored totals
+
+
+def test_entries_until(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 5, 64, 8191):
+        at = sorted(rng.sample(range(20_000), n))
+        probes = [*rng.sample(range(-5, 20_010), 30), *at[:3], *at[-3:]]
+        df = spark.createDataFrame([(x, [(a,) for a in at]) for x in probes], "x int, strip array<struct<at: int>>")
+        for inclusive in (True, False):
+            found = df.select("x", rainfall.entries_until(F.col("strip"), F.col("x"), inclusive).alias("k")).collect()
+            assert all(r["k"] == sum(a <= r["x"] if inclusive else a < r["x"] for a in at) for r in found)
+
+
 def dem(spark, geographic, value):
     cells = [(0, 0, r, c, float(value(r, c))) for r in range(10) for c in range(10)]
     df = spark.createDataFrame(cells, "tile_lat int, tile_lon int, row int, col int, value double")
