@@ -127,6 +127,26 @@ def j02(dom: Domain):
     return pairs.select("id", "site_no", F.round("distance_km", 3).alias("distance_km"))
 
 
+@query("j02_k_nearest", f"""SELECT id, CAST(rank AS INTEGER) AS rank, site_no, round(dist, 3) AS distance_km FROM (SELECT *,
+    row_number() OVER (PARTITION BY id ORDER BY dist, site_no) AS rank FROM (SELECT e.id, s.site_no,
+    {hav('e.latitude', 'e.longitude', 's.latitude', 's.longitude')} AS dist FROM haz e, stations s) WHERE dist <= 25) WHERE rank <= 3""")
+def j02k(dom: Domain):
+    """The three nearest stations of every event."""
+    events = dom.events.select(F.col("id").alias("point_id"), "latitude", "longitude")
+    found = spatial.k_nearest(events, dom.stations, 3, 25.0, "site_no")
+    return found.select(F.col("point_id").alias("id"), "rank", "site_no", F.round("distance_km", 3).alias("distance_km"))
+
+
+@query("j02_nearest_events", f"""SELECT site_no, CAST(rank AS INTEGER) AS rank, id, round(dist, 3) AS distance_km FROM (SELECT *,
+    row_number() OVER (PARTITION BY site_no ORDER BY dist, id) AS rank FROM (SELECT e.id, s.site_no,
+    {hav('e.latitude', 'e.longitude', 's.latitude', 's.longitude')} AS dist FROM haz e, stations s) WHERE dist <= 40) WHERE rank <= 20""")
+def j02e(dom: Domain):
+    """The twenty events nearest to every station: far more events than are compared."""
+    sites = dom.stations.select(F.col("site_no").alias("point_id"), "latitude", "longitude")
+    found = spatial.k_nearest(sites, dom.events, 20, 40.0)
+    return found.select(F.col("point_id").alias("site_no"), "rank", "id", F.round("distance_km", 3).alias("distance_km"))
+
+
 @query("j03_nearest_station", "SELECT point_id, station_key, station_id, round(dist, 3) AS distance_km FROM near", **nearest_views())
 def j03(dom: Domain):
     return rainfall.nearest_station(points(dom), dom.rainfall).withColumn("distance_km", F.round("distance_km", 3))

@@ -63,7 +63,60 @@ def cycle(dom: Domain) -> weather_refresh.RefreshTables:
 def t01(dom: Domain):
     tables = cycle(dom)
     version = weather_refresh.latest_version(dom.spark, tables)
-    return dom.spark.read.parquet(tables.zones(version)).select("id", "temperature", "humidity", "rainfall_24h", "risk_score", "risk_level")
+    return tables.zones(dom.spark, version).select("id", "temperature", "humidity", "rainfall_24h", "risk_score", "risk_level")
+
+
+BATCHES = 3
+
+
+def _three_cycles() -> dict[str, str]:
+    """Zones and levels after each of three batches of payloads, batch k holding those with payload_id % 3 = k."""
+    views, zones = {}, "zones"
+    for k in range(BATCHES):
+        views[f"latest{k}"] = LATEST.replace("FROM readings", f"FROM (SELECT * FROM readings WHERE payload_id % {BATCHES} = {k})")
+        views[f"overlaid{k}"] = OVERLAID.replace("FROM zones z LEFT JOIN latest l", f"FROM {zones} z LEFT JOIN latest{k} l")
+        views[f"detail{k}"] = detail_view(f"overlaid{k}")
+        views[f"scored{k}"] = scored_view(f"detail{k}")
+        zones = f"(SELECT * EXCLUDE (seen, guarded, f_rainfall, f_slope, f_vegetation, f_historical, f_humidity) FROM scored{k})"
+    # A level of its own where no alert is kept: below HIGH, or not scored.
+    views["levels"] = " UNION ALL ".join(
+        f"SELECT id, {k} AS batch, CASE WHEN guarded OR risk_level NOT IN ('HIGH', 'CRITICAL') THEN '' ELSE risk_level END AS level FROM scored{k}"
+        for k in range(BATCHES))
+    views["turns"] = "SELECT *, lag(level, 1, '') OVER (PARTITION BY id ORDER BY batch) AS before FROM levels"
+    return views
+
+
+def _three_batches(dom: Domain) -> weather_refresh.RefreshTables:
+    """The event table as payloads in three folders that arrive one after the other."""
+    root = work_path(dom.spark, "refresh3")
+    tables = weather_refresh.RefreshTables(root)
+    tables.start(dom.zones)
+    payloads = dom.payloads
+    for k in range(BATCHES):
+        payloads.where(F.col("payload_id") % BATCHES == k).write.json(f"{root}/landed/part={k}")
+        stream = weather.stream_payloads(dom.spark, f"{root}/landed/*")
+        weather_refresh.start(stream, tables, f"{root}/checkpoint").awaitTermination()
+    return tables
+
+
+@query("t01_alert_history", """SELECT t.id AS zone_id, t.level AS severity, CAST(t.batch AS INTEGER) AS opened_in,
+    CAST((SELECT min(l.batch) FROM levels l WHERE l.id = t.id AND l.batch > t.batch AND l.level <> t.level) AS INTEGER) AS closed_in
+    FROM turns t WHERE t.level <> '' AND t.level <> t.before""", **_three_cycles())
+def t01_history(dom: Domain):
+    """Every alert of three cycles: carried over, resolved, and raised again."""
+    tables = _three_batches(dom)
+    read = lambda name: dom.spark.read.parquet(f"{tables.root}/{name}")
+    opened = read("opened_alerts").select("zone_id", "severity", F.col("batch").alias("opened_in"))
+    closed = read("closed_zones").select(F.col("zone_id").alias("z"), F.col("batch").alias("closed_in"))
+    met = opened.join(closed, (F.col("zone_id") == F.col("z")) & (F.col("closed_in") > F.col("opened_in")), "left")
+    return met.groupBy("zone_id", "severity", "opened_in").agg(F.min("closed_in").alias("closed_in"))
+
+
+@query("t01_zones_after_three", "SELECT id, temperature, humidity, rainfall_24h, risk_score, risk_level FROM scored2", **_three_cycles())
+def t01_after(dom: Domain):
+    tables = _three_batches(dom)
+    version = weather_refresh.latest_version(dom.spark, tables)
+    return tables.zones(dom.spark, version).select("id", "temperature", "humidity", "rainfall_24h", "risk_score", "risk_level")
 
 
 @query("t04_audit_log", """SELECT id AS zone_id, 'stream_refresh' AS triggered_by, CASE WHEN guarded THEN 'unavailable_derived_zone_no_real_environment'

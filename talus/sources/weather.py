@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.functions.text import parse_iso
+from talus.functions.text import once, parse_iso
 
 PAYLOAD_SCHEMA = (
     "payload_id BIGINT, zone_id BIGINT, received_at TIMESTAMP_NTZ, available BOOLEAN, "
@@ -43,16 +43,15 @@ def last_day_precipitation(hourly: Column, reference: Column) -> Column:
 
 
 def readings(payloads: DataFrame) -> DataFrame:
-    """One row per payload: what the provider said, NULL for whatever it left out."""
+    """One row per payload: what the provider said, NULL for whatever it left out. The samples are parsed once."""
     ok = F.col("available")
     reading = lambda c: F.when(ok, c)
-    return payloads.select(
-        "payload_id", "zone_id", "received_at", "available",
-        reading(F.col("current.temperature_2m")).alias("temperature"),
-        reading(F.col("current.relative_humidity_2m")).alias("humidity"),
-        reading(last_day_precipitation(F.col("hourly"), F.col("current.time"))).alias("rainfall_24h"),
-        reading(F.col("current.time")).alias("observed_at"),
-    )
+    return payloads.select("payload_id", "zone_id", "received_at", "available", once(
+        temperature=reading(F.col("current.temperature_2m")),
+        humidity=reading(F.col("current.relative_humidity_2m")),
+        rainfall_24h=reading(last_day_precipitation(F.col("hourly"), F.col("current.time"))),
+        observed_at=reading(F.col("current.time")),
+    ))
 
 
 def latest_per_zone(rows: DataFrame) -> DataFrame:

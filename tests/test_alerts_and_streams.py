@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from talus.operators import scoring
@@ -89,7 +90,7 @@ def test_refresh_stream(spark, tmp_path):
     hour = t.isoformat(timespec="minutes")
     version = cycle("one", [payload(1, 4, t, 30.0, None, [hour], [200.0]), payload(2, 1, t, available=False)])
     assert version == 1
-    zones = {r["id"]: r for r in spark.read.parquet(tables.zones(1)).collect()}
+    zones = {r["id"]: r for r in tables.zones(spark, 1).collect()}
     assert (zones[4]["rainfall_24h"], zones[4]["temperature"], zones[4]["humidity"]) == (200.0, 30.0, 70.0)
     assert zones[1]["rainfall_24h"] == 120.0 and len(zones) == 7
     result = spark.read.parquet(tables.part("results", 0)).first()
@@ -99,13 +100,52 @@ def test_refresh_stream(spark, tmp_path):
     assert log.count() == 7 and log.where("inputs.rainfall_24h IS NULL").count() == 0
     version = cycle("two", [payload(3, 0, t, None, None, [hour], [0.0])])
     assert version == 2
-    open_now = open_by_zone(spark.read.parquet(tables.open_alerts(2)))
-    assert len(open_now) == spark.read.parquet(tables.open_alerts(2)).count()  # at most one per zone
+    open_now = open_by_zone(tables.open_alerts(spark, 2))
+    assert len(open_now) == tables.open_alerts(spark, 2).count()  # at most one per zone
     assert open_now[0] == "HIGH" and spark.read.parquet(tables.part("closed_alerts", 1)).count() == 1
     # running the batch again changes nothing
-    before = sorted(map(str, spark.read.parquet(tables.open_alerts(2)).collect()))
+    before = sorted(map(str, tables.open_alerts(spark, 2).collect()))
     weather_refresh.refresh_batch(spark.read.schema(weather.PAYLOAD_SCHEMA).json(str(land / "two")), 1, tables)
-    assert sorted(map(str, spark.read.parquet(tables.open_alerts(2)).collect())) == before
+    assert sorted(map(str, tables.open_alerts(spark, 2).collect())) == before
+    # only zones that moved are written
+    assert {r["id"] for r in spark.read.parquet(tables.part("zone_changes", 1)).collect()} == {0}
+
+
+@pytest.mark.parametrize("compact_every", [2, 100])
+def test_alerts_are_carried_resolved_and_raised_again(spark, tmp_path, compact_every):
+    tables = weather_refresh.RefreshTables(str(tmp_path))
+    tables.start(zone_table(spark))
+    t = dt.datetime(2024, 5, 1, 12)
+    rain = [{4: (200.0, 70.0)}, {4: (0.0, None), 1: (0.0, 0.0)}, {}, {1: (120.0, 88.0), 0: (0.0, 0.0)}, {0: (200.0, 99.0)}]
+    history, states = [], []
+    for n, wet in enumerate(rain):
+        at = t + dt.timedelta(hours=n)
+        rows = [payload(10 * n + z, z, at, None, humid, [at.isoformat(timespec="minutes")], [mm]) for z, (mm, humid) in wet.items()]
+        rows += [payload(1000 + n, 6, at, available=False)]
+        batch = spark.createDataFrame(rows, weather.PAYLOAD_SCHEMA)
+        before = (sorted(map(str, tables.zones(spark, n).collect())), sorted(map(str, tables.open_alerts(spark, n).collect())))
+        # A batch that was cut off before its commit does not count, and running it again gives the same.
+        weather_refresh.refresh_batch(batch, n, tables, compact_every=compact_every)
+        first = (sorted(map(str, tables.zones(spark, n + 1).collect())), sorted(map(str, tables.open_alerts(spark, n + 1).collect())))
+        weather_refresh.refresh_batch(batch, n, tables, compact_every=compact_every)
+        again = (sorted(map(str, tables.zones(spark, n + 1).collect())), sorted(map(str, tables.open_alerts(spark, n + 1).collect())))
+        assert first == again and weather_refresh.latest_version(spark, tables) == n + 1
+        assert before == (sorted(map(str, tables.zones(spark, n).collect())), sorted(map(str, tables.open_alerts(spark, n).collect())))
+        history.append(open_by_zone(tables.open_alerts(spark, n + 1)))
+        states.append({r["id"]: r["rainfall_24h"] for r in tables.zones(spark, n + 1).collect()})
+        changed = {r["id"] for r in spark.read.parquet(tables.part("zone_changes", n)).collect()}
+        assert n == 0 or changed <= set(wet)
+    # The same by the batch form of the state machine, over snapshots.
+    zones, alerts = zone_table(spark), empty_alerts(spark)
+    for n, wet in enumerate(rain):
+        new = spark.createDataFrame([(z, True, None, humid, mm) for z, (mm, humid) in wet.items()], "zone_id long, available boolean, temperature double, humidity double, rainfall_24h double")
+        scored = scoring.score_zones(scoring.overlay_weather(zones, new)).checkpoint()
+        alerts = scoring.reconcile(scored, alerts, now()).select(*alerts.columns).checkpoint()
+        zones = scored.select(*zones.columns)
+        assert history[n] == open_by_zone(alerts)
+        assert states[n] == {r["id"]: r["rainfall_24h"] for r in zones.collect()}
+    of = [h.get(1) for h in history]
+    assert of[0] == of[3] == "HIGH" and of[1] is None and of[2] is None and history[2][0] != history[3].get(0) != history[4][0]
 
 
 def test_entry_contract(spark):

@@ -34,6 +34,27 @@ def test_radius_join_equals_brute_force(spark, lat, lon):
     assert want and got == want
 
 
+@pytest.mark.parametrize("leaf", [2, 16, 100000])
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_k_nearest_equals_brute_force(spark, leaf, k):
+    """A hot place of many copies, a crowded cluster off to one side, empty land, and the date line."""
+    rng = random.Random(9)
+    wrap = lambda x: (x + 180) % 360 - 180
+    places = [(27.0, 179.9)] * 300 + [(27.3 + rng.gauss(0, 0.004), wrap(180.05 + rng.gauss(0, 0.004))) for _ in range(400)]
+    places += [(26.5 + rng.random(), wrap(179.5 + rng.random())) for _ in range(60)] + [(None, 3.0)]
+    targets = [(i, *p) for i, p in enumerate(places)]
+    points = [(i, 26.6 + 0.9 * rng.random(), wrap(179.4 + 1.2 * rng.random())) for i in range(40)] + [(90, 27.0, 179.9), (91, -40.0, 3.0), (92, None, 1.0)]
+    found = spatial.k_nearest(spark.createDataFrame(points, "point_id long, latitude double, longitude double"),
+                              spark.createDataFrame(targets, "id long, latitude double, longitude double"), k, 30.0, leaf_rows=leaf)
+    got = sorted((r["point_id"], r["rank"], r["id"]) for r in found.collect())
+    want = []
+    for p in points:
+        if p[1] is not None:
+            near = sorted((dist(p[1], p[2], t[1], t[2]), t[0]) for t in targets if t[1] is not None)
+            want += [(p[0], n + 1, i) for n, (d, i) in enumerate([x for x in near if x[0] <= 30.0][:k])]
+    assert got == sorted(want) and any(r[0] == 90 for r in got) and not any(r[0] == 91 for r in got)
+
+
 @pytest.mark.parametrize("dense_rows", [4, 50, 100000])
 @pytest.mark.parametrize("cap", [1, 7, None])
 def test_capped_counts_equal_brute_force(spark, dense_rows, cap):
