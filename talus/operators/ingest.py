@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talus.functions import quality, text
 from talus.runtime import attach_to_groups
 from talus.sources.files import column_map
+from talus.sources.known_keys import KnownKeys
 
 
 def pick(df: DataFrame, mapping: dict[str, str | None], field: str) -> Column:
@@ -189,13 +190,16 @@ def first_rows(usable: DataFrame, date: str) -> DataFrame:
     )
 
 
-def not_stored(firsts: DataFrame, stored: DataFrame | None, date: str) -> DataFrame:
+def not_stored(firsts: DataFrame, stored: DataFrame | KnownKeys | None, date: str) -> DataFrame:
     """Drop keys the table already holds for this source; a NULL date equals a NULL date.
 
-    Every stored row blocks its composite key, also when it has a record id.
+    Every stored row blocks its composite key, also when it has a record id. `stored` holds the rows themselves or
+    is a store of their keys.
     """
     if stored is None:
         return firsts
+    if isinstance(stored, KnownKeys):
+        return stored.unknown(firsts)
     nothing = lambda name: F.lit(None).cast(dict(firsts.dtypes)[name]).alias(name)
     ids = stored.where(F.col("source_record_id") != "").select(
         F.col("source_record_id").alias("k_id"), *[nothing(k) for k in KEYS[1:]]
@@ -212,7 +216,7 @@ def not_stored(firsts: DataFrame, stored: DataFrame | None, date: str) -> DataFr
     return firsts.join(known, same, "left_anti")
 
 
-def accept(rows: DataFrame, stored: DataFrame | None, date: str) -> DataFrame:
+def accept(rows: DataFrame, stored: DataFrame | KnownKeys | None, date: str) -> DataFrame:
     """Rows to store: usable, first of their key in the file, not stored yet."""
     usable = rows.where(F.size("reasons") == 0)
     return not_stored(first_rows(usable, date), stored, date)

@@ -151,3 +151,35 @@ def t05(dom: Domain):
     key = F.coalesce("source_record_id", F.concat_ws(",", F.col("latitude").cast("string"), F.col("longitude").cast("string"),
                                                      F.coalesce(F.col("event_date").cast("string"), F.lit(""))))
     return table.agg(F.count("*").alias("stored"), F.countDistinct(key).alias("distinct_keys"))
+
+
+def _three_drops() -> dict[str, str]:
+    """Rows stored after each of three files, file k holding the rows with row_key % 3 = k: the first of every key in its file
+    that no earlier file stored. Every stored row blocks its place and time, those with a record id their id, too."""
+    views = {k: ING[k] for k in ("nums", "parsed", "usable")}
+    known = None
+    for k in range(BATCHES):
+        views[f"ranked_{k}"] = ING["ranked"].replace("FROM usable", f"FROM (SELECT * FROM usable WHERE row_key % {BATCHES} = {k})")
+        views[f"fresh_{k}"] = f"SELECT * FROM ranked_{k} WHERE nth = 1" if known is None else (
+            ING["fresh"].replace("FROM ranked r", f"FROM ranked_{k} r").replace("FROM stored s", f"FROM ({known}) s"))
+        part = f"SELECT record_id AS source_record_id, lat AS latitude, lon AS longitude, event_date FROM fresh_{k}"
+        known = part if known is None else f"{known} UNION ALL {part}"
+    views["kept"] = " UNION ALL ".join(f"SELECT {k} AS drop_no, * FROM fresh_{k}" for k in range(BATCHES))
+    return views
+
+
+@query("t05_three_batches", """SELECT CAST(drop_no AS INTEGER) AS drop_no, record_id AS source_record_id, lat AS latitude, lon AS longitude, event_date, severity
+    FROM kept""", **_three_drops())
+def t05_three(dom: Domain):
+    """Three files arrive one after the other; a row is stored by the first file that has its key."""
+    root = work_path(dom.spark, "three-drops")
+    raw = dom.raw_events
+    columns = [c for c in raw.columns if c not in ("_order", "row_key")]
+    for k in range(BATCHES):
+        part = raw.where(F.pmod(F.col("_order.row_key"), F.lit(BATCHES)) == k).coalesce(1).sortWithinPartitions("_order")
+        part.select(*columns).write.option("header", True).csv(f"{root}/in/part{k}")
+        rows = ingest_stream.stream_csv(dom.spark, f"{root}/in/*", columns)
+        ingest_stream.start(rows, f"{root}/table", "inv", "historical_landslide", f"{root}/checkpoint").awaitTermination()
+    stored = dom.spark.read.parquet(f"{root}/table")
+    return stored.select(F.regexp_extract("batch", r"(\d+)$", 1).cast("int").alias("drop_no"), "source_record_id", "latitude", "longitude",
+                         "event_date", "severity")

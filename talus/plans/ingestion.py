@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.functions.quality import event_completeness
 from talus.operators import ingest, polygons
-from talus.runtime import positions
+from talus.runtime import cut_lineage, positions
 from talus.sources import files, registry, sinks
+from talus.sources.known_keys import KnownKeys
 
 
 @dataclass
@@ -41,56 +43,107 @@ def validate_inventory(raw: DataFrame, source_name: str) -> tuple[DataFrame, Dat
     return validated, ingest.with_completeness(validated.where(F.size("errors") == 0))
 
 
-def ingest_events(raw: DataFrame, source_id: str, stored: DataFrame | None = None, states: DataFrame | None = None,
-                  districts: DataFrame | None = None) -> Ingested:
-    mapping = files.column_map(raw.columns, vocab.EVENT_ALIASES)
-    rows = ingest.reject_reasons(ingest.read_events(raw, mapping))
-    fresh = ingest.accept(rows, stored, "event_date")
+def read_events(raw: DataFrame) -> DataFrame:
+    """Event rows with the reasons for which they are rejected."""
+    return ingest.reject_reasons(ingest.read_events(raw, files.column_map(raw.columns, vocab.EVENT_ALIASES)))
+
+
+def read_rainfall(raw: DataFrame) -> DataFrame:
+    """Rainfall rows with the reasons for which they are rejected."""
+    return ingest.reject_reasons(ingest.read_rainfall(raw, files.column_map(raw.columns, vocab.RAINFALL_ALIASES)), rainfall=True)
+
+
+def event_rows(fresh: DataFrame, source_id: str, states: DataFrame | None, districts: DataFrame | None) -> DataFrame:
+    """Accepted events as they are stored: placed, with their completeness."""
     placed = polygons.fill_places(fresh, states, districts)
     place = F.coalesce("state", "district")
-    accepted = placed.select(
+    return placed.select(
         "latitude", "longitude", "state", "district", "event_date", "event_type", "severity",
         F.lit(source_id).alias("source_id"), "source_record_id",
         event_completeness(F.col("event_date"), F.col("event_type"), F.col("severity"), place).cast("int").alias("data_quality_score"),
     )
-    return Ingested(rows, accepted, ingest.ingestion_summary(rows, fresh))
 
 
-def ingest_rainfall(raw: DataFrame, source_id: str, stored: DataFrame | None = None) -> Ingested:
-    mapping = files.column_map(raw.columns, vocab.RAINFALL_ALIASES)
-    rows = ingest.reject_reasons(ingest.read_rainfall(raw, mapping), rainfall=True)
-    fresh = ingest.accept(rows, stored, "observed_date")
-    accepted = fresh.select(
+def rainfall_rows(fresh: DataFrame, source_id: str) -> DataFrame:
+    """Accepted rainfall readings as they are stored."""
+    return fresh.select(
         F.lit(source_id).alias("source_id"), "source_record_id", "station_id", "observed_date", "latitude", "longitude",
         "rainfall_mm", F.lit(None).cast("string").alias("resolution"),
     )
-    return Ingested(rows, accepted, ingest.ingestion_summary(rows, fresh))
+
+
+def ingest_events(raw: DataFrame, source_id: str, stored: DataFrame | None = None, states: DataFrame | None = None,
+                  districts: DataFrame | None = None) -> Ingested:
+    rows = read_events(raw)
+    fresh = ingest.accept(rows, stored, "event_date")
+    return Ingested(rows, event_rows(fresh, source_id, states, districts), ingest.ingestion_summary(rows, fresh))
+
+
+def ingest_rainfall(raw: DataFrame, source_id: str, stored: DataFrame | None = None) -> Ingested:
+    rows = read_rainfall(raw)
+    fresh = ingest.accept(rows, stored, "observed_date")
+    return Ingested(rows, rainfall_rows(fresh, source_id), ingest.ingestion_summary(rows, fresh))
+
+
+DATES = {"rainfall": "observed_date"}
+
+
+def store_rows(raw: DataFrame, source_id: str, category: str, table: str, batch: str, states: DataFrame | None = None,
+               districts: DataFrame | None = None) -> DataFrame:
+    """Ingest the rows of one batch into a table and return the counts. The rows are parsed once: they are counted on their way
+    to the accepted ones, which are stored before anything else is done with them."""
+    spark = raw.sparkSession
+    date = DATES.get(category, "event_date")
+    known = KnownKeys(spark, table, source_id, batch, date)
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.size("reasons") > 0).alias("bad")]
+    if category == "rainfall":
+        rows = read_rainfall(raw).observe(seen, *counts)
+        accepted = rainfall_rows(ingest.accept(rows, known, date), source_id)
+    else:
+        rows = read_events(raw).observe(seen, *counts)
+        accepted = event_rows(ingest.accept(rows, known, date), source_id, states, districts)
+    sinks.append_batch(accepted, table, batch)
+    stored = spark.read.schema(accepted.schema).parquet(f"{table}/batch={quote(batch, safe='')}")
+    known.remember(stored)
+    found, inserted = seen.get, stored.count()
+    return spark.createDataFrame(
+        [(found["total"], inserted, found["bad"], inserted, found["total"] - found["bad"] - inserted)],
+        "total_records long, valid_records long, invalid_records long, inserted long, duplicates long")
 
 
 def ingest_file(spark: SparkSession, path: str, source_id: str, category: str, table: str, batch: str,
                 states: DataFrame | None = None, districts: DataFrame | None = None,
                 at: Column | None = None) -> DataFrame:
     """Read, ingest and append one file; returns the finished run row. Running it again adds nothing."""
-    at = at if at is not None else F.current_timestamp().cast("timestamp_ntz")
+    started = at if at is not None else _now()
     raw = files.read_dataset(spark, path, quoted_newlines=category != "rainfall")
-    stored = _stored(spark, table, source_id, batch)
-    if category == "rainfall":
-        done = ingest_rainfall(raw, source_id, stored)
-    else:
-        done = ingest_events(raw, source_id, stored, states, districts)
-    sinks.append_batch(done.accepted, table, batch)
-    return registry.run_row(source_id, done.summary, at, at)
+    summary = store_rows(raw, source_id, category, table, batch, states, districts)
+    return registry.run_row(source_id, summary, started, at if at is not None else _now())
+
+
+def _now() -> Column:
+    return F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
 
 
 def tracked_file(spark: SparkSession, path: str, source_id: str, category: str, table: str, batch: str, runs: str,
-                 **options) -> None:
+                 sources: str | None = None, name: str | None = None, registered_as: str | None = None, **options) -> None:
     """ingest_file with its run on record in the table `runs`: processing from the start, then processed with its counts, or
-    failed with the error, which is raised again."""
-    started = F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
-    state = lambda status, **facts: sinks.write_run(
-        registry.run_state(spark, batch, source_id, started, status, **facts), runs)
+    failed with the error, which is raised again. With a table `sources` the source is registered first, with the name, size and
+    checksum of its file, and carries the run's outcome afterwards."""
+    started = _now()
+
+    def state(status: str, **facts) -> None:
+        sinks.write_run(registry.run_state(spark, batch, source_id, started, status, **facts), runs)
+        if sources is not None and status != "processing":
+            row = cut_lineage(registry.registered(spark, sources, source_id))
+            sinks.write_source(row.withColumns({"last_status": F.lit(status), "last_error": F.lit(facts.get("error")).cast("string")}), sources)
+
     state("processing")
     try:
+        if sources is not None:
+            row = registry.register_file(spark, sources, source_id, name or source_id, registered_as or category, path, started)
+            sinks.write_source(cut_lineage(row), sources)
         summary = ingest_file(spark, path, source_id, category, table, batch, **options)
         state("processed", summary=summary)
     except Exception as error:
@@ -98,15 +151,6 @@ def tracked_file(spark: SparkSession, path: str, source_id: str, category: str,
         raise
 
 
-def _stored(spark: SparkSession, table: str, source_id: str, batch: str) -> DataFrame | None:
-    """Rows other batches have stored; a batch that is run again does not see its own earlier try."""
-    try:
-        files._exists(spark, f"{table}/batch=*")
-    except files.DatasetError:
-        return None
-    return spark.read.parquet(table).where((F.col("source_id") == source_id) & (F.col("batch") != batch))
-
-
 def inspect(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Row count, missing cells per column, extent."""
     return df.agg(F.count("*").alias("records")), ingest.missing_per_column(df), ingest.bounding_box(df)

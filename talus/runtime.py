@@ -59,6 +59,19 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def folders(spark: SparkSession, root: str, pattern: str, finished: bool = False) -> list[str]:
+    """Names of the folders below `root` that match; with `finished` only those whose writing job ended."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}" + ("/_SUCCESS" if finished else ""))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(f.getPath().getParent() if finished else f.getPath()).getName() for f in found]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work folder that is no longer read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and ends the plan an iteration has grown."""
     shared_dir(df.sparkSession)

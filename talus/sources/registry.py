@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.functions.text import file_name
+from talus.runtime import folders
+from talus.sources.files import checksums
 
 RUN_COUNTS = ["total_records", "valid_records", "invalid_records", "inserted", "duplicates"]
 RUN_STATES = ("processing", "processed", "failed")
@@ -38,6 +40,36 @@ def register(existing: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """One row about the file or files of a path: bare name, size, SHA-256. Of several files: how many, their sizes added up, and
+    the hash of their hashes in order of their names."""
+    found = checksums(spark, path)
+    one = F.count("*") == 1
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_name", "checksum_sha256"))), lambda x: x["checksum_sha256"]), "\n")
+    return found.agg(
+        F.when(one, F.min("file_name")).otherwise(F.concat(F.count("*").cast("string"), F.lit(" files"))).alias("file_name"),
+        F.sum("file_size_bytes").alias("file_size_bytes"),
+        F.when(one, F.min("checksum_sha256")).otherwise(F.sha2(listed, 256)).alias("checksum_sha256"))
+
+
+REGISTERED = ("source_id STRING, name STRING, category STRING, file_name STRING, file_size_bytes BIGINT, checksum_sha256 STRING, "
+              "last_status STRING, last_error STRING, registered_at TIMESTAMP_NTZ")
+
+
+def registered(spark: SparkSession, sources: str, source_id: str) -> DataFrame:
+    """The stored registration of a source; no row if there is none."""
+    if not folders(spark, sources, f"source_id={source_id}"):
+        return spark.createDataFrame([], REGISTERED)
+    return spark.read.schema(REGISTERED).parquet(sources).where(F.col("source_id") == source_id)
+
+
+def register_file(spark: SparkSession, sources: str, source_id: str, name: str, category: str, path: str, at: Column) -> DataFrame:
+    """The registration of a source by its file, over the stored one (see register): category checked, name, size and checksum
+    taken anew, the first registered_at kept."""
+    new = file_facts(spark, path).select(F.lit(source_id).alias("source_id"), F.lit(name).alias("name"), F.lit(category).alias("category"), "*")
+    return register(registered(spark, sources, source_id), new, at)
+
+
 def run_row(source_id: str, summary: DataFrame, started_at: Column, completed_at: Column,
             error: str | None = None) -> DataFrame:
     """The finished run of one source; a run with an error counts as failed."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +52,16 @@ def write_features(rows: DataFrame, metadata: DataFrame, folder: str) -> None:
 def append_batch(rows: DataFrame, table: str, batch: str) -> None:
     """Append one batch to a table partitioned by batch and source.
 
-    The batch lives in its own partition value and replaces itself when it is run again, so a retried
-    batch cannot store its rows twice.
+    The batch has a folder of its own and replaces all of it when it is run again, so a retried batch cannot store its
+    rows twice, nor leave rows of an earlier try. Rows are brought together by source before they are written, a source
+    with many rows in several files.
     """
-    staged = rows.withColumn("batch", F.lit(batch))
-    (
-        staged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "source_id")
-        .parquet(table)
-    )
+    rows.hint("rebalance", "source_id").write.mode("overwrite").partitionBy("source_id").parquet(f"{table}/batch={quote(batch, safe='')}")
+
+
+def write_source(source: DataFrame, sources: str) -> None:
+    """Store the registration of one source; a later one of the same source replaces it."""
+    source.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(sources)
 
 
 def write_run(run: DataFrame, runs: str) -> None:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from talus.plans import ingestion
-from talus.sources import sinks
 
 ROW_FILE, ROW_BLOCK = "_file", "_block"
 
@@ -22,15 +21,8 @@ def stream_csv(spark: SparkSession, folder: str, headers: list[str], files_per_b
 
 def ingest_batch(rows: DataFrame, batch: int, table: str, source_id: str, category: str) -> None:
     """Same rules as file ingestion; the batch replaces its own partition when it is run again."""
-    spark = rows.sparkSession
     raw = rows.withColumn("_order", F.struct(ROW_FILE, ROW_BLOCK, F.monotonically_increasing_id().alias("at"))).drop(ROW_FILE, ROW_BLOCK)
-    name = f"stream-{batch}"
-    stored = ingestion._stored(spark, table, source_id, name)
-    if category == "rainfall":
-        done = ingestion.ingest_rainfall(raw, source_id, stored)
-    else:
-        done = ingestion.ingest_events(raw, source_id, stored)
-    sinks.append_batch(done.accepted, table, name)
+    ingestion.store_rows(raw, source_id, category, table, f"stream-{batch}")
 
 
 def start(rows: DataFrame, table: str, source_id: str, category: str, checkpoint: str) -> StreamingQuery:

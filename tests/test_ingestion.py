@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talus.operators import ingest, polygons, rainfall
 from talus.plans import ingestion
+from talus.sources.known_keys import KnownKeys
 from talus.sources import boundaries, files, registry, sinks
 from talus.streaming import ingest_stream
 
@@ -184,6 +185,46 @@ def test_runs_on_record(spark, folder, tmp_path):
     assert found["r2"]["status"] == "failed" and "absent.csv" in found["r2"]["error_summary"] and found["r2"]["inserted"] is None
 
 
+def test_ingest_registers_its_file(spark, folder, tmp_path):
+    """Name, size and checksum come from the file; the outcome of the run is on record with the source."""
+    import hashlib
+
+    sources, runs, table = (str(tmp_path / n) for n in ("sources", "runs", "t"))
+    body = (folder / "events.csv").read_bytes()
+    ingestion.tracked_file(spark, str(folder / "events.csv"), "inv", "historical_landslide", table, "r1", runs, sources, "Inventory")
+    row = one(registry.registered(spark, sources, "inv"))
+    assert (row["file_name"], row["file_size_bytes"], row["checksum_sha256"]) == ("events.csv", len(body), hashlib.sha256(body).hexdigest())
+    assert (row["name"], row["last_status"], row["last_error"]) == ("Inventory", "processed", None)
+    ingestion.tracked_file(spark, str(folder / "rain.csv"), "wet", "rainfall", table + "2", "r2", runs, sources)
+    ingestion.tracked_file(spark, str(folder / "events.csv"), "inv", "historical_landslide", table, "r3", runs, sources)
+    again = one(registry.registered(spark, sources, "inv"))
+    assert again["registered_at"] == row["registered_at"] and again["name"] == "inv"
+    with pytest.raises(Exception, match="unknown category"):
+        ingestion.tracked_file(spark, str(folder / "events.csv"), "odd", "historical_landslide", table, "r4", runs, sources, registered_as="music")
+    with pytest.raises(files.DatasetError):
+        ingestion.tracked_file(spark, str(folder / "absent.csv"), "inv", "historical_landslide", table, "r5", runs, None)
+    assert {r["source_id"] for r in spark.read.parquet(sources).collect()} == {"inv", "wet"}
+
+
+def test_known_keys_prune_and_replace(spark, tmp_path):
+    """Only the buckets of the batch are read, keys of an own earlier try do not count, rows without stored keys do."""
+    table = str(tmp_path / "table")
+    rows = lambda ids: spark.createDataFrame([(None if i % 2 else f"R{i}", 10.0 + i, -0.0, None, "src") for i in ids],
+                                             "source_record_id string, latitude double, longitude double, event_date timestamp_ntz, source_id string")
+    known = lambda batch: KnownKeys(spark, table, "src", batch, "event_date")
+    sinks.append_batch(rows(range(40)), table, "a b/1")
+    known("a b/1").remember(rows(range(40)))
+    sinks.append_batch(rows(range(40, 50)), table, "2")          # its keys were never finished
+    firsts = spark.createDataFrame([(f"R{i}" if i % 2 == 0 else None, None if i % 2 == 0 else 10.0 + i, None if i % 2 == 0 else 0.0, None, i) for i in range(60)],
+                                   "k_id string, k_lat double, k_lon double, k_date timestamp_ntz, i int")
+    left = lambda batch: sorted(r["i"] for r in known(batch).unknown(firsts).collect())
+    assert left("3") == list(range(50, 60)) and left("2") == list(range(40, 60)) and left("a b/1") == [*range(40), *range(50, 60)]
+    plan = known("3").stored([5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_id" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    sinks.append_batch(rows(range(3)), table, "a b/1")           # a smaller second try leaves nothing of the first
+    assert spark.read.parquet(table).where("batch = 'a b/1'").count() == 3
+
+
 def test_stream_ingest_is_idempotent(spark, folder, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()
