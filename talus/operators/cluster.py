@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from talus import vocab
 from talus.runtime import cut_lineage, positions
 
+# A node with fewer edges than this is never taken for a hub.
+HUB = 16
 # A pair of cells with at most this many point pairs is compared point by point.
 DIRECT_PAIRS = 4096
 _FORWARD = [(dr, dc) for dr in range(-2, 3) for dc in range(-2, 3) if (dr, dc) > (0, 0)]
@@ -25,32 +27,44 @@ _AROUND = [(dr, dc) for dr in range(-2, 3) for dc in range(-2, 3)]
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of every node's component: nodes (node), edges (a, b) -> (node, component).
 
-    Every round each node looks at the grandparents of its neighbours, hooks itself and its parent to
-    the smallest one, and then skips a level, so long chains settle in a logarithmic number of rounds.
+    Rounds of large stars (every node hands the smallest of its neighbours to the larger ones) and small stars (to the smaller
+    ones) until every node points at the smallest of its component. A round is one action, which stores the edges and counts them on the
+    way. The neighbours of a hub never meet in one task: the smallest of them is combined before the shuffle and handed out by
+    broadcast to the rows where they lie.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    state = cut_lineage(nodes.select("node", F.col("node").alias("parent")))
-    if both.isEmpty():
-        return state.withColumnRenamed("parent", "component")
-    while True:
-        up = state.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-        lifted = state.join(up, "parent").select("node", "parent", "top")
-        seen = (
-            both.join(lifted.select(F.col("node").alias("b"), F.col("top").alias("_seen")), "b")
-            .groupBy("a").agg(F.min("_seen").alias("offer"))
-            .join(lifted.select(F.col("node").alias("a"), "parent"), "a")
-        )
-        offers = (
-            lifted.select("node", F.col("top").alias("offer"))
-            .union(seen.select(F.col("a").alias("node"), "offer"))
-            .union(seen.select(F.col("parent").alias("node"), "offer"))
-        )
-        settled = offers.groupBy("node").agg(F.min("offer").alias("next"))
-        moved = cut_lineage(state.join(settled, "node").select("node", F.least("parent", "next").alias("parent"),
-                                                             (F.col("next") < F.col("parent")).alias("_moved")))
-        state = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return state.withColumnRenamed("parent", "component")
+    ordered = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    held, count, mark = _stored_edges(ordered)
+    while count:
+        both = held.union(held.select(F.col("b"), F.col("a")))
+        large = _handed(both.toDF("u", "v"), 2 * count).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # An edge between the node and its smallest neighbour is handed to itself and is not needed a second time.
+        small = _handed(large.distinct().toDF("u", "v"), count)
+        turned = small.select(F.col("u").alias("a"), F.col("m").alias("b")).union(
+            small.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")))
+        held, count, again = _stored_edges(turned)
+        if again == mark:
+            break
+        mark = again
+    roots = held.groupBy("a").agg(F.min("b").alias("component"))
+    return nodes.join(roots, F.col("node") == F.col("a"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _stored_edges(edges: DataFrame) -> tuple[DataFrame, int, tuple]:
+    """The distinct edges, stored; their number, and a sum of their hashes that tells whether they changed."""
+    seen = Observation()
+    stored = cut_lineage(edges.distinct().observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")))
+    found = seen.get
+    return stored, found["n"], (found["n"], found["mark"])
+
+
+def _handed(pairs: DataFrame, count: int) -> DataFrame:
+    """(u, v) with m, the smallest of u and its v. The rows of a node with more than its share of them stay where they are."""
+    share = max(HUB, count // (4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > share).select("u", "m"))  # four per partition at most
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= share).select("u", "m"), "u")
+    return pairs.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
 def _grid(df: DataFrame, side: float) -> DataFrame:
