@@ -1,16 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the words seen in training, plus a root. In state v, reading w follows the arc (v, w) if that pair was seen,
-with weight log10 of  s(v) * c(v,w)/c(v) + (1 - s(v)) * p(w);  otherwise the failure arc of v, weight log10(1 - s(v)), leads to
-the root, where w weighs log10 p(w), p being the add-one unigram model. Both ways end in state w, or in the root if w is
-unknown. s(v) = c / (c + FRESH * c^GROWTH) is the share of a state's tokens that repeat a follower, with the number of
-different followers taken to grow as a power of c (Heaps' law); the weights of every state sum to one.
-
-Neither the words nor the pairs of a corpus fit one machine, so nothing is broadcast. Documents are dealt into blocks of
-about `BLOCK_BYTES` of text. Every block asks for the counts of its distinct words and pairs, adding its own training
-counts; the questions meet in buckets of hashes, are summed there, and the totals go back to the blocks, each of which
-then has the part of the automaton that its documents can reach. Words and pairs are 64-bit hashes (pairs: a bucket number
-and 40 bits), packed into byte strings; copies and common words cost one entry per block.
+States are the word pairs seen in training, the words seen in training, the start of a text, and a root. In a pair's state (u, v),
+reading w follows the arc of the triple if that was seen, with weight log10 of  s(uv) * c(uvw)/c(uv) + (1 - s(uv)) * p(w|v); otherwise the
+failure arc, weight log10(1 - s(uv)), leads to the state of v, where the same is tried with the pair (v, w), and from there to the root,
+where w weighs log10 p(w), p being the add-one unigram model. Every way ends in the state of the longest of (v, w), w and nothing that
+was seen. s = c / (c + FRESH * c^GROWTH) is the share of a state's tokens that repeat a follower, with the number of different
+followers taken to grow as a power of c (Heaps' law); the weights of every state sum to one. Texts are read from left to right, one
+token of every text at a time, each carrying its state.
+
+Neither the words nor the pairs and triples of a corpus fit one machine, so nothing is broadcast. Documents are dealt into blocks. Every
+block asks for the counts of its distinct words, pairs and triples, adding its own training counts; the questions meet in buckets
+of hashes, are summed there, and the totals go back to the blocks, each of which then has the part of the automaton that its
+documents can reach. A block holds `BLOCK_BYTES` of text, or the square root of `GROWTH_BYTES` times the text of a larger corpus: there are as
+many buckets as blocks, so that the rows exchanged grow with the text and not with its square. Words, pairs and triples are 64-bit
+hashes (pairs and triples: a bucket number and 40 bits), packed into byte strings; copies and common words cost one entry per block.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from talus.llm.common import chunks, is_fold, learnable, mix, per_text, word_hashes
 
 FOLDS, HELD = 7, 2
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+GROWTH_BYTES = 2 << 10         # blocks grow from 32 GB of text on: 45 MB of text at 1 TB
+SEGMENT = 4096                 # tokens of a text read in one go
 FRESH, GROWTH = 6.0, 0.9
 _END = np.uint64(0x1234567890ABCDEF >> 1)
 _START = np.uint64(0x0FEDCBA098765432 >> 1)
@@ -61,6 +66,14 @@ def _bucket(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def triple_keys(before: np.ndarray, firsts: np.ndarray, pairs: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys of the two tokens before every token and itself; the first token of a text has none but its pair."""
+    context = np.empty_like(pairs)
+    context[1:] = pairs[:-1]
+    context[firsts[:-1]] = _START
+    return pair_keys(context ^ np.uint64(0xA5A5A5A5A5A5A5A5), words, buckets)
+
+
 def pair_keys(before: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and 40 further bits of every pair's hash."""
     h = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
@@ -113,39 +126,46 @@ class _Block:
         learn = np.repeat(docs["learn"].to_numpy(bool), np.diff(self.firsts))
         before = contexts(self.words, self.firsts)
         self.word, self.word_counts, self.word_at = distinct(self.words, learn)
-        self.pair, self.pair_counts, self.pair_at = distinct(pair_keys(before, self.words, buckets), learn)
-        word_bucket = _bucket(self.word, 63, buckets).astype(np.int64)
-        pair_bucket = (self.pair >> _PAIR_BITS).astype(np.int64)
-        self.asked = np.union1d(word_bucket, pair_bucket)
-        self.word_cuts = [*np.searchsorted(word_bucket, self.asked), len(word_bucket)]
-        self.pair_cuts = [*np.searchsorted(pair_bucket, self.asked), len(pair_bucket)]
+        pairs = pair_keys(before, self.words, buckets)
+        self.pair, self.pair_counts, self.pair_at = distinct(pairs, learn)
+        self.triple, self.triple_counts, self.triple_at = distinct(triple_keys(before, self.firsts, pairs, self.words, buckets), learn)
+        of = {"word": _bucket(self.word, 63, buckets).astype(np.int64), "pair": (self.pair >> _PAIR_BITS).astype(np.int64),
+              "triple": (self.triple >> _PAIR_BITS).astype(np.int64)}
+        self.asked = np.unique(np.concatenate([np.unique(b) for b in of.values()]))
+        self.cuts = {what: [*np.searchsorted(b, self.asked), len(b)] for what, b in of.items()}
+
+
+KINDS = ("word", "pair", "triple")
 
 
 def _questions(buckets: int):
     def ask(docs: pd.DataFrame) -> pd.DataFrame:
         block, rows = _Block(docs, buckets), []
         for i, bucket in enumerate(block.asked):
-            w, p = slice(*block.word_cuts[i:i + 2]), slice(*block.pair_cuts[i:i + 2])
-            rows.append((int(bucket), int(docs["block"].iloc[0]), w.stop - w.start, p.stop - p.start,
-                         pack_keys(block.word[w]), pack_counts(block.word_counts[w]),
-                         pack_keys(block.pair[p]), pack_counts(block.pair_counts[p])))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n_words", "n_pairs", "words", "word_counts", "pairs", "pair_counts"])
+            row = {"bucket": int(bucket), "block": int(docs["block"].iloc[0])}
+            for what in KINDS:
+                part = slice(*block.cuts[what][i:i + 2])
+                row[f"n_{what}"] = part.stop - part.start
+                row[f"{what}_keys"] = pack_keys(getattr(block, what)[part])
+                row[f"{what}_counts"] = pack_counts(getattr(block, f"{what}_counts")[part])
+            rows.append(row)
+        return pd.DataFrame(rows, columns=["bucket", "block", *[f"{x}{what}{y}" for what in KINDS for x, y in (("n_", ""), ("", "_keys"), ("", "_counts"))]])
 
     return ask
 
 
 def _totals(asked: pd.DataFrame) -> pd.DataFrame:
-    """Answers to every block's questions of a bucket: the training counts of its words and pairs over all blocks."""
-    answers = {}
-    for what in ("word", "pair"):
-        n = asked[f"n_{what}s"].to_numpy()
-        keys = np.concatenate([unpack_keys(bytes(k)) if m else np.empty(0, np.uint64) for k, m in zip(asked[f"{what}s"], n)])
+    """Answers to every block's questions of a bucket: the training counts of its words, pairs and triples over all blocks."""
+    out = {"block": asked["block"], "bucket": asked["bucket"]}
+    for what in KINDS:
+        n = asked[f"n_{what}"].to_numpy()
+        keys = np.concatenate([unpack_keys(bytes(k)) if m else np.empty(0, np.uint64) for k, m in zip(asked[f"{what}_keys"], n)])
         counts = np.concatenate([unpack_counts(bytes(c), m) for c, m in zip(asked[f"{what}_counts"], n)])
         _, _, where = distinct(keys, np.zeros(len(keys), bool))
         total = np.bincount(where, counts).astype(np.int64)[where] if len(keys) else counts
-        answers[what] = [pack_counts(c) for c in np.split(total, np.cumsum(n)[:-1])]
-    return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "n_words": asked["n_words"],
-                         "n_pairs": asked["n_pairs"], "word_totals": answers["word"], "pair_totals": answers["pair"]})
+        out[f"n_{what}"] = asked[f"n_{what}"]
+        out[f"{what}_totals"] = [pack_counts(c) for c in np.split(total, np.cumsum(n)[:-1])]
+    return pd.DataFrame(out)
 
 
 def _repeats(count: np.ndarray) -> np.ndarray:
@@ -154,20 +174,85 @@ def _repeats(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, c / (c + FRESH * c ** GROWTH), 0.0)
 
 
-def walk(words: np.ndarray, firsts: np.ndarray, word_at: np.ndarray, pair_at: np.ndarray, word_total: np.ndarray,
-         pair_total: np.ndarray, start_total: int, log_all: float) -> np.ndarray:
-    """Log-probability of every token on one way through the automaton, all texts at once. The state before a token is
-    the word read last (the start of a text first), so the states of all steps are known ahead of the weights."""
-    root = np.log10(word_total + 1.0) - log_all
-    token_root = root[word_at]
-    state_count = np.empty(len(words), np.int64)
-    state_count[1:] = word_total[word_at][:-1]
-    state_count[firsts[:-1]] = start_total
-    repeat = _repeats(state_count)
-    seen = pair_total[pair_at]
-    arc = np.log10(repeat * seen / np.maximum(state_count, 1) + (1 - repeat) * 10.0 ** token_root)
-    failure = np.log10(1 - repeat)
-    return np.where(seen > 0, arc, failure + token_root)
+class Automaton:
+    """The states and arcs that the tokens of a block can reach.
+
+    States are numbers: the words of the block, then the start of a text, the root, and the block's pairs. `fails_to` and `failure` hold every
+    state's failure arc. A word state has an arc for every pair (word, next) that was seen, a pair state for every triple, the
+    root for every word.
+    """
+
+    def __init__(self, block: _Block, totals: dict[str, np.ndarray], texts: int, log_all: float):
+        self.block, self.totals = block, totals
+        words, pairs = totals["word"], totals["pair"]
+        n = len(words)
+        self.start, self.root, self.pairs = n, n + 1, n + 2
+        at, place = block.word_at, np.arange(len(block.words))
+        is_first = np.zeros(len(place), bool)
+        is_first[block.firsts[:-1]] = True
+        # One token of every pair and triple tells the states it leads from and to.
+        example = np.empty(len(block.pair), np.int64)
+        example[block.pair_at] = place
+        before = np.where(is_first[example], self.start, at[example - 1])
+        states = np.concatenate([words, [texts, 0], pairs])
+        share = _repeats(states)
+        self.failure = np.log10(1 - share)
+        self.fails_to = np.full(len(states), self.root)
+        self.fails_to[self.pairs:] = np.where(words[at[example]] > 0, at[example], self.root)
+        self.at_root = np.log10(words + 1.0) - log_all
+        p_pair = share[before] * pairs / np.maximum(states[before], 1) + (1 - share[before]) * 10.0 ** self.at_root[at[example]]
+        self.pair_arc = np.log10(p_pair)
+        third = np.empty(len(block.triple), np.int64)
+        third[block.triple_at] = place
+        context = np.where(is_first[third], self.root, self.pairs + block.pair_at[third - 1])
+        p_triple = share[context] * totals["triple"] / np.maximum(states[context], 1) + (1 - share[context]) * p_pair[block.pair_at[third]]
+        self.triple_arc = np.log10(p_triple)
+        self.states = states
+
+    def state_after(self, tokens: np.ndarray) -> np.ndarray:
+        """The longest seen of a token's pair, its word, and nothing."""
+        word, pair = self.block.word_at[tokens], self.block.pair_at[tokens]
+        return np.where(self.totals["pair"][pair] > 0, self.pairs + pair, np.where(self.totals["word"][word] > 0, word, self.root))
+
+    def read(self, state: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step: (weight, next state) of reading `tokens` (places in the block) in `state`."""
+        word, pair, triple = self.block.word_at[tokens], self.block.pair_at[tokens], self.block.triple_at[tokens]
+        weight = np.zeros(len(tokens))
+        on_pair = state >= self.pairs
+        follows = on_pair & (self.totals["triple"][triple] > 0)
+        weight[follows] = self.triple_arc[triple[follows]]
+        fails = on_pair & ~follows
+        weight[fails] = self.failure[state[fails]]
+        here = np.where(fails, self.fails_to[state], state)
+        on_word = ~follows & (here < self.root)
+        follows_word = on_word & (self.totals["pair"][pair] > 0)
+        weight[follows_word] += self.pair_arc[pair[follows_word]]
+        fails = on_word & ~follows_word
+        weight[fails] += self.failure[here[fails]]
+        at_root = ~follows & ~follows_word
+        weight[at_root] += self.at_root[word[at_root]]
+        return weight, self.state_after(tokens)
+
+
+def walk(automaton: Automaton, segment: int = SEGMENT) -> np.ndarray:
+    """Log10 probability of every text of the block: all texts are read from left to right together, each carrying its state. A long
+    text is read in segments; the state that a segment begins in is the one the segment before it ends in, which its last token tells."""
+    firsts = automaton.block.firsts
+    sizes = np.diff(firsts)
+    pieces = -(-sizes // segment)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = firsts[text] + number * segment
+    length = np.minimum(segment, firsts[text + 1] - begin)
+    order = np.argsort(-length, kind="stable")
+    text, begin, length, number = text[order], begin[order], length[order], number[order]
+    state = np.where(number == 0, automaton.start, automaton.state_after(np.maximum(begin - 1, 0)))
+    total = np.zeros(len(text))
+    still = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")     # pieces longer than t
+    for t, n in enumerate(still):
+        weight, state[:n] = automaton.read(state[:n], begin[:n] + t)
+        total[:n] += weight
+    return np.bincount(text, total, len(sizes))
 
 
 def _scores(buckets: int, train_tokens: int, train_words: int, train_texts: int):
@@ -176,17 +261,15 @@ def _scores(buckets: int, train_tokens: int, train_words: int, train_texts: int)
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block = _Block(docs, buckets)
         answers = answers.sort_values("bucket")
-        whole = lambda what: np.concatenate([np.empty(0, np.int64)] + [
-            unpack_counts(bytes(c), n) for c, n in zip(answers[f"{what}_totals"], answers[f"n_{what}s"])])
-        word_total, pair_total = whole("word"), whole("pair")
-        logs = walk(block.words, block.firsts, block.word_at, block.pair_at, word_total, pair_total, train_texts, log_all)
-        n = np.diff(block.firsts)
+        totals = {what: np.concatenate([np.empty(0, np.int64)] + [
+            unpack_counts(bytes(c), n) for c, n in zip(answers[f"{what}_totals"], answers[f"n_{what}"])]) for what in KINDS}
+        n, words = np.diff(block.firsts), totals["word"]
         return pd.DataFrame({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n,
-            "n_known": per_text((word_total > 0)[block.word_at].astype(float), block.firsts).round().astype(np.int64),
+            "n_known": per_text((words > 0)[block.word_at].astype(float), block.firsts).round().astype(np.int64),
             "train_tokens": train_tokens,
-            "base_score": per_text(np.log10(word_total + 1.0)[block.word_at], block.firsts) - n * log_all,
-            "score": per_text(logs, block.firsts),
+            "base_score": per_text(np.log10(words + 1.0)[block.word_at], block.firsts) - n * log_all,
+            "score": walk(Automaton(block, totals, train_texts, log_all)),
         })
 
     return score
@@ -210,20 +293,20 @@ def _vocabulary(docs: DataFrame) -> tuple[int, int, int]:
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. A NULL text is an empty one,
     which still has its end. Rows with a NULL id are neither held out nor learnt from. Repeated rows count as often as
-    they occur. Without training rows every word is unknown and both scores are 0."""
+    they occur, and are dealt into blocks each on its own. Without training rows every word is unknown and both scores are 0."""
     rows = docs.select(
         "doc_id", is_fold(F.col("doc_id"), FOLDS, HELD).alias("held_out"), learnable(F.col("doc_id"), FOLDS, HELD).alias("learn"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = max(1, math.ceil(size / max(block_bytes, math.sqrt(GROWTH_BYTES * size))))
     train_tokens, train_words, train_texts = _vocabulary(rows)
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # By the row's place, so that rows of the same id and text are spread.
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     questions = blocked.groupBy("block").applyInPandas(
-        _questions(blocks), "bucket int, block int, n_words int, n_pairs int, words binary, word_counts binary, "
-                            "pairs binary, pair_counts binary")
+        _questions(blocks), "bucket int, block int, " + ", ".join(f"n_{w} int, {w}_keys binary, {w}_counts binary" for w in KINDS))
     answers = questions.groupBy("bucket").applyInPandas(
-        _totals, "block int, bucket int, n_words int, n_pairs int, word_totals binary, pair_totals binary")
+        _totals, "block int, bucket int, " + ", ".join(f"n_{w} int, {w}_totals binary" for w in KINDS))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _scores(blocks, train_tokens, train_words, train_texts),
