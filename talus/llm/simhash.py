@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from talus.llm.common import row_column
+from talus.llm.common import row_column, small_batches
 from talus.operators.cluster import connected_components
-from talus.runtime import cut_lineage
+from talus.runtime import attach_to_groups, cut_lineage
 
 SHINGLE = 3
 DISTANCE = 2
@@ -63,7 +63,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs -> (row, print): a NULL text has the fingerprint of an empty one."""
-    return docs.select(row_column(docs)).withColumn(
+    return small_batches(docs).select(row_column(docs)).withColumn(
         "print", _fingerprints(F.coalesce(F.col("row.text").cast("binary"), F.lit(b""))))
 
 
@@ -108,7 +108,7 @@ def classes(docs: DataFrame) -> DataFrame:
     reached = connected_components(touched, edges).toDF("print", "class")
     labelled = narrow.join(reached, "print", "left").withColumn("class", F.coalesce("class", "print"))
     firsts = labelled.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = labelled.select("print", "class").join(firsts, "class")
+    named = attach_to_groups(labelled.select("print", "class"), firsts, ["class"])
     return marked.join(named.select(F.col("print").alias("_print"), "class", "component_id"),
                        F.col("print").eqNullSafe(F.col("_print"))).drop("_print")
 
