@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
-from talus.llm.common import row_column
+from talus.llm.common import row_column, small_batches
 
 END = "\ue000"          # stands for the end-of-word suffix; no byte symbol uses it
 REMEMBERED = 200_000    # words a worker remembers before it starts anew
@@ -200,7 +200,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((len(ids), sha(encoder.ids_text(ids)), sha(encoder.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(row_column(docs)).withColumn("made", digests(F.coalesce(F.col("row.text"), F.lit(""))))
+    rows = small_batches(docs).select(row_column(docs)).withColumn("made", digests(F.coalesce(F.col("row.text"), F.lit(""))))
     return rows.select("row", "made.*")
 
 
@@ -215,7 +215,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pd.Series([encoder.encode(t) for t in batch])
 
-    return docs.select(row_column(docs)).withColumn("ids", ids(F.coalesce(F.col("row.text"), F.lit(""))))
+    return small_batches(docs).select(row_column(docs)).withColumn("ids", ids(F.coalesce(F.col("row.text"), F.lit(""))))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from talus.functions.text import once
 # Words are runs of bytes other than space and 0x09-0x0D; bytes.split() cuts exactly there.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_ROWS = 1000
 _U64 = np.uint64
 
 
@@ -20,6 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, its session set to hand Python at most `BATCH_ROWS` rows at once: texts are long, and a worker holds a batch
+    several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def row_column(docs: DataFrame) -> Column:
     """All columns of a row as one struct, so that an operator's own columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

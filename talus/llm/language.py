@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from talus.llm.common import _LOWER_BYTE, capped, chunks, is_fold, learnable, row_column
+from talus.llm.common import _LOWER_BYTE, capped, chunks, is_fold, learnable, row_column, small_batches
 
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_TEXTS = 6000
@@ -197,7 +197,7 @@ def shortened(x: np.ndarray, seed: int = 3) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, reject: bool = False) -> Model | None:
     """Fit on a bounded sample per language of the labelled rows outside the held-out fold. With `reject` the network
     learns what is no language, too, as one label more, `und`, and windows of all lengths."""
-    known = docs.select("doc_id", "lang", "text").where(
+    known = small_batches(docs).select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"), FOLDS, HELD) & F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     per_language = max(1, min(per_language, SAMPLE_TEXTS // max(1, len(counts))))
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     text = F.col("row.text")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(row_column(docs))
+    rows = small_batches(docs).select(row_column(docs))
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.when(lettered, 0.0).otherwise(float("inf")).alias("no_language"))

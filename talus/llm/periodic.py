@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from talus.llm.common import WORD_GAP, chunks, computed, row_column
+from talus.llm.common import WORD_GAP, chunks, computed, row_column, small_batches
 
 REPEATS = 4
 LEAST_WORDS = 6
@@ -239,7 +239,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"n_words": np.array(sizes, np.int64), "starts": columns[0], "lengths": columns[1], "periods": columns[2],
                                 "collapsed": pd.Series(rest, dtype=object)})
 
-    found = docs.select(row_column(docs)).withColumn(
+    found = small_batches(docs).select(row_column(docs)).withColumn(
         "found", find(F.coalesce(F.col("row.text").cast("binary"), F.lit(b""))))
     zipped = F.arrays_zip(F.col("found.starts").alias("start"), F.col("found.lengths").alias("length"), F.col("found.periods").alias("period"))
     return found.select("row", "found.n_words", zipped.alias("runs"), "found.collapsed")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from talus.llm.common import (
-    _BASE, _BYTE_VALUE, _UNBASE, _powers, capped, chunks, is_fold, learnable, mix, row_column, word_hashes,
+    _BASE, _BYTE_VALUE, _UNBASE, _powers, capped, chunks, is_fold, learnable, mix, row_column, small_batches, word_hashes,
 )
 
 SAMPLE_PER_CLASS = 3000
@@ -109,10 +109,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight
     state = [np.zeros(1), np.zeros(len(chosen)), random.normal(0, 0.05, (len(chosen), FACTORS))]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
     for step in range(1, steps + 1):
-        bias, w, v = state
+        # The matrix stays in single precision; the weights and their averages are kept in double.
+        bias, w, v = (s.astype(np.float32) for s in state)
         inner = x @ v
         total = bias + x @ w + 0.5 * (inner ** 2 - squares @ (v * v)).sum(1)
-        slope = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels) * weight
+        slope = ((1 / (1 + np.exp(-np.clip(total, -40, 40))) - labels) * weight).astype(np.float32)
         per_term = x.T @ slope
         grads = [slope.sum(keepdims=True), per_term + decay * w,
                  x.T @ (slope[:, None] * inner) - (squares.T @ slope)[:, None] * v + decay * v]
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000
     # About 2 * per_class ids whatever the size of the table.
     sample = F.broadcast(known.where(drawn))
-    texts = capped(docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(sample, "doc_id"),
+    texts = capped(small_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(sample, "doc_id"),
                    "label", 2 * per_class)
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     text = F.coalesce(F.col("row.text").cast("binary"), F.lit(b""))
     return (
-        docs.select(row_column(docs)).withColumn("score", judge(text))
+        small_batches(docs).select(row_column(docs)).withColumn("score", judge(text))
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     )
 

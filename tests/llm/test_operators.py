@@ -102,25 +102,77 @@ def test_lm_score(docs, block):
     assert base[7, len(brute.words(dict(plain())[7])) + 1].score > base[7, len(brute.words(dict(plain())[7])) + 1].base_score
 
 
-def test_lm_weights_of_a_state_sum_to_one():
-    texts = [b"a b a c", b"a b b", b"c a b"]
-    words, firsts = scoring.tokens(texts)
-    learn = np.ones(len(words), bool)
-    kinds, counts, at = scoring.distinct(words, learn)
-    before = scoring.contexts(words, firsts)
-    _, pair_counts, pair_at = scoring.distinct(scoring.pair_keys(before, words, 1), learn)
-    log_all = np.log10(len(words) + len(kinds) + 1)
-    # Total over all words after "a", the unknown word included.
-    state = words[0]
-    total = 0.0
-    c = counts[at[0]]
-    s = scoring._repeats(np.array([c]))[0]
-    for k in range(len(kinds)):
-        pairs = np.flatnonzero((before == state) & (at == k))
-        n = pair_counts[pair_at[pairs[0]]] if len(pairs) else 0
-        total += s * n / c + (1 - s) * 10 ** (np.log10(counts[k] + 1.0) - log_all)
-    total += (1 - s) * 10 ** -log_all
-    assert total == pytest.approx(1.0)
+def lm_scores(docs):
+    """Log10 probability of every text by the interpolated formula, with counts of words, pairs and triples in dictionaries."""
+    seq = [(i, [None] + [("w", w) for w in brute.words(brute.lower(t))] + ["end"]) for i, t in docs]
+    one, two, three, texts = Counter(), Counter(), Counter(), 0
+    for i, ws in seq:
+        if brute.fold(i, 7) not in (2, None):
+            texts += 1
+            one.update(ws[1:])
+            two.update(zip(ws, ws[1:]))
+            three.update(zip(ws, ws[1:], ws[2:]))
+    n, v = sum(one.values()), len(one)
+    rep = lambda c: c / (c + scoring.FRESH * c ** scoring.GROWTH) if c else 0.0
+
+    def p(history, w):
+        lower = (one[w] + 1) / (n + v + 1)
+        c = texts if history[-1] is None else one[history[-1]]
+        if c:
+            lower = rep(c) * two[history[-1], w] / c + (1 - rep(c)) * lower
+        if len(history) > 1 and two[tuple(history)]:
+            c = two[tuple(history)]
+            lower = rep(c) * three[(*history, w)] / c + (1 - rep(c)) * lower
+        return lower
+
+    return [(i, sum(math.log10(p(ws[max(0, k - 2):k], ws[k])) for k in range(1, len(ws)))) for i, ws in seq], p, one
+
+
+@pytest.mark.parametrize("block", [1 << 20, 4000])
+def test_lm_scores_equal_the_formula(docs, block, monkeypatch):
+    monkeypatch.setattr(scoring, "SEGMENT", 50)      # read in the driver; workers keep the longer one
+    want, _, _ = lm_scores(plain())
+    key = lambda r: (repr(r[0]), r[1])
+    for got_, (i, value) in zip(sorted(((r.doc_id, r.score) for r in scoring.score(docs, block_bytes=block).collect()), key=key), sorted(want, key=key)):
+        assert got_[0] == i and got_[1] == pytest.approx(value, rel=1e-9)
+
+
+def whole_automaton(texts):
+    import pandas as pd
+
+    block = scoring._Block(pd.DataFrame({"text": texts, "learn": True, "block": 0}), 3)
+    totals = {what: getattr(block, f"{what}_counts") for what in scoring.KINDS}
+    log_all = np.log10(len(block.words) + len(block.word) + 1)
+    return scoring.Automaton(block, totals, len(texts), log_all), log_all
+
+
+def test_lm_segments_carry_the_state():
+    texts = [b"a b a c a b a b c", b"a b b", b"", b"c a b a c a b a b c b a"]
+    automaton, _ = whole_automaton(texts)
+    whole = scoring.walk(automaton)
+    for segment in (1, 2, 3, 7):
+        assert scoring.walk(automaton, segment) == pytest.approx(whole, rel=1e-12)
+
+
+def test_lm_weights_of_every_state_sum_to_one():
+    """All words (and the unknown one) read in every state by `read` and `walk`: the probabilities add up to one."""
+    train = [b"a b a c", b"a b b", b"c a b"]
+    histories = [b"", b"a", b"a b", b"b b", b"c", b"c a", b"b a c", b"zz", b"a zz"]
+    words = [b"a", b"b", b"c", b"", b"unknown"]
+    for history in histories:
+        texts = [b" ".join(x for x in (history, w) if x) for w in words]
+        import pandas as pd
+
+        rows = pd.DataFrame({"text": train + texts, "learn": [True] * 3 + [False] * 5, "block": 0})
+        block = scoring._Block(rows, 3)
+        totals = {what: getattr(block, f"{what}_counts") for what in scoring.KINDS}
+        n, kinds = int(totals["word"].sum()), int((totals["word"] > 0).sum())
+        automaton = scoring.Automaton(block, totals, 3, math.log10(n + kinds + 1))
+        at = block.firsts[3:-1] + len(history.split())       # the token that follows the history
+        state = automaton.state_after(at - 1) if history else np.full(5, automaton.start)
+        weight, _ = automaton.read(state, at)
+        assert len(set(state.tolist())) == 1
+        assert (10 ** weight).sum() == pytest.approx(1.0), history
 
 
 def test_lm_empty(none):
