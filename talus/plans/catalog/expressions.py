@@ -158,4 +158,3 @@ def p26(dom: Domain):
     return dom.zones.select("id", features.complete(row).alias("complete"))
 
 
-_ = d

@@ -191,14 +191,29 @@ def w07(dom: Domain):
 
 # Model -----------------------------------------------------------------------------------------
 
+def dataset(dom: Domain) -> susceptibility.Dataset:
+    """The dataset job over the box."""
+    return susceptibility.build_dataset(dom.events, dom.rainfall, dem(dom), landcover(dom), BOX, work_path(dom.spark, "training"), dom.polygons,
+                                        ratio=1, buffer_km=0.4)
+
+
 def training(dom: Domain):
-    """Labelled features of the box's events and of negatives drawn in it: written, then read back."""
-    base = work_path(dom.spark, "training")
-    stored = sinks.write_negatives(negatives(dom)[0], f"{base}/negatives")
-    positives = features.event_points(susceptibility.positives_in_box(dom.events, BOX))
-    rows = susceptibility.training_set(positives, stored, dom.rainfall, dem(dom), landcover(dom), dom.events)
-    rows.write.mode("overwrite").parquet(f"{base}/features")
-    return dom.spark.read.parquet(f"{base}/features")
+    """Labelled features of the box's events and of negatives drawn in it, complete rows only."""
+    return dataset(dom).rows
+
+
+@query("c03_sampling_report")
+def c03_report(dom: Domain):
+    """Requested and accepted negatives, the shortfall, and the attempts per outcome."""
+    return dataset(dom).sampling
+
+
+@query("c05_dataset_job", f"""SELECT label, rainfall_30d, elevation_m, historical_landslide_count FROM feat WHERE {CRITICAL}""",
+       **feature_views("""SELECT 'event_' || id AS point_id, latitude, longitude, coalesce(event_date, created_at) AS as_of, 1 AS label FROM haz
+           WHERE latitude BETWEEN 26 AND 28 AND longitude BETWEEN 88 AND 90"""))
+def c05_job(dom: Domain):
+    """The positives of the whole job, which are those of the box; its negatives are drawn at random."""
+    return dataset(dom).rows.where("label = 1").select("label", "rainfall_30d", "elevation_m", "historical_landslide_count")
 
 
 def fitted(dom: Domain, with_density: bool):
@@ -208,7 +223,7 @@ def fitted(dom: Domain, with_density: bool):
 @query("p25_feature_vector")
 def p25(dom: Domain):
     names = features.feature_names()
-    rows = features.encoded(features.training_rows(training(dom)))
+    rows = features.encoded(training(dom))
     vector = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="error").transform(rows)
     return vector.select("point_id", "label", *[F.get(vector_to_array("vector"), F.lit(i)).alias(n) for i, n in enumerate(names)])
 

@@ -11,7 +11,7 @@ from talus.plans.bindings import Domain
 from talus.plans.catalog import CATALOG
 from talus.plans.catalog.expressions import COORD, REC_MISSING, REC_SCORE
 from talus.plans.catalog.spatial import CONTAINED
-from talus.runtime import spread
+from talus.runtime import spread, work_path
 from talus.sources import files, sinks
 
 query = CATALOG.query
@@ -209,3 +209,28 @@ def z05(dom: Domain):
     return count.select(
         "records", box.select("min_latitude").scalar().alias("min_latitude"), box.select("max_latitude").scalar().alias("max_latitude"),
         missing.where(F.col("column") == "Date").select("missing").scalar().alias("missing_dates"))
+
+
+def _inventory(dom: Domain) -> str:
+    """The messy inventory as CSV files in its own order, several of them."""
+    folder = work_path(dom.spark, "inventory")
+    dom.raw_events.orderBy("_order").select("row_key", *BLANKS).write.option("header", True).csv(folder)
+    return f"{folder}/*.csv"
+
+
+@query("p09_file_positions", """SELECT row_key, CAST(idx AS BIGINT) AS "index", 'inventory-' || idx AS location_id FROM raw_events""")
+def p09_files(dom: Domain):
+    """Rows numbered by their place in the files, without a sort."""
+    rows = ingestion.numbered(files.read_csv(dom.spark, _inventory(dom)))
+    normal = ingest.normalize_records(rows.withColumn("_order", F.struct(F.col("row_key").cast("long").alias("row_key"), "index")), "inventory", F.col("index"))
+    return normal.select("_order.row_key", "_order.index", "location_id")
+
+
+@query("z05_inspect_file", """SELECT 'csv' AS file_type, (SELECT count(*) FROM nums) AS records, 'Latitude' AS latitude_column, 'lng' AS longitude_column, 'Date' AS date_column,
+    (SELECT count(*) FILTER (dt IS NULL) FROM nums) AS missing_dates, (SELECT string_agg(CAST(row_key AS VARCHAR), ',' ORDER BY idx) FROM (SELECT * FROM raw_events WHERE idx < 3)) AS first_rows,
+    (SELECT min(lat) FILTER (lon IS NOT NULL) FROM nums) AS min_latitude, (SELECT max(lon) FILTER (lat IS NOT NULL) FROM nums) AS max_longitude""", nums=REC["nums"])
+def z05_file(dom: Domain):
+    seen = ingestion.inspect_file(dom.spark, _inventory(dom))
+    first = F.array_join(F.transform("sample_rows", lambda r: F.get_json_object(r, "$.row_key")), ",")
+    return seen.select("file_type", "records", "latitude_column", "longitude_column", "date_column", F.col("missing_cells")["Date"].alias("missing_dates"),
+                       first.alias("first_rows"), "min_latitude", "max_longitude")

@@ -8,11 +8,12 @@ from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from talus import vocab
 from talus.functions.quality import event_completeness
 from talus.operators import ingest, polygons
-from talus.runtime import cut_lineage, positions
+from talus.runtime import broadcast_if_small, cut_lineage, positions
 from talus.sources import files, registry, sinks
 from talus.sources.known_keys import KnownKeys
 
@@ -31,8 +32,23 @@ class Ingested:
 
 
 def numbered(raw: DataFrame) -> DataFrame:
-    """Rows with their consecutive position in the file, from 0."""
-    return positions(raw, [F.col("_order")], name="index").withColumn("index", F.col("index") - 1)
+    """Rows with their consecutive position in the file, from 0.
+
+    Rows that were read from files know their file, split and place: the rows of every split are counted, and the rows before a
+    split are added to the places inside it. Other rows are ranked by their `_order`.
+    """
+    order = raw.schema["_order"].dataType
+    if not isinstance(order, StructType) or order.names != files.ORDER_FIELDS:
+        return positions(raw, [F.col("_order")], name="index").withColumn("index", F.col("index") - 1)
+    split = ["_order.file", "_order.block"]
+    sizes = raw.groupBy(*[F.col(c) for c in split]).agg(F.min("_order.at").alias("first"), F.count("*").alias("rows"))
+    # One row per split of the files; the window runs over those.
+    before = sizes.select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), "first",
+        F.expr("coalesce(sum(rows) OVER (ORDER BY file, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("before"))
+    same = (F.col("_order.file") == F.col("_file")) & (F.col("_order.block") == F.col("_block"))
+    return raw.join(broadcast_if_small(before), same).withColumn("index", F.col("_order.at") - F.col("first") + F.col("before")).drop(
+        "_file", "_block", "first", "before")
 
 
 def validate_inventory(raw: DataFrame, source_name: str) -> tuple[DataFrame, DataFrame]:
@@ -154,3 +170,30 @@ def tracked_file(spark: SparkSession, path: str, source_id: str, category: str,
 def inspect(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Row count, missing cells per column, extent."""
     return df.agg(F.count("*").alias("records")), ingest.missing_per_column(df), ingest.bounding_box(df)
+
+
+SAMPLE_ROWS = 3
+
+
+def inspect_file(spark: SparkSession, path: str) -> DataFrame:
+    """One row about an inventory file: its type and, of GeoJSON, the geometry type (of the first feature that has one); rows, columns, the columns taken for latitude,
+    longitude and date, missing cells per column where there are any, the first rows, and the extent."""
+    kind = files.file_type(path)
+    df = files.read_dataset(spark, path, quoted_newlines=True)
+    names = [c for c in df.columns if not c.startswith("_")]
+    found = files.column_map(names)
+    geometry = None
+    if kind == "geojson":
+        first = files.read_features(spark, path).where("geometry_type IS NOT NULL").agg(F.min_by("geometry_type", F.struct("file", "at"))).first()[0]
+        geometry = first or "unknown"
+    gaps = ingest.missing_per_column(df).where("missing > 0").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "missing")))).alias("missing_cells"))
+    head = df.orderBy("_order").limit(SAMPLE_ROWS).select("_order", F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}).alias("row"))
+    sample = head.agg(F.transform(F.sort_array(F.collect_list(F.struct("_order", "row"))), lambda x: x["row"]).alias("sample_rows"))
+    box = ingest.bounding_box(df)
+    text = lambda value: F.lit(value).cast("string")
+    return df.agg(F.count("*").alias("records")).select(
+        text(kind).alias("file_type"), text(geometry).alias("geometry_type"), "records",
+        F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("columns"),
+        *[text(found[f]).alias(f"{f}_column") for f in ("latitude", "longitude", "date")],
+        gaps.scalar().alias("missing_cells"), sample.scalar().alias("sample_rows"),
+        *[box.select(c).scalar().alias(c) for c in box.columns])

@@ -46,6 +46,9 @@ def column_map(headers: list[str], extra: dict[str, list[str]] | None = None) ->
     }
 
 
+ORDER_FIELDS = ["file", "block", "at"]
+
+
 def _order():
     meta = F.col("_metadata")
     return F.struct(
