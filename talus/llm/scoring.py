@@ -13,7 +13,7 @@ block asks for the counts of its distinct words, pairs and triples, adding its o
 of hashes, are summed there, and the totals go back to the blocks, each of which then has the part of the automaton that its
 documents can reach. A block holds `BLOCK_BYTES` of text, or the square root of `GROWTH_BYTES` times the text of a larger corpus: there are as
 many buckets as blocks, so that the rows exchanged grow with the text and not with its square. Words, pairs and triples are 64-bit
-hashes (pairs and triples: a bucket number and 40 bits), packed into byte strings; copies and common words cost one entry per block.
+hashes (pairs: a bucket number and 40 bits, triples: 36), packed into byte strings; copies and common words cost one entry per block.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from talus.llm.common import chunks, is_fold, learnable, mix, per_text, word_hashes
 
 FOLDS, HELD = 7, 2
-BLOCK_BYTES = 8 << 20
-GROWTH_BYTES = 2 << 10         # blocks grow from 32 GB of text on: 45 MB of text at 1 TB
+BLOCK_BYTES = 12 << 20
+GROWTH_BYTES = 4 << 10         # blocks grow from 36 GB of text on: 64 MB of text at 1 TB
 SEGMENT = 4096                 # tokens of a text read in one go
 FRESH, GROWTH = 6.0, 0.9
 _END = np.uint64(0x1234567890ABCDEF >> 1)
 _START = np.uint64(0x0FEDCBA098765432 >> 1)
-_PAIR_BITS = np.uint64(40)
+_PAIR_BITS, _TRIPLE_BITS = 40, 36
+_MARK = {3: np.uint64((1 << 24) - 1), 4: np.uint64((1 << 32) - 1)}
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +72,13 @@ def triple_keys(before: np.ndarray, firsts: np.ndarray, pairs: np.ndarray, words
     context = np.empty_like(pairs)
     context[1:] = pairs[:-1]
     context[firsts[:-1]] = _START
-    return pair_keys(context ^ np.uint64(0xA5A5A5A5A5A5A5A5), words, buckets)
+    return pair_keys(context ^ np.uint64(0xA5A5A5A5A5A5A5A5), words, buckets, _TRIPLE_BITS)
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 40 further bits of every pair's hash."""
+def pair_keys(before: np.ndarray, words: np.ndarray, buckets: int, bits: int = _PAIR_BITS) -> np.ndarray:
+    """Bucket and some further bits of every pair's hash."""
     h = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    return (_bucket(h, 64, buckets) << _PAIR_BITS) | (h & np.uint64((1 << 40) - 1))
+    return (_bucket(h, 64, buckets) << np.uint64(bits)) | (h & np.uint64((1 << bits) - 1))
 
 
 def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,15 +96,30 @@ def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and steps of four bytes, or of eight where a step needs them."""
+    """Sorted keys as the first one and steps of three, four or eight bytes, whichever is shortest; a longer step is marked by the
+    largest value and follows in full."""
     steps = np.diff(keys)
-    width = 4 if not len(steps) or steps.max() < 1 << 32 else 8
-    return bytes([width]) + keys[:1].tobytes() + steps.astype(f"u{width}").tobytes()
+    far = {w: np.flatnonzero(steps >= _MARK[w]) for w in (3, 4)}
+    width = min((3, 4, 8), key=lambda w: w * len(steps) + 8 * len(far.get(w, ())))
+    if width == 8:
+        body, full = steps.tobytes(), b""
+    else:
+        small = np.minimum(steps, _MARK[width]).astype("<u4")
+        body = small.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+        full = steps[far[width]].tobytes()
+    return bytes([width]) + (len(full) // 8).to_bytes(4, "little") + keys[:1].tobytes() + body + full
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, f"u{data[0]}", offset=9)
-    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), steps.astype(np.uint64)]), dtype=np.uint64)
+    width, far = data[0], int.from_bytes(data[1:5], "little")
+    end = len(data) - 8 * far
+    raw = np.frombuffer(data, np.uint8, end - 13, 13).reshape(-1, width)
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, :width] = raw
+    steps = steps.view("<u8").ravel()
+    if far:
+        steps[steps == _MARK[width]] = np.frombuffer(data, np.uint64, far, end)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 5), steps]), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -129,8 +145,8 @@ class _Block:
         pairs = pair_keys(before, self.words, buckets)
         self.pair, self.pair_counts, self.pair_at = distinct(pairs, learn)
         self.triple, self.triple_counts, self.triple_at = distinct(triple_keys(before, self.firsts, pairs, self.words, buckets), learn)
-        of = {"word": _bucket(self.word, 63, buckets).astype(np.int64), "pair": (self.pair >> _PAIR_BITS).astype(np.int64),
-              "triple": (self.triple >> _PAIR_BITS).astype(np.int64)}
+        of = {"word": _bucket(self.word, 63, buckets).astype(np.int64), "pair": (self.pair >> np.uint64(_PAIR_BITS)).astype(np.int64),
+              "triple": (self.triple >> np.uint64(_TRIPLE_BITS)).astype(np.int64)}
         self.asked = np.unique(np.concatenate([np.unique(b) for b in of.values()]))
         self.cuts = {what: [*np.searchsorted(b, self.asked), len(b)] for what, b in of.items()}
 

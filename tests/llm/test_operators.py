@@ -180,9 +180,13 @@ def test_lm_empty(none):
 
 
 def test_packing_round_trip():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 1000).astype(np.uint64))
+    random_ = np.random.default_rng(1)
+    for size in (1 << 62, 1 << 33, 1 << 27, 1 << 20):
+        for n in (1, 2, 1000):
+            keys = np.unique(np.append(random_.integers(0, size, n), [size, size + (1 << 24) - 1, size + (1 << 25)]).astype(np.uint64))
+            assert (scoring.unpack_keys(scoring.pack_keys(keys)) == keys).all()
+            assert (scoring.unpack_keys(scoring.pack_keys(keys[:1])) == keys[:1]).all()
     counts = np.array([0, 1, 254, 255, 256, 1 << 40])
-    assert (scoring.unpack_keys(scoring.pack_keys(keys)) == keys).all()
     assert (scoring.unpack_counts(scoring.pack_counts(counts), 6) == counts).all()
 
 
