@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from talus import vocab
 from talus.runtime import cut_lineage, positions
 
+# A graph of at most this many edges is settled with its nodes' smallest neighbours broadcast whole.
+SMALL_GRAPH = 100_000
 # A node with fewer edges than this is never taken for a hub.
 HUB = 16
 # A pair of cells with at most this many point pairs is compared point by point.
@@ -29,16 +31,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Rounds of large stars (every node hands the smallest of its neighbours to the larger ones) and small stars (to the smaller
     ones) until every node points at the smallest of its component. A round is one action, which stores the edges and counts them on the
-    way. The neighbours of a hub never meet in one task: the smallest of them is combined before the shuffle and handed out by
-    broadcast to the rows where they lie.
+    way (two for a graph of more than `SMALL_GRAPH` edges). The neighbours of a hub never meet in one task: the smallest of them is
+    combined before the shuffle and handed out by broadcast to the rows where they lie.
     """
     ordered = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     held, count, mark = _stored_edges(ordered)
     while count:
         both = held.union(held.select(F.col("b"), F.col("a")))
         large = _handed(both.toDF("u", "v"), 2 * count).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = large.distinct() if count <= SMALL_GRAPH else cut_lineage(large.distinct())
         # An edge between the node and its smallest neighbour is handed to itself and is not needed a second time.
-        small = _handed(large.distinct().toDF("u", "v"), count)
+        small = _handed(large.toDF("u", "v"), count)
         turned = small.select(F.col("u").alias("a"), F.col("m").alias("b")).union(
             small.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")))
         held, count, again = _stored_edges(turned)
@@ -60,6 +63,8 @@ def _stored_edges(edges: DataFrame) -> tuple[DataFrame, int, tuple]:
 
 def _handed(pairs: DataFrame, count: int) -> DataFrame:
     """(u, v) with m, the smallest of u and its v. The rows of a node with more than its share of them stay where they are."""
+    if count <= SMALL_GRAPH:
+        return pairs.join(F.broadcast(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "u")
     share = max(HUB, count // (4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > share).select("u", "m"))  # four per partition at most
