@@ -57,7 +57,10 @@ def test_clusters_equal_textbook(spark, least, direct):
     assert got == dbscan(points, 0.1, least)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components_of_long_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(cluster, "SMALL_GRAPH", small)
+    monkeypatch.setattr(cluster, "HUB", 2)
     chain = [(i, i + 1) for i in range(0, 300) if i % 100 != 99]
     rng = random.Random(4)
     rename = list(range(302))
@@ -162,3 +165,46 @@ def test_forest_learns_and_withholds_incomplete_rows(spark):
     assert scored["p1"]["susceptibility_score"] > scored["p0"]["susceptibility_score"]
     weights = model.importances(fitted, features.feature_names())
     assert len(weights) == 17 and abs(sum(w for _, w in weights) - 1) < 0.01
+
+
+def _reads_per_task(spark, run):
+    """Shuffle records read by every task of the stages that `run` causes."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    context.setJobGroup("reads", "reads")
+    try:
+        run()
+    finally:
+        context._jsc.clearJobGroup()
+    stages = {}
+    for job in tracker.getJobIdsForGroup("reads"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            try:
+                tasks = jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.taskList(stage, 0, 1000))
+            except Exception:  # noqa: BLE001 - a stage that was skipped has no tasks
+                continue
+            stages[stage] = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined()]
+    return stages
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_the_leaves_of_a_star_do_not_meet_in_one_task(spark, monkeypatch, small):
+    monkeypatch.setattr(cluster, "SMALL_GRAPH", small)
+    n = 100_000
+    nodes, hub = spark.range(n + 1).toDF("node"), F.lit(n).cast("long")
+    edges = spark.range(n).repartition(8).select(F.col("id").alias("a"), hub.alias("b"))
+    options = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        result = {}
+        reads = _reads_per_task(spark, lambda: result.update(r=cluster.connected_components(nodes, edges).groupBy("component").count().collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r["component"], r["count"]) for r in result["r"]] == [(0, n + 1)]
+    # Tasks of a union that read stored rows read nothing from a shuffle.
+    heavy = [sorted(x for x in t if x) for t in reads.values() if sum(t) > n / 2]
+    uneven = [t for t in heavy if len(t) < 8 or t[-1] > 2 * t[len(t) // 2]]
+    assert heavy and not uneven, uneven
