@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from talus.llm.common import row_column, small_batches
 
 END = "\ue000"          # stands for the end-of-word suffix; no byte symbol uses it
-REMEMBERED = 200_000    # words a worker remembers before it starts anew
+REMEMBERED = 120_000    # words a worker remembers before it starts anew
 _NEVER = 1 << 40
 # Below U+0300, but for control characters, normalization is lower-casing and the character classes are settled.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")

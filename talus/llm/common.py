@@ -102,7 +102,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006 - grows once per worker
     if len(kept.get(base, ())) < n:
-        p = np.full(max(n, 1 << 21), base, _U64)
+        p = np.full(max(n, 1_100_000), base, _U64)    # a chunk of texts and a little more
         p[0] = 1
         kept[base] = np.multiply.accumulate(p)
     return kept[base][:n]
