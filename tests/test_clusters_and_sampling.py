@@ -167,6 +167,16 @@ def test_forest_learns_and_withholds_incomplete_rows(spark):
     assert len(weights) == 17 and abs(sum(w for _, w in weights) - 1) < 0.01
 
 
+def test_a_forest_scores_in_a_session_that_has_observed_something(spark):
+    # A streaming query makes the session's observation manager, which cannot be sent to a task.
+    spark._jsparkSession.observationManager()
+    rows = feature_rows(spark)
+    fitted = model.fit_susceptibility(rows, trees=2)
+    assert not fitted.stages[-1].hasSummary
+    assert model.evaluate(fitted, rows).count() == 2
+    assert model.score_points(fitted, rows).where("available").count() == rows.count()
+
+
 def _reads_per_task(spark, run):
     """Shuffle records read by every task of the stages that `run` causes."""
     context, jvm = spark.sparkContext, spark.sparkContext._jvm
