@@ -26,6 +26,10 @@ _PLACES, _BEFORE = 1 << 33, 1 << 10   # more starts than a text has; more words
 # The phrases of the base rules and their labels.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+# The contract's phrases of the base rules. A licence that is only named is left to the method.
+CONTRACT_BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+NAMED = [("mit", "the mit license", ["the mit license"])]
+
 # Well-known licence notices, the phrases that must stand in them, and their labels.
 NOTICES = [
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
@@ -59,6 +63,11 @@ class Template:
     key_phrases: tuple[tuple[int, tuple[str, ...]], ...]   # (place in the template, words)
     base: bool
 
+    @property
+    def whole(self) -> bool:
+        """Must stand word for word from its first word to its last."""
+        return any(phrase == self.words for _, phrase in self.key_phrases)
+
 
 def templates(notices=NOTICES, base=BASE) -> list[Template]:
     out = [Template(label, tuple(p.split()), ((0, tuple(p.split())),), True) for p, label in base.items()]
@@ -97,11 +106,11 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
     all_ = templates(notices, base)
     vocabulary = sorted({w for t in all_ for w in t.words})
     idf = inverse_frequencies(docs.select("text"), vocabulary)
-    # A base phrase needs one anchor: it must stand in full. A notice is proposed by any of its anchors.
+    # A template that must stand in full needs one anchor. Any other notice is proposed by any of its anchors.
     postings: dict[str, list[tuple[int, int]]] = {}
     for number, t in enumerate(all_):
-        for w in rarest(t.words, idf, 1 if t.base else ANCHORS):
-            for at in [i for i, x in enumerate(t.words) if x == w][:1 if t.base else None]:
+        for w in rarest(t.words, idf, 1 if t.whole else ANCHORS):
+            for at in [i for i, x in enumerate(t.words) if x == w][:1 if t.whole else None]:
                 postings.setdefault(w, []).append((number, at))
     rows = computed(docs.select(row_column(docs)), words=words_of(F.col("row.text")))
     hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(sorted(postings)))
@@ -150,10 +159,10 @@ def _cases(p: Column, cases: list[tuple[int, Column]], other: Column) -> Column:
     return other if out is None else out.otherwise(other)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, notices=NOTICES, base=BASE) -> DataFrame:
     """The contract's columns for every row; repeated rows are scanned each on their own. A NULL or empty text has no words, no
     labels (empty strings), NULL places and score 0."""
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(docs.select("doc_id", "text"), notices, base)
     names = lambda *arrays: F.array_join(F.sort_array(F.array_distinct(F.concat(*[
         F.transform(a, lambda x: x["label"]) for a in arrays]))), ",")
     start = F.transform("places", lambda x: x["start"])

@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": _documents(lambda docs: bpe.digest(docs, public_tokenizers.path(TOKENIZER))),
     "op8_simhash": _documents(simhash.digest),
     "op9_quality": _documents(quality.digest),
-    "op10_licenses": _documents(licenses.digest),
+    "op10_licenses": _documents(lambda docs: licenses.digest(docs, licenses.NOTICES + licenses.NAMED, licenses.CONTRACT_BASE)),
     "op11_whitening": lambda s, d: whitening.digest(table(s, d, "embeddings")),
     "op12_periodic_runs": _documents(periodic.digest),
     "op13_quality_classifier": lambda s, d: rules.digest(table(s, d, "documents"), table(s, d, "labels")),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from talus.llm import bpe, language, licenses, mixing, quality, scoring, sharding, simhash, topk, toxicity
+from talus.llm.queries import QUERIES
 from tests.llm import brute
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -425,3 +426,14 @@ def test_license_words_repeated_in_a_long_text(spark):
     start = time.time()
     row = licenses.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.n_words, row.n_base, row.first_word, row.labels) == (500_003, 1, 500_000, "mit") and time.time() - start < 60
+
+
+def test_license_query_takes_the_phrases_of_its_contract(spark, tmp_path):
+    texts = ["Released under the MIT License.", "the MIT license", "under the mit, under the mit license cc by nc", "mit license under the", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op10_licenses"](spark, str(tmp_path)).collect()}
+    base = {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in rows.items()}
+    assert base == {0: (5, 1, 1, 1, "mit"), 1: (3, 0, None, None, ""), 2: (10, 2, 3, 7, "cc-by-nc,mit"), 3: (4, 0, None, None, ""),
+                    4: (0, 0, None, None, "")}
+    # A licence that is only named keeps its label, by the method.
+    assert (rows[1].labels, rows[1].score, rows[3].labels) == ("mit", 1.0, "")
