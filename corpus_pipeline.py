@@ -22,8 +22,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies (Jaccard similarity of five-word shingles 0.8 or more) stays."""
-    return near_copies.keep_one(docs)
+    """One document of every group of near copies stays: texts are linked by op8's SimHash fingerprints (two or fewer differing bits)
+    and by a Jaccard similarity of their five-word shingles of 0.8 or more."""
+    return near_copies.keep_one(docs, fingerprints=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ meets most others; that is a number of comparisons in proportion to the nodes, a
 buckets that still hold several components are compared whole, pairs of different components alone. Such a bucket of more than
 `PART` nodes is cut into parts and every pair of parts is a piece of its own; a piece yields a forest of the links it found.
 Buckets with the same members are compared once. Shingles are compared by 32 bits of their hash.
+
+With `fingerprints`, texts whose SimHash fingerprints op8 links are near copies, too: the fingerprints come from the first reading,
+and the links of both kinds are followed together.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.llm import simhash
 from talus.llm.common import WORD_GAP, ascii_lower, chunks, mix, row_column, small_batches, word_hashes
 from talus.operators.cluster import connected_components
 from talus.runtime import attach_to_groups, broadcast_if_small, cut_lineage
@@ -113,6 +117,15 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "id": batch["id"].iloc[a:b].array, "keys": list(keys)})
 
 
+def _marks_and_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        prints = np.array([simhash.fingerprint(bytes(t)) for t in batch["text"]], np.uint64).view(np.int64)
+        done = 0
+        for marks in _marks(iter([batch])):
+            yield marks.assign(print=prints[done:done + len(marks)])
+            done += len(marks)
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [bytes(t) for t in batch["text"]]
@@ -168,18 +181,27 @@ def rest_links(met: DataFrame, sets: DataFrame, reached: DataFrame, part: int =
     return whole.groupBy("slot").applyInPandas(_linked, "a binary, b binary").distinct()
 
 
+def print_links(nodes: DataFrame) -> DataFrame:
+    """nodes (node, print) -> edges between every node and the smallest one of those that linked fingerprints connect."""
+    reached = simhash.reached(cut_lineage(nodes.select("print").distinct()))
+    placed = nodes.join(reached, "print", "left").select("node", F.coalesce("class", "print").alias("class"))
+    first = placed.groupBy("class").agg(F.min("node").alias("a"))
+    return attach_to_groups(placed, first, ["class"]).where("a != node").select("a", F.col("node").alias("b"))
+
+
 def _components(edges: DataFrame) -> DataFrame:
     touched = edges.select("a").union(edges.select("b")).distinct().toDF("node")
     return connected_components(touched, edges).toDF("node", "class")
 
 
-def classes(docs: DataFrame, part: int = PART) -> DataFrame:
+def classes(docs: DataFrame, part: int = PART, fingerprints: bool = False) -> DataFrame:
     """docs (doc_id, text) -> (row_key, node, id, class) for every row: `class` is one node of the group that near copies
-    connect."""
+    connect, with `fingerprints` those of linked SimHash fingerprints included."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     binary = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
     rows = small_batches(docs).select(_row_key().alias("row_key"), F.col("doc_id").alias("id"), node(F.col("text")).alias("node"), binary)
-    marks = cut_lineage(rows.mapInPandas(_marks, f"row_key long, node binary, id {id_type}, keys array<long>"))
+    marked, made = (_marks_and_prints, ", print long") if fingerprints else (_marks, "")
+    marks = cut_lineage(rows.mapInPandas(marked, f"row_key long, node binary, id {id_type}, keys array<long>{made}"))
     nodes = marks.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "row_key", F.explode("keys").alias("key"))
     crowds = keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > 1)
@@ -189,19 +211,22 @@ def classes(docs: DataFrame, part: int = PART) -> DataFrame:
     sets = cut_lineage(texts.mapInPandas(_sets, "node binary, shingles array<int>").groupBy("node").agg(
         F.first("shingles").alias("shingles")))
     met = met.drop("row_key")
-    edges = cut_lineage(star_links(met, sets))
+    edges = star_links(met, sets)
+    if fingerprints:
+        edges = edges.union(print_links(cut_lineage(marks.groupBy("node").agg(F.first("print").alias("print")))))
+    edges = cut_lineage(edges)
     reached = _components(edges)
     more = cut_lineage(rest_links(met, sets, reached, part))
     if not more.isEmpty():
         reached = _components(edges.union(more))
-    return marks.drop("keys").join(reached, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return marks.drop("keys", "print").join(reached, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def keep_one(docs: DataFrame, part: int = PART) -> DataFrame:
+def keep_one(docs: DataFrame, part: int = PART, fingerprints: bool = False) -> DataFrame:
     """One document of every group that near copies connect, that with the smallest doc_id, with its own columns; NULL ids
     only where a group has no other. Of repeated rows one stays. The texts are not shuffled while the rows that go are few
     enough to be broadcast."""
-    placed = cut_lineage(classes(docs.select("doc_id", "text"), part).groupBy("class", "row_key").agg(
+    placed = cut_lineage(classes(docs.select("doc_id", "text"), part, fingerprints).groupBy("class", "row_key").agg(
         F.min("id").alias("id"), F.count("*").alias("times")))
     least = F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("least")
     kept = placed.groupBy("class").agg(least).select("class", F.col("least.row_key").alias("kept"))

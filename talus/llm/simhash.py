@@ -97,16 +97,20 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, buc
     return pairs.union(stars).distinct()
 
 
+def reached(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints (print) -> (print, class) for those linked to another: the smallest fingerprint of their chain."""
+    edges = cut_lineage(links(prints))
+    touched = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct().toDF("node")
+    return connected_components(touched, edges).toDF("print", "class")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """docs -> (doc_id, print, class, component_id). `class` is the smallest fingerprint reachable from the document's own,
     `component_id` the smallest doc_id of the class; NULL ids count only where a class has no other. Fingerprints are worked out
     once and stored with the ids; a NULL text has that of an empty one; repeated rows stay repeated. Without rows, none."""
     marked = cut_lineage(with_fingerprint(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "print"))
     narrow = cut_lineage(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
-    edges = cut_lineage(links(narrow.select("print")))
-    touched = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct().toDF("node")
-    reached = connected_components(touched, edges).toDF("print", "class")
-    labelled = narrow.join(reached, "print", "left").withColumn("class", F.coalesce("class", "print"))
+    labelled = narrow.join(reached(narrow.select("print")), "print", "left").withColumn("class", F.coalesce("class", "print"))
     firsts = labelled.groupBy("class").agg(F.min("first").alias("component_id"))
     named = attach_to_groups(labelled.select("print", "class"), firsts, ["class"])
     return marked.join(named.select(F.col("print").alias("_print"), "class", "component_id"),

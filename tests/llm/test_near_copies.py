@@ -123,3 +123,28 @@ def test_rows_repeated_with_other_columns(spark):
 
 def test_nothing(spark):
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_pipeline_also_links_by_fingerprint(spark):
+    """Texts too unlike for the shingles, whose fingerprints op8 links, are near copies for the stage; chains may mix both kinds of links."""
+    r, found = random.Random(3), []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    while len(found) < 3:
+        base = [word() for _ in range(150)]
+        for _ in range(40):
+            copy = list(base)
+            for at in r.sample(range(0, 150, 6), 4):
+                copy[at] = word()
+            a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+            far = 5 * len(a & b) < 4 * len(a | b)
+            bits = (simhash.fingerprint(" ".join(base).encode()) ^ simhash.fingerprint(" ".join(copy).encode())).bit_count()
+            if far and bits <= 2:
+                found.append((base, copy))
+                break
+    data = []
+    for i, (base, copy) in enumerate(found):
+        third = [*copy[:-1], word()]   # alike by shingles to the second only
+        data += [(10 * i, " ".join(base).upper()), (10 * i + 1, " ".join(copy)), (10 * i + 2, " ".join(third))]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in [*data, (90, None), (91, " ")]], SCHEMA)
+    assert sorted(x.doc_id for x in near_copies.keep_one(docs).collect()) == [0, 1, 10, 11, 20, 21, 90]
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 10, 20, 90]
