@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -24,12 +27,21 @@ from tokenizers import Tokenizer
 from talus.llm.common import row_column, small_batches
 
 END = "\ue000"          # stands for the end-of-word suffix; no byte symbol uses it
-REMEMBERED = 120_000    # words a worker remembers before it starts anew
+REMEMBERED = 120_000    # words a worker remembers, half of them those of the last turn
 _NEVER = 1 << 40
 # Below U+0300, but for control characters, normalization is lower-casing and the character classes are settled.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")
-_LETTERS, _MARKS = r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"
-_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}|[\p{{N}}]|{_MARKS}")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")
+_LOWERED = sorted(set("".join(filter(_PLAIN.fullmatch, map(chr, range(0x300)))).lower()))
+
+
+def _listed(kind: str) -> str:
+    """The characters of a kind that a lower-cased plain text can hold, written out: the standard library then finds the same
+    pieces as `regex` would, in half the time."""
+    return "".join(re.escape(c) for c in _LOWERED if regex.fullmatch(kind, c))
+
+
+_LETTER, _NUMBER, _SPACE = _listed(r"\p{L}"), _listed(r"\p{N}"), _listed(r"\s")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -39,6 +51,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class _Words(dict):
+    """Ids of the words met, worked out when first asked for. When half of `REMEMBERED` words are held they become the last
+    turn's, and those of the turn before are forgotten; a word met again moves on, so frequent words stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.last = make, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.last.get(piece)
+        if ids is None:
+            ids = tuple(self.make(piece))
+        if len(piece) < 64:
+            if len(self) >= REMEMBERED // 2:
+                self.last = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes whole texts with a vocabulary whose last symbol of a word carries a suffix."""
 
@@ -66,7 +98,7 @@ class Encoder:
                 self.automaton.add_word(token, (i, len(token) - token.endswith(END), token.endswith(END)))
         self.automaton.make_automaton()
         self.symbols = byte_symbols()
-        self.seen: dict[str, list[int]] = {}
+        self.seen = _Words(self.word)
         # The same file's own normalizer and word splitter, for texts with characters beyond the plain ones.
         self.library = Tokenizer.from_str(description)
 
@@ -143,12 +175,7 @@ class Encoder:
         return out[::-1]
 
     def word(self, piece: str) -> list[int]:
-        ids = self.encode_symbols("".join([self.symbols[b] for b in piece.encode()]))
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        if len(piece) < 64:
-            self.seen[piece] = ids
-        return ids
+        return self.encode_symbols("".join([self.symbols[b] for b in piece.encode()]))
 
     def _pieces(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
@@ -160,21 +187,23 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         """Special tokens written in a text are cut out first; then every piece between them is encoded."""
         out: list[int] = []
-        seen = self.seen
+        ids_of = self.seen.__getitem__
         for part in self.special_cut.split(text):
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for piece in self._pieces(part):
-                ids = seen.get(piece)
-                out += self.word(piece) if ids is None else ids
+            out.extend(chain.from_iterable(map(ids_of, self._pieces(part))))
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.names[i] for i in ids])
+        return _joined(self.names, ids)
 
     def ids_text(self, ids: list[int]) -> str:
-        return " ".join([self.numbers[i] for i in ids])
+        return _joined(self.numbers, ids)
+
+
+def _joined(words: dict[int, str], ids: list[int]) -> str:
+    return " ".join(itemgetter(*ids)(words)) if len(ids) > 1 else "".join([words[i] for i in ids])
 
 
 _BUILT: dict[int, Encoder] = {}   # per worker: the encoder of the last description

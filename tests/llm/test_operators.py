@@ -437,3 +437,19 @@ def test_license_query_takes_the_phrases_of_its_contract(spark, tmp_path):
                     4: (0, 0, None, None, "")}
     # A licence that is only named keeps its label, by the method.
     assert (rows[1].labels, rows[1].score, rows[3].labels) == ("mit", 1.0, "")
+
+
+def test_bpe_remembers_frequent_words(monkeypatch):
+    """A frequent word is encoded once, however many others come between; plain pieces are those of the property classes."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    encoder = bpe.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    made, plain_word = [], encoder.word
+    encoder.seen.make = lambda piece: (made.append(piece), plain_word(piece))[1]
+    text = " ".join(f"often w{'x' * (i % 50)}" for i in range(200))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert made.count("often") == 1 and len(encoder.seen) + len(encoder.seen.last) <= 8
+    letters = [chr(c) for c in range(0x300) if bpe._PLAIN.fullmatch(chr(c))]
+    for mixed in ["".join(letters), "".join(x + y for x, y in zip(letters, letters[::-1])), " 1".join(letters), "a'll b's 12\tc"]:
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        assert bpe._PIECE.findall(mixed.lower()) == bpe.regex.findall(pattern, mixed.lower())
