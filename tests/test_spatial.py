@@ -76,6 +76,29 @@ def test_capped_counts_equal_brute_force(spark, dense_rows, cap):
     assert plain == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("dense_rows", [4, 100000])
+def test_dated_points_of_shared_places_are_counted_once_per_place(spark, dense_rows, monkeypatch):
+    """Many points in six places, one id twice, one without a date; the circles are compared per place, not per point."""
+    rng = random.Random(5)
+    day = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 40))
+    places = [(27.0 + rng.random() * 0.1, 88.0 + rng.random() * 0.1) for _ in range(6)]
+    targets = [(*rng.choice(places), day()) for _ in range(200)] + [(27.05 + rng.gauss(0, 0.05), 88.05 + rng.gauss(0, 0.05), day()) for _ in range(100)]
+    targets += [(27.0, 88.0, None), (None, 88.0, day())]
+    points = [(i, *places[i % 6], day()) for i in range(120)] + [(3, *places[0], day()), (500, *places[1], None), (501, None, None, day())]
+    compared = []
+    original = spatial._compare_rows
+    monkeypatch.setattr(spatial, "_compare_rows", lambda seekers, *rest: compared.append(seekers) or original(seekers, *rest))
+    seek = spark.createDataFrame(points, "point_id long, latitude double, longitude double, as_of timestamp_ntz")
+    df = spark.createDataFrame(targets, "latitude double, longitude double, ts timestamp_ntz")
+    got = {r["point_id"]: r["hits"] for r in spatial.count_within(seek, df, 5.0, dense_rows=dense_rows).collect()}
+    want = {}
+    for i, lat, lon, as_of in points:
+        if lat is not None and as_of is not None:
+            want[i] = want.get(i, 0) + sum(1 for t in targets if t[0] and t[2] and t[2] <= as_of and dist(lat, lon, t[0], t[1]) <= 5.0)
+    assert got == {k: v for k, v in want.items() if v}
+    assert compared[0].select("latitude", "longitude", "_row", "_col").distinct().count() == compared[0].count()
+
+
 def stations(rng, n):
     return [(None if i % 4 == 0 else f"S{i % 9}", round(27 + rng.random() * 0.5, 4), round(88 + rng.random() * 0.5, 4)) for i in range(n)]
 
