@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators import scoring
@@ -170,6 +171,11 @@ def _three_drops() -> dict[str, str]:
     return views
 
 
+def dropped(raw: DataFrame, k: int) -> DataFrame:
+    """The rows of the kth drop in their order, cut into ranges, which are written as consecutive files."""
+    return raw.where(F.pmod(F.col("_order.row_key"), F.lit(BATCHES)) == k).repartitionByRange("_order").sortWithinPartitions("_order")
+
+
 @query("t05_three_batches", """SELECT CAST(drop_no AS INTEGER) AS drop_no, record_id AS source_record_id, lat AS latitude, lon AS longitude, event_date, severity
     FROM kept""", **_three_drops())
 def t05_three(dom: Domain):
@@ -178,8 +184,7 @@ def t05_three(dom: Domain):
     raw = dom.raw_events
     columns = [c for c in raw.columns if c not in ("_order", "row_key")]
     for k in range(BATCHES):
-        part = raw.where(F.pmod(F.col("_order.row_key"), F.lit(BATCHES)) == k).coalesce(1).sortWithinPartitions("_order")
-        part.select(*columns).write.option("header", True).csv(f"{root}/in/part{k}")
+        dropped(raw, k).select(*columns).write.option("header", True).csv(f"{root}/in/part{k}")
         rows = ingest_stream.stream_csv(dom.spark, f"{root}/in/*", columns)
         ingest_stream.start(rows, f"{root}/table", "inv", "historical_landslide", f"{root}/checkpoint").awaitTermination()
     stored = dom.spark.read.parquet(f"{root}/table")

@@ -5,11 +5,14 @@ import random
 
 from pyspark.sql import functions as F
 
+from talus.functions.text import parse_iso
 from talus.operators import sampling
 from talus.plans import assistant, ingestion
 from talus.plans.bindings import Domain
 from talus.plans.catalog import features as catalog
-from talus.sources import files
+from talus.plans.catalog import streams
+from talus.runtime import spread
+from talus.sources import files, weather
 
 
 def test_names_in_long_questions_equal_substring_search(spark):
@@ -83,3 +86,34 @@ def test_shortfall_is_reported(spark):
     assert (said.requested, said.short_by, said.attempts, said.accepted, said.buffer, said.no_terrain) == (8, 5, 13, 3, 10, 0)
     none = sampling.report(stats.limit(0), 2).first()
     assert (none.short_by, none.attempts) == (2, 0)
+
+
+def test_a_drop_is_written_by_many_tasks_in_order(spark):
+    """The file of a drop was sorted and written by one task."""
+    keys = [(i * 7919) % 3001 for i in range(3000)]
+    raw = spark.createDataFrame([(k,) for k in keys], "k long").select("k", F.struct(F.col("k").alias("row_key")).alias("_order"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = streams.dropped(raw, 1).select("k").rdd.map(lambda r: r["k"]).glom().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(bool(p) for p in parts) > 1
+    assert [k for p in parts for k in p] == sorted(k for k in keys if k % 3 == 1)
+
+
+def test_rows_of_one_split_are_dealt_over_all_tasks_though_others_are_empty(spark):
+    rows = spark.range(0, 1600, 1, 1).unionByName(spark.range(0, 0, 1, 20))
+    sizes = spread(rows).rdd.glom().map(len).collect()
+    assert sum(sizes) == 1600 and max(sizes) <= 100
+
+
+def test_the_reference_of_a_day_is_parsed_once_per_payload(spark):
+    """Sums by hand: future, too old, NULL and unreadable samples; without a reference every sample counts."""
+    times = ["2024-05-01T00:00", "2024-05-01T12:00", "2024-05-02T00:00", "2024-05-02T06:00", "soon"]
+    rows = [(1, "2024-05-02T00:00", (times, [1.0, 2.0, 4.0, 8.0, 16.0])), (2, None, (times, [1.0, None, 4.0, 8.0, 16.0])),
+            (3, "2024-05-02T00:00", ([], [])), (4, "2024-04-01T00:00", (times, [1.0] * 5)), (5, "2024-05-02T00:00", None)]
+    df = spark.createDataFrame(rows, "id long, ref string, hourly struct<time: array<string>, precipitation: array<double>>")
+    out = df.select("id", weather.last_day_precipitation(F.col("hourly"), F.col("ref")).alias("mm"))
+    assert {r["id"]: r["mm"] for r in out.collect()} == {1: 7.0, 2: 13.0, 3: None, 4: None, 5: None}
+    seen = lambda d: d._jdf.queryExecution().analyzed().toString().count("ref#")
+    assert seen(out) == seen(df.select("id", parse_iso(F.col("ref"))))
