@@ -27,19 +27,23 @@ def last_day_precipitation(hourly: Column, reference: Column) -> Column:
     skipped. Without a reference every sample counts; without any sample the answer is NULL."""
     samples = F.arrays_zip(hourly["time"].alias("time"), hourly["precipitation"].alias("mm"))
     stamped = F.transform(samples, lambda s: F.struct(parse_iso(s["time"]).alias("at"), s["mm"].alias("mm")))
-    end = parse_iso(reference)
     day = F.make_dt_interval(F.lit(1))
-    used = F.filter(
-        stamped,
-        lambda s: s["mm"].isNotNull() & s["at"].isNotNull()
-        & (end.isNull() | ((s["at"] <= end) & (s["at"] >= end - day))),
-    )
-    return F.aggregate(
-        used,
-        F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mm")),
-        lambda acc, s: F.struct((acc["n"] + 1).alias("n"), (acc["mm"] + s["mm"]).alias("mm")),
-        lambda acc: F.when(acc["n"] > 0, F.round(acc["mm"], 2)),
-    )
+
+    def total(end: Column) -> Column:
+        used = F.filter(
+            stamped,
+            lambda s: s["mm"].isNotNull() & s["at"].isNotNull()
+            & (end.isNull() | ((s["at"] <= end) & (s["at"] >= end - day))),
+        )
+        return F.aggregate(
+            used,
+            F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mm")),
+            lambda acc, s: F.struct((acc["n"] + 1).alias("n"), (acc["mm"] + s["mm"]).alias("mm")),
+            lambda acc: F.when(acc["n"] > 0, F.round(acc["mm"], 2)),
+        )
+
+    # The one-element array has the reference parsed once, not once per sample.
+    return F.get(F.transform(F.array(parse_iso(reference)), total), F.lit(0))
 
 
 def readings(payloads: DataFrame) -> DataFrame:
