@@ -154,6 +154,18 @@ def test_rainfall_summary_equals_brute_force(spark, crowded, most):
         assert sums == sorted(sums)
 
 
+def test_cells_without_a_target_are_dropped_before_the_shuffle(spark):
+    points = spark.createDataFrame([(i, 27 + i / 50, 88.0) for i in range(50)], "point_id long, latitude double, longitude double")
+    targets = spatial.target_cells(spark.createDataFrame([(27.1, 88.0), (27.1, 88.0), (27.5, 88.0)], "latitude double, longitude double"), 0.01)
+    reach = spatial.search_cells(points, 1.0, 0.01)
+    held = spatial.in_held_cells(reach, targets, ["_row", "_col"])
+    cells = {tuple(r) for r in targets.select("_row", "_col").collect()}
+    assert sorted(map(tuple, held.select("point_id", "_row", "_col").collect())) == sorted(
+        tuple(r) for r in reach.select("point_id", "_row", "_col").collect() if (r["_row"], r["_col"]) in cells)
+    assert 0 < held.count() < reach.count() / 10
+    assert spatial.in_held_cells(reach, targets, ["_row", "_col"], limit=1).count() == reach.count()
+
+
 def test_running_totals_of_many_readings(spark, tmp_path):
     """Every half hour for three months: windows are differences of running totals, exact to the last reading."""
     start = dt.datetime(2020, 1, 1)
