@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import geo
 from talus.operators import rainfall, raster, spatial
-from talus.runtime import attach_to_groups, positions, running_sums
+from talus.runtime import attach_to_groups, cut_lineage, positions, running_sums
 
 R = 6371.0088
 
@@ -154,6 +154,47 @@ def test_rainfall_summary_equals_brute_force(spark, crowded, most):
         assert sums == sorted(sums)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strips_shuffle_the_readings_once(spark):
+    obs = readings(random.Random(3), stations(random.Random(3), 9), 200)
+    totals = cut_lineage(rainfall.instant_totals(spark.createDataFrame(
+        obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double")))
+    assert plan_of(rainfall.strips(totals)).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("lists", [256, 2])
+def test_stations_of_one_place_are_told_apart_by_their_readings(spark, lists, monkeypatch):
+    """Many stations share few places: the nearest place that reports is chosen, and of its stations the lowest key that reports itself."""
+    monkeypatch.setattr(rainfall, "LIST_STATIONS", lists)
+    rng = random.Random(5)
+    sites = [(f"S{i:02d}", 27 + (i % 4) * 0.05, 88.0) for i in range(40)]
+    obs = [(*rng.choice(sites), dt.datetime(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 120)), 1.0) for _ in range(90)]
+    points = [(i, 27 + rng.random() * 0.2, 88 + rng.random() * 0.1, dt.datetime(2020, 1, 10) + dt.timedelta(days=rng.randint(0, 130))) for i in range(60)]
+    got = {r["point_id"]: r["station_key"] for r in rainfall.nearest_station(
+        spark.createDataFrame(points, "point_id long, latitude double, longitude double, as_of timestamp_ntz"),
+        spark.createDataFrame(obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double"),
+        crowded=2).collect()}
+    for i, lat, lon, as_of in points:
+        near = [(dist(lat, lon, o[1], o[2]), o[0]) for o in obs if as_of - dt.timedelta(days=30) <= o[3] <= as_of]
+        assert got.get(i) == min((x for x in near if x[0] <= 25.0), default=(None, None))[1]
+
+
+def test_lookback_readings_are_not_shuffled_after_the_join(spark):
+    """Copies of a point count as often as they come; the rows that leave the join are the result."""
+    points = [(1, 27.0, 88.0, dt.datetime(2020, 2, 1)), (1, 27.0, 88.0, dt.datetime(2020, 2, 1)), (2, 27.0, 88.0, dt.datetime(2020, 2, 2))]
+    obs = [("A", 27.0, 88.0, dt.datetime(2020, 1, 20), 2.0), ("A", 27.0, 88.0, dt.datetime(2020, 1, 20), 3.0), ("A", 27.0, 88.0, dt.datetime(2020, 2, 2), None)]
+    points = spark.createDataFrame(points, "point_id long, latitude double, longitude double, as_of timestamp_ntz")
+    obs = spark.createDataFrame(obs, "station_id string, latitude double, longitude double, observed_date timestamp_ntz, rainfall_mm double")
+    near = cut_lineage(points.select("point_id").distinct().withColumn("station_key", F.lit("A")))
+    got = rainfall.lookback_readings(points, near, obs)
+    plan = plan_of(got)
+    assert "Aggregate" not in plan[:plan.index("Join")] and "Exchange" not in plan[:plan.index("Join")]
+    assert sorted((r["point_id"], r["observed_date"].day, r["mm"], r["n"]) for r in got.collect()) == [(1, 20, 10.0, 4), (2, 2, 0.0, 1), (2, 20, 5.0, 2)]
+
+
 def test_cells_without_a_target_are_dropped_before_the_shuffle(spark):
     points = spark.createDataFrame([(i, 27 + i / 50, 88.0) for i in range(50)], "point_id long, latitude double, longitude double")
     targets = spatial.target_cells(spark.createDataFrame([(27.1, 88.0), (27.1, 88.0), (27.5, 88.0)], "latitude double, longitude double"), 0.01)
