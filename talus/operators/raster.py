@@ -17,6 +17,8 @@ from talus.runtime import attach_to_groups, broadcast_if_small
 TILE = ["tile_lat", "tile_lon"]
 PIXEL = ["tile_lat", "tile_lon", "row", "col"]
 OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+# Rows and columns of the patches that a whole tile is cut into.
+PATCH = 64
 
 
 def summarize(cells: DataFrame, res: float, nodata: float | None, geographic: bool = True,
@@ -90,6 +92,8 @@ def neighbourhoods(pixels: DataFrame, cells: DataFrame, across: bool = True, deg
     """
     shift = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in OFFSETS]))
     across = across and {"height", "width"} <= set(pixels.columns)  # without tile sizes there are no seams to cross
+    if pixels is cells and not across:
+        return _every_block(cells)
     wanted = pixels.select(*PIXEL, *(["height", "width"] if across else [])).distinct().withColumn("o", shift)
     row, col = F.col("row") + F.col("o.dr"), F.col("col") + F.col("o.dc")
     down, right = (F.floor(row / F.col("height")), F.floor(col / F.col("width"))) if across else (F.lit(0), F.lit(0))
@@ -107,6 +111,34 @@ def neighbourhoods(pixels: DataFrame, cells: DataFrame, across: bool = True, deg
     )
 
 
+def _every_block(cells: DataFrame) -> DataFrame:
+    """The 3x3 block of every pixel that has a cell, within its tile. Tiles are cut into patches, and a cell is shuffled once to
+    its patch (on the edge of one, to the next patch, too); its value meets the nine blocks it belongs to there."""
+    patch = lambda c: F.floor(c / F.lit(PATCH))
+    around = lambda c: F.explode(F.array_distinct(F.array(patch(F.col(c) - 1), patch(F.col(c) + 1))))
+    key = [*TILE, "_prow", "_pcol"]
+    spark = cells.sparkSession
+    # A task's blocks take far more room than its cells: many small tasks, which are not put together again.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    placed = (
+        cells.select(*PIXEL, "value").dropna(subset=PIXEL)
+        .withColumn("_prow", around("row")).withColumn("_pcol", around("col")).repartition(tasks, *key)
+    )
+    shift = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in OFFSETS]))
+    at = lambda dr, dc: (F.col("o.dr") == dr) & (F.col("o.dc") == dc)
+    met = (
+        placed.withColumn("o", shift)
+        .withColumns({"row": F.col("row") - F.col("o.dr"), "col": F.col("col") - F.col("o.dc")})
+        .where((patch(F.col("row")) == F.col("_prow")) & (patch(F.col("col")) == F.col("_pcol")))
+    )
+    return (
+        met.groupBy(*key, "row", "col")
+        .agg(*[F.max(F.when(at(dr, dc), F.col("value"))).alias(_cell(dr, dc)) for dr, dc in OFFSETS], F.count("*").alias("n"),
+             F.count(F.when(at(0, 0), F.lit(1))).alias("_own"))
+        .where("_own > 0").select(*PIXEL, *[_cell(*o) for o in OFFSETS], "n")
+    )
+
+
 def _cell(dr: int, dc: int) -> str:
     return f"z{dr + 1}{dc + 1}"
 

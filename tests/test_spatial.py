@@ -257,6 +257,26 @@ def test_slope_of_an_even_ramp(spark):
     assert blocks.where("n < 9").count() == 36
 
 
+def test_blocks_of_a_whole_raster(spark):
+    """Tiles larger than a patch, gaps, copies and keys that are missing; no block is shuffled as nine rows."""
+    rng = random.Random(5)
+    cells = [(t, 0, r, c, None if rng.random() < 0.02 else float(rng.randint(0, 99))) for t in (0, 1) for r in range(70) for c in range(60, 130) if rng.random() < 0.95]
+    cells += rng.sample(cells, 40) + [(0, 0, None, 3, 1.0), (None, 0, 5, 70, 1.0)]
+    df = spark.createDataFrame(cells, "tile_lat int, tile_lon int, row int, col int, value double")
+    held = {}
+    for *pixel, v in cells:
+        held.setdefault(tuple(pixel), []).append(v)
+    want = {}
+    for t, u, r, c in held:
+        if None not in (t, u, r, c):
+            near = [held.get((t, u, r + dr, c + dc), []) for dr, dc in raster.OFFSETS]
+            want[t, u, r, c] = (*[max((v for v in vs if v is not None), default=None) for vs in near], sum(map(len, near)))
+    blocks = raster.neighbourhoods(df, df)
+    assert {tuple(x[:4]): tuple(x[4:]) for x in blocks.collect()} == want
+    plan = blocks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_terrain_at_edges_flat_ground_and_nodata(spark):
     cells, tiles = dem(spark, True, lambda r, c: -9999 if (r, c) == (5, 5) else 100)
     points = spark.createDataFrame([("inner", 0.75, 0.25), ("edge", 0.95, 0.95), ("nodata", 0.45, 0.55), ("beside", 0.35, 0.55), ("out", 3.0, 3.0)],
