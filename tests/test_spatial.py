@@ -55,6 +55,24 @@ def test_k_nearest_equals_brute_force(spark, leaf, k):
     assert got == sorted(want) and any(r[0] == 90 for r in got) and not any(r[0] == 91 for r in got)
 
 
+def test_k_nearest_searches_once_per_place(spark, monkeypatch):
+    """Many points in few places: the search meets places; a point with two places has the nearest targets of both."""
+    asked = []
+    search = spatial.search_cells
+    monkeypatch.setattr(spatial, "search_cells", lambda df, *rest: asked.append(df.count()) or search(df, *rest))
+    points = [(i, 27.0 + 0.1 * (i % 4), 88.0) for i in range(200)] + [(7, 27.0, 88.0)] * 2
+    targets = [(i, 27.0 + 0.02 * i, 88.01) for i in range(20)]
+    found = spatial.k_nearest(spark.createDataFrame(points, "point_id long, latitude double, longitude double"),
+                              spark.createDataFrame(targets, "id long, latitude double, longitude double"), 3, 30.0).collect()
+    want = []
+    for i in range(200):
+        places = {p[1:] for p in points if p[0] == i}
+        near = sorted((dist(*p, t[1], t[2]), t[0]) for p in places for t in targets)
+        want += [(i, n + 1, t) for n, (d, t) in enumerate([x for x in near if x[0] <= 30.0][:3])]
+    assert sorted((r["point_id"], r["rank"], r["id"]) for r in found) == want
+    assert asked == [4]
+
+
 @pytest.mark.parametrize("dense_rows", [4, 50, 100000])
 @pytest.mark.parametrize("cap", [1, 7, None])
 def test_capped_counts_equal_brute_force(spark, dense_rows, cap):
