@@ -167,6 +167,17 @@ def test_forest_learns_and_withholds_incomplete_rows(spark):
     assert len(weights) == 17 and abs(sum(w for _, w in weights) - 1) < 0.01
 
 
+def test_a_large_training_part_is_dealt_over_the_cores(spark):
+    """A part of few bytes in one partition uses every core, with the same rows; a small one is left as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    large = spark.range(model.DEALT_ROWS + 1).coalesce(1)
+    out = model.dealt(large)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) <= 2 * min(sizes)
+    assert out.agg(F.count("*"), F.sum("id")).first()[:] == large.agg(F.count("*"), F.sum("id")).first()[:]
+    assert model.dealt(large.limit(50)).rdd.getNumPartitions() == 1
+
+
 def test_a_forest_scores_in_a_session_that_has_observed_something(spark):
     # A streaming query makes the session's observation manager, which cannot be sent to a task.
     spark._jsparkSession.observationManager()
