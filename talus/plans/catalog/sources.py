@@ -11,7 +11,7 @@ from talus.plans.catalog import CATALOG
 from talus.plans.catalog.features import CRITICAL, LABELLED, feature_views, labelled_features
 from talus.plans.catalog.ingestion import REC
 from talus.plans.catalog.expressions import REC_MISSING, REC_SCORE
-from talus.runtime import work_path
+from talus.runtime import SPREAD_TASKS, work_path
 from talus.sources import boundaries, files, registry, sinks
 
 query = CATALOG.query
@@ -85,11 +85,18 @@ def s09(dom: Domain):
 def s09_texts(dom: Domain):
     """Text files of a hundred events each, written and read back whole."""
     line = F.concat_ws(",", F.col("id").cast("string"), F.coalesce("event_type", F.lit("")))
-    docs = dom.events.groupBy(F.expr("id div 100").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    # A task makes its files one after the other, so the few bytes of the texts are dealt over all cores.
+    tasks = SPREAD_TASKS * dom.spark.sparkContext.defaultParallelism
+    rows = dom.events.select(F.expr("id div 100").alias("doc"), "id", line.alias("line")).repartition(tasks, "doc")
+    docs = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("lines"))
     folder = work_path(dom.spark, "texts")
-    docs.select("doc", F.array_join(F.transform("lines", lambda x: x["line"]), ";").alias("value")).write.partitionBy("doc").text(folder)
-    return files.checksums(dom.spark, f"{folder}/*/*.txt", whole_path=True).select(
-        F.regexp_extract("path", r"doc=(\d+)", 1).cast("long").alias("doc"), "checksum_sha256", "file_size_bytes")
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), ";").alias("value")
+    # One file per record in one folder, since a folder of its own costs as much as the file; every task moves its own files.
+    docs.select(text).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+    first = F.regexp_extract(F.decode("content", "UTF-8"), r"^(-?\d+),", 1)
+    # Spark writes a file without a byte for a first task without a row.
+    return files.checksums(dom.spark, folder, first.alias("id")).where("file_size_bytes > 0").select(
+        F.expr("try_cast(id AS BIGINT) div 100").alias("doc"), "checksum_sha256", "file_size_bytes")
 
 
 @query("s10_written_records", f"""SELECT 'inventory-' || idx AS location_id, CAST({REC_SCORE} AS VARCHAR) AS data_quality_score, {REC_MISSING} AS missing_features FROM judged WHERE errors = ''""", **REC)

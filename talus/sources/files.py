@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,11 +175,12 @@ def logical_view(df: DataFrame, extra: dict[str, list[str]] | None = None) -> Da
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(f) for f, c in mapping.items()])
 
 
-def checksums(spark: SparkSession, path: str, whole_path: bool = False) -> DataFrame:
-    """SHA-256, size and bare name (on request the path) of every file of a folder or glob, in one job."""
+def checksums(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """SHA-256, size and bare name of every file of a folder or glob, in one job; `more` are columns of the binary-file source's rows."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(
-        F.col("path") if whole_path else F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"),
+        F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"),
         F.sha2("content", 256).alias("checksum_sha256"),
         F.col("length").alias("file_size_bytes"),
+        *more,
     )

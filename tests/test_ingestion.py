@@ -258,6 +258,32 @@ def test_checksums(spark, folder):
     assert rows["rain.csv"]["file_size_bytes"] == len(RAIN_CSV)
 
 
+def test_text_files_are_made_in_one_folder_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file per hundred events whatever their bytes, none of them in a folder of its own, all read back whole."""
+    import hashlib
+
+    from talus.plans.catalog import load, sources
+
+    for name, rows, schema in (
+        ("orders", [(k, 1, "O" if k % 2 else None) for k in range(1, 1000, 3)] + [(205, 1, "F")], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        ("customer", [(1, 1)], "c_custkey long, c_nationkey long"), ("nation", [(1, "N")], "n_nationkey long, n_name string"),
+    ):
+        df = spark.createDataFrame(rows, schema)
+        if name == "orders":
+            df = df.withColumns({"o_orderdate": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "o_orderpriority": F.lit("x")})
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(sources, "work_path", lambda spark, label: str(tmp_path / "made"))
+    got = {r["doc"]: tuple(r)[1:] for r in load().queries["s09_text_checksums"](spark, str(tmp_path)).collect()}
+    events = sorted([(k, "O" if k % 2 else "") for k in range(1, 1000, 3)] + [(205, "F")])
+    want = {}
+    for doc in range(10):
+        body = (";".join(f"{k},{t}" for k, t in events if k // 100 == doc) + "\n").encode()
+        want[doc] = (hashlib.sha256(body).hexdigest(), len(body))
+    assert got == want
+    made = [p.name for p in (tmp_path / "made").iterdir() if not p.name.startswith((".", "_"))]
+    assert all(n.endswith(".txt") for n in made) and len({n[:10] for n in made}) > 2
+
+
 def test_unknown_category_is_refused(spark):
     known = spark.createDataFrame([], "source_id string, category string, last_status string, last_error string, registered_at timestamp_ntz")
     new = spark.createDataFrame([("a", "music")], "source_id string, category string")
