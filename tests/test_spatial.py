@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import geo
-from talus.operators import rainfall, raster, spatial
+from talus.operators import circle_counts, rainfall, raster, spatial
 from talus.runtime import attach_to_groups, cut_lineage, positions, running_sums
 
 R = 6371.0088
@@ -117,6 +117,32 @@ def test_dated_points_of_shared_places_are_counted_once_per_place(spark, dense_r
     assert compared[0].select("latitude", "longitude", "_row", "_col").distinct().count() == compared[0].count()
 
 
+@pytest.mark.parametrize("task_rows", [40, 100000])
+@pytest.mark.parametrize("lat,lon", [(27.0, 88.0), (0.0, 179.95), (89.7, 0.0)])
+def test_dated_circles_counted_in_tasks_equal_brute_force(spark, lat, lon, task_rows, monkeypatch):
+    """Hot places with copies, the date line and the pole; a cell's points dealt over several tasks, crowded cells left to the subdivision."""
+    monkeypatch.setattr(circle_counts, "GROUP_POINTS", 20)
+    rng = random.Random(8)
+    wrap = lambda x: (x + 180) % 360 - 180
+    day = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 40))
+    place = lambda s: (min(90.0, lat + rng.gauss(0, s)), wrap(lon + rng.gauss(0, s) / max(0.01, math.cos(math.radians(lat)))))
+    hot = [place(0.05) for _ in range(4)]
+    targets = [(*rng.choice(hot), day()) for _ in range(200)] + [(*place(0.1), day()) for _ in range(300)] + [(lat, lon, None), (None, lon, day())]
+    points = [(f"p{i}", *place(0.1), day()) for i in range(150)] + [("p3", *hot[0], day()), ("p3", *hot[0], day()), ("q", *hot[1], None), ("r", None, lon, day())]
+    counted = []
+    original = circle_counts.count_dated
+    monkeypatch.setattr(circle_counts, "count_dated", lambda *given: counted.append(1) or original(*given))
+    found = spatial.count_within(
+        spark.createDataFrame(points, "point_id string, latitude double, longitude double, as_of timestamp_ntz"),
+        spark.createDataFrame(targets, "latitude double, longitude double, ts timestamp_ntz"), 10.0, dense_rows=16, filled_rows=1, task_rows=task_rows)
+    want = {}
+    for i, y, x, as_of in points:
+        if y is not None and as_of is not None:
+            want[i] = want.get(i, 0) + sum(1 for t in targets if t[0] is not None and t[2] and t[2] <= as_of and dist(y, x, t[0], t[1]) <= 10.0)
+    assert {r["point_id"]: r["hits"] for r in found.collect()} == {k: v for k, v in want.items() if v}
+    assert counted
+
+
 def stations(rng, n):
     return [(None if i % 4 == 0 else f"S{i % 9}", round(27 + rng.random() * 0.5, 4), round(88 + rng.random() * 0.5, 4)) for i in range(n)]
 
