@@ -1,7 +1,9 @@
 """Clustering, components, greedy quotas and model plumbing against brute force."""
 
+import datetime as dt
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from talus import vocab
 from talus.operators import cluster, evaluation, features, model, sampling
 from talus.plans import zones
+from talus.runtime import shared_dir
 
 
 def dbscan(points, eps, least):
@@ -107,6 +110,27 @@ def test_greedy_quotas_equal_one_by_one(spark, seed):
     assert got == taken and state.taken == len(taken)
 
 
+def test_attempts_are_stored_by_number_and_the_taken_ones_drawn_again(spark, monkeypatch):
+    """A block of attempts was stored with all its columns, some hundred bytes for each."""
+    judged = []
+
+    def passed(df, *rest):
+        judged.append(df.columns)
+        return df.withColumns({"slope_degrees": F.lit(3.0), "landcover_category": F.lit("forest"), "slope_key": F.lit("a"), "landcover_key": F.lit("forest"),
+                               "rejected_by": F.when(F.col("attempt_id") % 3 == 0, "buffer"), "region": F.concat(F.lit("some region of a long name "), "attempt_id")})
+
+    monkeypatch.setattr(sampling, "stage", passed)
+    size = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark)).rglob("*") if f.is_file())
+    before, box, first = size(), (26.0, 88.0, 28.0, 90.0), dt.datetime(2020, 1, 1)
+    samples, stats = sampling.generate(spark, None, 20_000, box, first, 30, None, None, seed=5)
+    assert size() - before < 20 * 80_000
+    got = {r["attempt_id"]: r for r in samples.collect()}
+    want = {r["attempt_id"]: r for r in sampling.candidates(spark, 0, 80_000, box, first, 30, 5).where("attempt_id % 3 <> 0").orderBy("attempt_id").limit(20_000).collect()}
+    assert samples.columns == ["point_id", "latitude", "longitude", "as_of", "slope_degrees", "landcover_category", "attempt_id"]
+    assert {k: tuple(r)[:4] for k, r in got.items()} == {k: tuple(r)[1:5] for k, r in want.items()}
+    assert {r["outcome"]: r["attempts"] for r in stats.collect()}["accepted"] == 20_000
+
+
 def test_candidates_do_not_depend_on_partitioning(spark):
     make = lambda: sampling.candidates(spark, 0, 500, (26.0, 88.0, 28.0, 90.0), "2020-01-01 00:00:00", 30, 9)
     first = {tuple(r) for r in make().collect()}
