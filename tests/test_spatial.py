@@ -143,6 +143,21 @@ def test_dated_circles_counted_in_tasks_equal_brute_force(spark, lat, lon, task_
     assert counted
 
 
+@pytest.mark.parametrize("lat,lon", [(27.0, 88.0), (0.0, 179.98), (89.9, 0.0)])
+def test_nearby_targets_are_found_without_moving_the_points(spark, lat, lon):
+    """The points were shuffled to the cells around them, and once more to their answers."""
+    rng = random.Random(4)
+    wrap = lambda x: (x + 180) % 360 - 180
+    place = lambda: (min(90.0, lat + rng.gauss(0, 0.05)), wrap(lon + rng.gauss(0, 0.05) / max(0.01, math.cos(math.radians(lat)))))
+    targets, points = [place() for _ in range(40)] + [(None, lon)], [(i, *place()) for i in range(200)] + [(900, None, lon), (901, lat, None)]
+    seek = spark.createDataFrame(points, "id long, latitude double, longitude double")
+    found = spatial.with_nearby(seek, spark.createDataFrame(targets, "latitude double, longitude double"), 2.0, "near")
+    want = {i: None not in (y, x) and any(t[0] is not None and dist(y, x, *t) <= 2.0 for t in targets) for i, y, x in points}
+    assert {r["id"]: r["near"] for r in found.collect()} == want and len(set(want.values())) == 2
+    assert "ExistenceJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["id", "latitude", "longitude", "near"]
+
+
 def stations(rng, n):
     return [(None if i % 4 == 0 else f"S{i % 9}", round(27 + rng.random() * 0.5, 4), round(88 + rng.random() * 0.5, 4)) for i in range(n)]
 
