@@ -175,12 +175,53 @@ def logical_view(df: DataFrame, extra: dict[str, list[str]] | None = None) -> Da
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(f) for f, c in mapping.items()])
 
 
+# Files up to this many bytes are rows of Spark's binary-file source, whole; longer ones are read piece by piece.
+WHOLE_FILE_BYTES = 32 << 20
+PIECE_BYTES = 4 << 20
+
+
 def checksums(spark: SparkSession, path: str, *more: Column) -> DataFrame:
-    """SHA-256, size and bare name of every file of a folder or glob, in one job; `more` are columns of the binary-file source's rows."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"),
-        F.sha2("content", 256).alias("checksum_sha256"),
-        F.col("length").alias("file_size_bytes"),
-        *more,
-    )
+    """SHA-256, size and bare name of every file of a folder or glob; `more` are columns of the binary-file source's rows, whose content is NULL
+    for files that are read piece by piece."""
+    listed = spark.read.format("binaryFile").load(path)
+    whole = F.col("length") <= min(WHOLE_FILE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    named = [F.regexp_extract("path", r"[^/]+$", 0).alias("file_name")]
+    small = listed.where(whole).select(*named, F.sha2("content", 256).alias("checksum_sha256"), F.col("length").alias("file_size_bytes"), *more)
+    # Without its content a row is what the listing says.
+    long = listed.where(~whole).select("path", "modificationTime", "length")
+    if long.isEmpty():
+        return small
+    piece = PIECE_BYTES
+
+    def read(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = []
+            for name in batch.column("path").to_pylist():
+                total = hashlib.sha256()
+                with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as stream:
+                    while held := stream.read(piece):
+                        total.update(held)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, "checksum_sha256"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema.fields) + ", checksum_sha256 string"
+    local = F.col("path").startswith("file:/")
+    # One long file is one task.
+    found = long.where(local).repartitionByRange(long.count(), "path").mapInArrow(read, types)
+    # Only Spark's own file systems open the others: read by the driver's JVM, one after the other.
+    far = [(*r, _streamed_sum(spark, r["path"])) for r in long.where(~local).collect()]
+    streamed = (found.unionByName(spark.createDataFrame(far, types)) if far else found).withColumn("content", F.lit(None).cast("binary"))
+    return small.unionByName(streamed.select(*named, "checksum_sha256", F.col("length").alias("file_size_bytes"), *more))
+
+
+def _streamed_sum(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

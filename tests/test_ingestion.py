@@ -250,6 +250,22 @@ def test_written_records_and_metadata(spark, folder, tmp_path):
     assert meta["missing_features_observed"] == sorted(meta["missing_features_observed"])
 
 
+def test_long_files_are_summed_piece_by_piece(spark, tmp_path, monkeypatch):
+    """A file beyond the limit of the binary-file source ended the job."""
+    import hashlib
+
+    for name, size in {"a.bin": 10, "b c%20.bin": 5000, "d.bin": 9001}.items():
+        (tmp_path / name).write_bytes(bytes(i * 7 % 251 for i in range(size)))
+    monkeypatch.setattr(files, "PIECE_BYTES", 1000, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = {tuple(r) for r in files.checksums(spark, f"{tmp_path}/*.bin").collect()}
+        assert files._streamed_sum(spark, str(tmp_path / "d.bin")) == hashlib.sha256((tmp_path / "d.bin").read_bytes()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {(f.name, hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in tmp_path.iterdir()}
+
+
 def test_checksums(spark, folder):
     import hashlib
 
