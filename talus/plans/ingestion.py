@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from talus import vocab
 from talus.functions.quality import event_completeness
 from talus.operators import ingest, polygons
-from talus.runtime import broadcast_if_small, cut_lineage, positions
+from talus.runtime import broadcast_if_small, cut_lineage, positions, stored
 from talus.sources import files, registry, sinks
 from talus.sources.known_keys import KnownKeys
 
@@ -39,7 +39,7 @@ def numbered(raw: DataFrame) -> DataFrame:
     """
     order = raw.schema["_order"].dataType
     if not isinstance(order, StructType) or order.names != files.ORDER_FIELDS:
-        return positions(raw, [F.col("_order")], name="index").withColumn("index", F.col("index") - 1)
+        return positions(raw, [F.col("_order")], name="index", keep=stored).withColumn("index", F.col("index") - 1)
     split = ["_order.file", "_order.block"]
     sizes = raw.groupBy(*[F.col(c) for c in split]).agg(F.min("_order.at").alias("first"), F.count("*").alias("rows"))
     # One row per split of the files; the window runs over those.

@@ -83,8 +83,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
-    """The rows written once as Parquet under the shared folder and read from there: as lasting as a checkpoint, which holds whole rows one by
-    one and uncompressed, but of a fraction of its size, and only the columns that are asked for are read again."""
+    """The rows written once as Parquet under the shared folder and read from there: as lasting as a checkpoint, which holds whole rows one
+    by one, but smaller, and only the columns that are asked for are read again."""
+    names = [c.lower() for c in df.columns]
+    kinds = df.schema.simpleString()
+    if len(set(names)) < len(names) or "void" in kinds or "interval" in kinds:  # Parquet has no such tables
+        return cut_lineage(df)
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -105,12 +109,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
 
 
 def positions(df: DataFrame, order: list, group: list[str] | None = None,
-              name: str = "position") -> DataFrame:
+              name: str = "position", keep=cut_lineage) -> DataFrame:
     """1-based rank of every row in a total order, without a one-task window.
 
     Rows are range-partitioned and sorted by (group, order); the rank is the row's offset inside
     its partition plus the sizes of the partitions before it. The only unpartitioned window runs
-    over one row per partition. `order` must be unique inside a group.
+    over one row per partition. `order` must be unique inside a group. `keep` stores the ranked rows: `stored` for wide ones.
     """
     group = group or []
     keys = [F.col(g) for g in group] + list(order)
@@ -120,7 +124,7 @@ def positions(df: DataFrame, order: list, group: list[str] | None = None,
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     # The slot depends on the physical layout, so it is stored before it is used twice.
-    ranged = cut_lineage(ranged)
+    ranged = keep(ranged)
     part = F.shiftright(F.col("_slot"), 33)
     local = F.col("_slot") - F.shiftleft(part, 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))

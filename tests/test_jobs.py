@@ -54,6 +54,14 @@ def test_numbers_follow_the_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_ranked_inventory_rows_are_read_again_by_column(spark):
+    """Ranked rows were checkpointed one by one, and every later step read all their texts."""
+    texts = [F.concat(F.lit(f"text {i}, "), (F.col("id") % 9).cast("string")).alias(f"text_{i}") for i in range(10)]
+    rows = ingestion.numbered(spark.range(3000).select(*texts, F.struct((-F.col("id")).alias("row_key")).alias("_order")))
+    assert "text_5" not in rows.select("index")._jdf.queryExecution().executedPlan().toString()
+    assert rows.where(F.col("index") != F.col("_order.row_key") + 2999).count() == 0 and rows.select("index").distinct().count() == 3000
+
+
 def test_inspection(spark, tmp_path):
     (tmp_path / "e.csv").write_text('Latitude,lng,Date,note\n10,20,2020-01-01,"a\nb"\nx,30,,\n12,25,2020-01-02,c\n11,,2020-01-02,\n')
     seen = ingestion.inspect_file(spark, str(tmp_path / "e.csv")).first()
